@@ -253,9 +253,11 @@ def template_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One-residue template files: per order, ATOM lines then CONECT lines."""
     li = lineitem(spark, sf_dir)
     entry = F.col("l_orderkey").cast("string")
+    name = F.when(F.col("l_linenumber") == 1, F.lit(" N  ")).otherwise(
+        F.concat(F.lit(" C"), _digit(F.col("l_partkey")), F.lit(" ")))
     atom = li.select(entry.alias("entry"), F.col("l_linenumber").cast("long").alias("line_no"), F.concat(
-        F.lit("ATOM  "), F.lpad(F.col("l_linenumber").cast("string"), 5, " "), F.lit("  C"),
-        _digit(F.col("l_partkey")), F.lit("  "), F.concat(F.lit("R"), F.lpad((F.col("l_orderkey") % 100).cast("string"), 2, "0")),
+        F.lit("ATOM  "), F.lpad(F.col("l_linenumber").cast("string"), 5, " "), F.lit(" "), name, F.lit(" "),
+        F.concat(F.lit("R"), F.lpad((F.col("l_orderkey") % 100).cast("string"), 2, "0")),
         F.lit(" A   1      0.000   0.000   0.000  1.00 20.00")).alias("line"))
     n = 1 + F.col("l_suppkey") % 4
     slots = F.concat(*(F.when(n > i, F.lpad(((F.col("l_partkey") + i) % 100).cast("string"), 5, " ")).otherwise(F.lit(""))
