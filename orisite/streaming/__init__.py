@@ -1,0 +1,7 @@
+"""Streaming: intentionally empty.
+
+The workload is a full-refresh batch computation over a folder of structure files; it has no
+event time, no late data and no state that outlives a run, so nothing here uses Structured
+Streaming.  A growing folder is handled by re-running the batch plan (``plans.pipeline.run``),
+whose QC and numbering are entry-local and whose aggregates are a few hundred groups.
+"""
