@@ -18,56 +18,66 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DEFAULT_BLOCK_LINES = 1 << 16
-_KEY = ("chainid", "resseq", "icode")
-
-
-def _delta(prev: Column, cur: Column) -> Column:
-    """Counter increase from the previous atom ``prev`` to ``cur`` (structs of _KEY)."""
-    return (F.when(prev.isNull(), F.lit(0))
-            .when(cur["chainid"] != prev["chainid"], F.lit(1))
-            .when(cur["resseq"] > prev["resseq"], cur["resseq"] - prev["resseq"])
-            .when((cur["resseq"] == prev["resseq"]) & (cur["icode"] != prev["icode"]), F.lit(1))
+# The previous atom travels as three integers: chain and insertion code are single
+# characters, compared through their code points, so every block summary is a fixed-width
+# (hash-aggregated) max_by/min_by.
+_KEY = ("_ch", "resseq", "_ic")
+
+
+def _delta(prev: list[Column], cur: list[Column]) -> Column:
+    """Counter increase from the previous atom ``prev`` to ``cur`` (lists of _KEY columns)."""
+    (pc, pr, pi), (cc, cr, ci) = prev, cur
+    return (F.when(pc.isNull(), F.lit(0))
+            .when(cc != pc, F.lit(1))
+            .when(cr > pr, cr - pr)
+            .when((cr == pr) & (ci != pi), F.lit(1))
             .otherwise(F.lit(0)))
 
 
-def scan_residues(atoms: DataFrame, block_lines: int = DEFAULT_BLOCK_LINES) -> DataFrame:
-    """Adds ``rescounter`` (int) and ``out_of_order`` (resseq fell inside one chain run).
+def scan_residues(atoms: DataFrame, block_lines: int = DEFAULT_BLOCK_LINES, materialize=None) -> DataFrame:
+    """Adds ``rescounter`` (int) and ``out_of_order`` (resseq fell inside one chain run), and
+    returns the rows partitioned on the residue key.
 
     ``atoms`` needs ``entry, line_no, chainid, resseq, icode``; ``line_no`` orders an entry.
+    ``materialize`` (optional) writes the windowed lines once, so the block summaries and the
+    final join read them instead of scanning and sorting the input twice.
     """
-    key = F.struct(*_KEY)
-    a = atoms.withColumn("_blk", F.expr(f"line_no div {int(block_lines)}"))
+    c = F.col
+    a = atoms.withColumns({"_blk": F.expr(f"line_no div {int(block_lines)}"),
+                           "_ch": F.ascii("chainid"), "_ic": F.ascii("icode")})
     w_in = Window.partitionBy("entry", "_blk").orderBy("line_no")
-    a = (a.withColumn("_prev", F.lag(key).over(w_in))
-          .withColumn("_d", _delta(F.col("_prev"), key))
-          .withColumn("_run", F.sum("_d").over(w_in.rowsBetween(Window.unboundedPreceding, Window.currentRow))))
+    cur = [c(k) for k in _KEY]
+    a = a.withColumns({f"_p{k}": F.lag(k).over(w_in) for k in _KEY})
+    a = a.withColumn("_d", _delta([c(f"_p{k}") for k in _KEY], cur))
+    a = a.withColumn("_run", F.sum("_d").over(w_in.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    if materialize is not None:
+        a = materialize(a, "numbering_blocks", ["entry", "_blk"])
 
     blocks = a.groupBy("entry", "_blk").agg(
-        F.min_by(key, "line_no").alias("_first"),
-        F.max_by(key, "line_no").alias("_last"),
+        *(F.min_by(k, "line_no").alias(f"_f{k}") for k in _KEY),
+        *(F.max_by(k, "line_no").alias(f"_l{k}") for k in _KEY),
         F.sum("_d").alias("_inner"))
     w_blk = Window.partitionBy("entry").orderBy("_blk")
-    blocks = (blocks.withColumn("_prev_last", F.lag("_last").over(w_blk))
-                    .withColumn("_first_d", _delta(F.col("_prev_last"), F.col("_first")))
-                    .withColumn("_base", F.coalesce(
-                        F.sum(F.col("_first_d") + F.col("_inner")).over(
-                            w_blk.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + F.col("_first_d"))
-                    .select("entry", "_blk", "_prev_last", "_base"))
+    blocks = blocks.withColumns({f"_q{k}": F.lag(f"_l{k}").over(w_blk) for k in _KEY})
+    blocks = blocks.withColumn("_first_d", _delta([c(f"_q{k}") for k in _KEY], [c(f"_f{k}") for k in _KEY]))
+    blocks = blocks.withColumn("_base", F.coalesce(
+        F.sum(c("_first_d") + c("_inner")).over(w_blk.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        + c("_first_d")).select("entry", "_blk", "_base", *(f"_q{k}" for k in _KEY))
 
     out = a.join(blocks, ["entry", "_blk"])
-    prev = F.coalesce(F.col("_prev"), F.col("_prev_last"))
-    out = (out.withColumn("rescounter", (F.col("_base") + F.col("_run")).cast("int"))
-              .withColumn("out_of_order", F.coalesce(
-                  (prev["chainid"] == F.col("chainid")) & (F.col("resseq") < prev["resseq"]), F.lit(False)))
-              .drop("_prev", "_d", "_run", "_prev_last", "_base"))
+    # previous atom of the first row of a block = last atom of the block before
+    pch, prs = F.coalesce(c("_p_ch"), c("_q_ch")), F.coalesce(c("_presseq"), c("_qresseq"))
+    out = (out.withColumn("rescounter", (c("_base") + c("_run")).cast("int"))
+              .withColumn("out_of_order", F.coalesce((pch == c("_ch")) & (c("resseq") < prs), F.lit(False)))
+              .drop("_d", "_run", "_base", "_ch", "_ic", *(f"_p{k}" for k in _KEY), *(f"_q{k}" for k in _KEY)))
     # Everything after numbering works per residue: partition once on the residue key
     # (fine grained, so no hot partition even when one entry is huge).
     return out.repartition("entry", "chainid", "rescounter")
 
 
-def number_residues(atoms: DataFrame, block_lines: int = DEFAULT_BLOCK_LINES) -> DataFrame:
+def number_residues(atoms: DataFrame, block_lines: int = DEFAULT_BLOCK_LINES, materialize=None) -> DataFrame:
     """W1.  The atom table with ``rescounter``; helper columns dropped."""
-    return scan_residues(atoms, block_lines).drop("_blk", "out_of_order")
+    return scan_residues(atoms, block_lines, materialize).drop("_blk", "out_of_order")
 
 
 def chain_ends(atoms: DataFrame) -> DataFrame:

@@ -77,43 +77,68 @@ def duplicate_atoms(numbered: DataFrame) -> DataFrame:
 
 
 def check_entries(records: DataFrame, topology: Topology, block_lines: int = DEFAULT_BLOCK_LINES,
-                  file_paths: DataFrame | None = None) -> Checked:
+                  file_paths: DataFrame | None = None, materialize=None) -> Checked:
     """Q1-Q7 + W1 over ``scan_records`` output.
 
-    Shuffles: one on ``(entry, block)`` for numbering, one on the residue key that every
-    later operator reuses; the error table is one row per rejected entry.
+    All per-atom checks come from one projection over one flagged atom table (the first
+    failing check of each line, as one CASE), so the numbering runs once; record-level
+    checks (MODEL, unreadable record, missing DBREF) read the records.  Shuffles: one on
+    ``(entry, block)`` for numbering, one on the residue key that every later operator
+    reuses; the error table is one row per rejected entry.  ``materialize`` (see
+    ``session.Materializer``) writes the flagged atoms once when both the errors and the
+    clean atoms are needed.
     """
     atoms = blank_altloc(records).filter(F.col("malformed_at").isNull() | (F.col("malformed_at") > 0))
-    numbered = known_atoms(scan_residues(atoms, block_lines), topology)
-
-    cands = [
-        _tag(records.filter(F.col("record") == MODEL), 0, ENSEMBLE),
-        _tag(records.filter(F.col("malformed_at") == 0), 0, MALFORMED),
-        _tag(first_atom_without_dbref(records), 1, NO_DBREF),
-        _tag(numbered.filter("out_of_order"), 2, OUT_OF_ORDER),
-        _tag(numbered.filter(~F.col("res_known")), 3, UNKNOWN_RESIDUE),
-        _tag(numbered.filter(F.col("res_known") & ~F.col("atom_known")), 4, UNKNOWN_ATOM),
-        _tag(records.filter(F.col("malformed_at") == 5), 5, MALFORMED),
-        _tag(duplicate_atoms(numbered), 6, DUPLICATE_ATOM),
-    ]
+    numbered = known_atoms(scan_residues(atoms, block_lines, materialize), topology)
+    w = Window.partitionBy(*RESIDUE_KEY, "atomname").orderBy("line_no")
+    flagged = numbered.withColumn("occurrence", F.row_number().over(w))
+    if materialize is not None:
+        flagged = materialize(flagged, "numbered", RESIDUE_KEY)
+    c = F.col
+    checks = [(c("out_of_order"), 2, OUT_OF_ORDER), (~c("res_known"), 3, UNKNOWN_RESIDUE),
+              (~c("atom_known"), 4, UNKNOWN_ATOM), (c("malformed_at") == 5, 5, MALFORMED),
+              (c("occurrence") > 1, 6, DUPLICATE_ATOM)]
+    order, reason = F, F
+    for cond, o, r in checks:
+        order, reason = order.when(cond, F.lit(o)), reason.when(cond, F.lit(r))
+    atom_cands = flagged.select("entry", "line_no", order.alias("check_order"), reason.alias("reason")).filter(
+        c("check_order").isNotNull())
+    is_model = c("record") == MODEL
+    rec_cands = records.filter(is_model | (c("malformed_at") == 0)).select(
+        "entry", "line_no", F.lit(0).alias("check_order"),
+        F.when(is_model, F.lit(ENSEMBLE)).otherwise(F.lit(MALFORMED)).alias("reason"))
+    candidates = atom_cands.unionByName(rec_cands).unionByName(_tag(first_atom_without_dbref(records), 1, NO_DBREF))
     if file_paths is not None:
         dup_entry = (file_paths.groupBy("entry").agg(F.countDistinct("file_path").alias("_n"))
                      .filter(F.col("_n") > 1).select("entry", F.lit(-1).cast("long").alias("line_no")))
-        cands.append(_tag(dup_entry, -1, DUPLICATE_ENTRY))
-    candidates = cands[0]
-    for c in cands[1:]:
-        candidates = candidates.unionByName(c)
+        candidates = candidates.unionByName(_tag(dup_entry, -1, DUPLICATE_ENTRY))
     errors = entry_errors_from(candidates)
+    if materialize is not None:
+        errors = materialize(errors, "errors")  # one row per rejected entry; read twice
     # AQE turns this into a broadcast when the (one row per rejected entry) error table is
     # small at run time, and into a skew-split shuffle join when it is not.
-    clean = numbered.join(errors.select("entry"), "entry", "left_anti").select(*ATOM_COLUMNS)
-    return Checked(numbered, candidates, errors, clean)
+    clean = flagged.join(errors.select("entry"), "entry", "left_anti").select(*ATOM_COLUMNS)
+    return Checked(flagged, candidates, errors, clean)
+
+
+# Position of each reason among the checks of one line (the order the checks run in).
+_REASON_CODE = [(ENSEMBLE, 0, 0), (MALFORMED, 0, 1), (NO_DBREF, 1, 2), (OUT_OF_ORDER, 2, 3),
+                (UNKNOWN_RESIDUE, 3, 4), (UNKNOWN_ATOM, 4, 5), (MALFORMED, 5, 6), (DUPLICATE_ATOM, 6, 7),
+                (DUPLICATE_ENTRY, -1, 8)]
 
 
 def entry_errors_from(candidates: DataFrame) -> DataFrame:
-    """Q6.  First error per entry: smallest ``(line_no, check_order)`` (partial aggregation)."""
-    return candidates.groupBy("entry").agg(
-        F.min_by("reason", F.struct("line_no", "check_order")).alias("reason"))
+    """Q6.  First error per entry: smallest ``(line_no, check_order)``.  Both go into one long
+    (``line_no * 16 + code``) so the pick is a plain hash-aggregated ``min``."""
+    code = F
+    for reason, order, k in _REASON_CODE:
+        code = code.when((F.col("reason") == reason) & (F.col("check_order") == order), F.lit(k))
+    g = candidates.select("entry", (F.col("line_no") * 16 + code).alias("_k")).groupBy("entry").agg(
+        F.min("_k").alias("_k"))
+    back = F
+    for reason, _, k in _REASON_CODE:
+        back = back.when(F.pmod(F.col("_k"), F.lit(16)) == k, F.lit(reason))
+    return g.select("entry", back.alias("reason"))
 
 
 def entry_errors(records: DataFrame, topology: Topology, block_lines: int = DEFAULT_BLOCK_LINES) -> DataFrame:

@@ -46,20 +46,23 @@ def site_positions(atoms: DataFrame, topology: Topology) -> DataFrame:
         (a("_rres") == a("resname")) | (a("_rres").isNull() & a("is_end")))
     ).select(*RESIDUE_KEY, "siteid", "role", "resname", "x", "y", "z")
 
-    def pick(k: int):
-        return F.max(F.when(F.col("role") == k, F.struct("x", "y", "z")))
+    # Per-component maxima keep every aggregation buffer fixed-width (hash aggregation);
+    # the residue name is part of the key: a site forms from directors matched under one
+    # residue type (the role-1 atom's type, as before, whenever a residue is well formed).
+    g = hits.groupBy(*RESIDUE_KEY, "siteid", "resname").agg(*(
+        F.max(F.when(F.col("role") == k, F.col(c))).alias(f"a{k}{c}") for k in (1, 2, 3) for c in "xyz"))
+    return g.select(*RESIDUE_KEY, "siteid", "resname", *(f"a{k}{c}" for k in (1, 2, 3) for c in "xyz"))
 
-    g = hits.groupBy(*RESIDUE_KEY, "siteid").agg(
-        F.max(F.when(F.col("role") == 1, F.col("resname"))).alias("resname"),
-        pick(1).alias("_a1"), pick(2).alias("_a2"), pick(3).alias("_a3"))
-    return g.select(*RESIDUE_KEY, "siteid", "resname",
-                    *(F.col(f"_a{k}.{c}").alias(f"a{k}{c}") for k in (1, 2, 3) for c in "xyz"))
 
-
-def orient_sites(positions: DataFrame) -> DataFrame:
+def orient_sites(positions: DataFrame, drop_degenerate: bool = True) -> DataFrame:
     """G2 (P4, P5).  Gram-Schmidt: ex = unit(a2 - a1); ey = unit of the part of (a3 - a1)
-    normal to ex; ez = ex x ey.  Origin a1.  Sites with a missing director, coincident a1/a2
-    or collinear directors are dropped (division uses ``try_divide``, then NULL rows go)."""
+    normal to ex; ez = ex x ey.  Origin a1.  A missing director, coincident a1/a2 or collinear
+    directors give a NULL frame (``try_divide``), and such sites are dropped.
+
+    ``drop_degenerate=False`` keeps them with the NULL frame, for a caller that writes the
+    table and filters on read: a filter on the frame placed here is pushed below these
+    projections and inlined into one very large expression, so filtering a written column is
+    much cheaper."""
     a1, a2, a3 = (V3.cols(f"a{k}x", f"a{k}y", f"a{k}z") for k in (1, 2, 3))
     d1 = a2 - a1
     p = positions.select(*RESIDUE_KEY, "resname", "siteid", *a1.alias("x", "y", "z"),
@@ -77,7 +80,14 @@ def orient_sites(positions: DataFrame) -> DataFrame:
     p = p.select("*", *u.div(F.col("_n2")).alias("eyx", "eyy", "eyz"))
     ey = V3.cols("eyx", "eyy", "eyz")
     p = p.select("*", *cross(ex, ey).alias("ezx", "ezy", "ezz"))
-    return p.filter((F.col("_n1") > 0) & (F.col("_n2") > 0) & F.col("eyx").isNotNull()).select(*SITE_COLUMNS)
+    p = p.select(*SITE_COLUMNS)
+    return drop_degenerate_sites(p) if drop_degenerate else p
+
+
+def drop_degenerate_sites(cg: DataFrame) -> DataFrame:
+    """Keep oriented sites only.  ``eyx`` is NULL exactly when a director is missing, a1 = a2,
+    or the directors are collinear (every norm is >= 0, and 0 turns into NULL)."""
+    return cg.filter(F.col("eyx").isNotNull())
 
 
 def assign_sites(atoms: DataFrame, topology: Topology) -> DataFrame:

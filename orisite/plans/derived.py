@@ -76,8 +76,14 @@ def template_df(spark: SparkSession) -> DataFrame:
 
 
 def lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/lineitem.parquet").select(
+    """The six columns used.  A table held in fewer files than there are cores (the driver's
+    tables are one file with one row group) is read by one task however it is split, and
+    every derived row would be built there; spread such a table first.  A table in many
+    files is left as it is."""
+    li = spark.read.parquet(f"{sf_dir.rstrip('/')}/lineitem.parquet").select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag", "l_linestatus")
+    want = spark.sparkContext.defaultParallelism
+    return li.repartition(want) if len(li.inputFiles()) < want else li
 
 
 def residues(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -144,15 +150,24 @@ def numbered_atoms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- fixed-width text -----------------------------------------------------------------
 
-def fmt_coord(v: Column) -> Column:
-    """8-wide, 3 decimals, from integer thousandths (exact, same in every engine)."""
-    m = F.round(v * 1000.0).cast("long")
+def millis(v: Column) -> Column:
+    """Integer thousandths (round half away from zero, as every engine does for doubles)."""
+    return F.round(v * 1000.0).cast("long")
+
+
+def fmt_coord(m: Column) -> Column:
+    """8-wide, 3 decimals, from integer thousandths ``m`` (exact, same in every engine)."""
     a = F.abs(m)
     txt = F.concat(F.when(m < 0, F.lit("-")).otherwise(F.lit("")), ((a - a % 1000) / 1000).cast("long").cast("string"),
                    F.lit("."), F.lpad((a % 1000).cast("string"), 3, "0"))
     return F.lpad(txt, 8, " ")
 
 
+def with_millis(df: DataFrame) -> DataFrame:
+    return df.select("*", millis(F.col("x")).alias("_mx"), millis(F.col("y")).alias("_my"),
+                     millis(F.col("z")).alias("_mz"))
+
+
 def atom_line(record: Column, serial: Column, atomname: Column, altloc: Column, resname: Column,
               chainid: Column, resseq: Column, icode: Column, x: Column, y: Column, z: Column) -> Column:
     return F.concat(record, F.lpad(serial.cast("string"), 5, " "), F.lit(" "), atomname, altloc, resname,
@@ -163,10 +178,10 @@ def atom_line(record: Column, serial: Column, atomname: Column, altloc: Column,
 def structure_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clean text entries: one DBREF line, then the ATOM lines of ``structure_atoms``."""
     a = structure_atoms(spark, sf_dir)
-    atoms = a.select("entry", "line_no", atom_line(
+    atoms = with_millis(a).select("entry", "line_no", atom_line(
         F.lit("ATOM  "), F.col("serial"), F.col("atomname"), F.lit(" "), F.col("resname"), F.col("chainid"),
-        F.col("resseq"), F.col("icode"), fmt_coord(F.col("x")), fmt_coord(F.col("y")),
-        fmt_coord(F.col("z"))).alias("line"))
+        F.col("resseq"), F.col("icode"), fmt_coord(F.col("_mx")), fmt_coord(F.col("_my")),
+        fmt_coord(F.col("_mz"))).alias("line"))
     dbref = a.select("entry").distinct().select("entry", F.lit(0).cast("long").alias("line_no"),
                                                 F.concat(F.lit("DBREF  "), F.col("entry")).alias("line"))
     return dbref.unionByName(atoms)
@@ -182,22 +197,22 @@ def qc_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_linenumber").alias("resseq"), F.col("l_returnflag").alias("chainid"),
         F.col("l_linestatus").alias("icode"), (F.col("l_partkey") % 4).cast("int").alias("kind"))
     a = li.join(F.broadcast(template_df(spark)), "kind").filter(_keep_atom())
-    a = with_coordinates(a)
+    a = with_millis(with_coordinates(a))
     base = ((((F.col("pk") * 8 + F.col("resseq")) * 128 + F.ascii("chainid")) * 128 + F.ascii("icode")) * 16)
     name = F.when((F.col("sk") % RENAME_EVERY == 0) & (F.col("atomname") == RENAMED_FROM),
                   F.lit(RENAMED_TO)).otherwise(F.col("atomname"))
     alt = F.when(F.col("pk") % ALTLOC_EVERY == 0, F.lit("A")).otherwise(F.lit(" "))
     xs = F.when((F.col("pk") % BAD_X_EVERY == 0) & (F.col("serial") == 1), F.lit("  bad.xx")).otherwise(
-        fmt_coord(F.col("x")))
+        fmt_coord(F.col("_mx")))
     entry = F.col("ok").cast("string")
     atoms = a.select(entry.alias("entry"), (base + F.col("serial")).alias("line_no"), atom_line(
         F.lit("ATOM  "), F.col("serial"), name, alt, F.col("resname"), F.col("chainid"), F.col("resseq"),
-        F.col("icode"), xs, fmt_coord(F.col("y")), fmt_coord(F.col("z"))).alias("line"))
+        F.col("icode"), xs, fmt_coord(F.col("_my")), fmt_coord(F.col("_mz"))).alias("line"))
     het = a.filter((F.col("sk") % HETATM_EVERY == 0) & (F.col("serial") == 1)).select(
         entry.alias("entry"), (base + 15).alias("line_no"), atom_line(
             F.lit("HETATM"), F.col("serial"), F.col("atomname"), F.lit(" "), F.lit("ZZZ"), F.col("chainid"),
-            F.col("resseq"), F.col("icode"), fmt_coord(F.col("x")), fmt_coord(F.col("y")),
-            fmt_coord(F.col("z"))).alias("line"))
+            F.col("resseq"), F.col("icode"), fmt_coord(F.col("_mx")), fmt_coord(F.col("_my")),
+            fmt_coord(F.col("_mz"))).alias("line"))
     ents = li.select("ok").distinct()
     dbref = ents.filter(F.col("ok") % NO_DBREF_EVERY != 0).select(
         F.col("ok").cast("string").alias("entry"), F.lit(0).cast("long").alias("line_no"),
@@ -300,14 +315,14 @@ class Ctx:
         return self._src[name]
 
     def atoms(self) -> DataFrame:
-        return number_residues(self.source("structure_atoms")).select(
+        return number_residues(self.source("structure_atoms"), materialize=self.mat).select(
             "entry", "chainid", "resseq", "icode", "rescounter", "resname", "atomname", "x", "y", "z")
 
     def stages(self, legacy_y: bool = False) -> Stages:
         return Stages(self.atoms(), self.topo, legacy_y, self.mat)
 
     def checked(self):
-        return check_lines(self.source("qc_lines"), self.topo)
+        return check_lines(self.source("qc_lines"), self.topo, materialize=self.mat)
 
 
 def _q(fn: Callable[[Ctx], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:

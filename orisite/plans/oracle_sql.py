@@ -219,8 +219,8 @@ def analysis(w: W, atoms: str, legacy_y: bool = False, p: str = "") -> None:
                       f"FROM {p}pdb a JOIN {p}roles r ON a.atomname = r.atomname "
                       f"AND (r.resname = a.resname OR (r.resname IS NULL AND a.is_end))")
     picks = ", ".join(f"max(CASE WHEN role = {k} THEN {c} END) AS a{k}{c}" for k in (1, 2, 3) for c in AX)
-    w.add(f"{p}pos", f"SELECT entry, chainid, rescounter, siteid, max(CASE WHEN role = 1 THEN resname END) AS resname, "
-                     f"{picks} FROM {p}hits GROUP BY entry, chainid, rescounter, siteid")
+    w.add(f"{p}pos", f"SELECT entry, chainid, rescounter, siteid, resname, "
+                     f"{picks} FROM {p}hits GROUP BY entry, chainid, rescounter, siteid, resname")
     key = "entry, chainid, rescounter"
     w.add(f"{p}cg0", f"SELECT {key}, resname, siteid, a1x AS x, a1y AS y, a1z AS z, "
                      + ", ".join(f"a2{c} - a1{c} AS _d1{c}" for c in AX) + ", "

@@ -20,7 +20,7 @@ from orisite.operators.frames import frame_moments, to_site_frame
 from orisite.operators.numbering import DEFAULT_BLOCK_LINES, mark_chain_ends
 from orisite.operators.quality import Checked, check_entries
 from orisite.operators.report import rmsd_report
-from orisite.operators.sites import assign_sites, orient_sites, site_positions
+from orisite.operators.sites import assign_sites, drop_degenerate_sites, orient_sites, site_positions
 from orisite.session import Materializer
 from orisite.sources.sinks import write_table
 from orisite.sources.structures import scan_records
@@ -38,11 +38,13 @@ class Stages:
     """Memoised stage tables of one analysis, from a clean numbered atom table."""
 
     def __init__(self, atoms: DataFrame, topology: Topology, legacy_y: bool = False,
-                 materialize: Materialize | None = None):
+                 materialize: Materialize | None = None, atoms_are_cheap: bool = False):
         self.topology, self.legacy_y = topology, legacy_y
         self.m = materialize or _lazy
         self._atoms = atoms
         self._memo: dict[str, DataFrame] = {}
+        if atoms_are_cheap:  # already a projection of a written, residue-bucketed table
+            self._memo["atoms"] = atoms
 
     def _get(self, name: str, build: Callable[[], DataFrame], bucket: bool = True) -> DataFrame:
         if name not in self._memo:
@@ -60,7 +62,8 @@ class Stages:
 
     @property
     def cg(self) -> DataFrame:
-        return self._get("cg", lambda: orient_sites(site_positions(self.pdb, self.topology)))
+        return drop_degenerate_sites(self._get(
+            "cg", lambda: orient_sites(site_positions(self.pdb, self.topology), drop_degenerate=False)))
 
     @property
     def relative(self) -> DataFrame:
@@ -95,17 +98,19 @@ class Stages:
         return rmsd_report(self.moments, self.residuals, self.topology)
 
 
-def check_lines(lines: DataFrame, topology: Topology, block_lines: int = DEFAULT_BLOCK_LINES) -> Checked:
+def check_lines(lines: DataFrame, topology: Topology, block_lines: int = DEFAULT_BLOCK_LINES,
+                materialize: Materialize | None = None) -> Checked:
     """S2 + Q1-Q7 + W1 from structure lines ``(entry, line_no, line)``."""
-    return check_entries(scan_records(lines), topology, block_lines)
+    return check_entries(scan_records(lines), topology, block_lines, materialize=materialize)
 
 
 def analyse_lines(spark: SparkSession, lines: DataFrame, topology: Topology, legacy_y: bool = False,
                   block_lines: int = DEFAULT_BLOCK_LINES, materialize: Materialize | None = None
                   ) -> tuple[DataFrame, Stages]:
     """Errors table and the stages of the clean entries."""
-    checked = check_lines(lines, topology, block_lines)
-    return checked.errors, Stages(checked.clean, topology, legacy_y, materialize)
+    checked = check_lines(lines, topology, block_lines, materialize)
+    return checked.errors, Stages(checked.clean, topology, legacy_y, materialize,
+                                  atoms_are_cheap=materialize is not None)
 
 
 def run(spark: SparkSession, lines: DataFrame, topology: Topology, out: str, legacy_y: bool = False,

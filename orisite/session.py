@@ -18,6 +18,8 @@ PLAN_CONF = {
     "spark.sql.requireAllClusterKeysForCoPartition": "false",
     # Many small structure files: pack more of them into one read task.
     "spark.sql.files.openCostInBytes": str(1 << 20),
+    # Arrow for the (small) results handed to pandas.
+    "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
 

@@ -46,24 +46,25 @@ def scan_records(lines: DataFrame) -> DataFrame:
     checks), else NULL.  Every other record kind is dropped here, before any shuffle.
     """
     rec = field("line", 0, 6)
-    kept = lines.filter(rec.isin(ATOM, MODEL, *DBREF))
-    length = F.length("line")
-    altloc = char("line", 16)
-    resseq = int_field("line", 22, 26)
-    x, y, z = float_field("line", 30, 38), float_field("line", 38, 46), float_field("line", 46, 54)
-    is_atom = rec == ATOM
-    blank = altloc == " "
-    early_bad = (length <= 16) | (blank & ((length <= 26) | resseq.isNull()))
-    late_bad = blank & (x.isNull() | y.isNull() | z.isNull())
-    return kept.select(
-        "entry", "line_no", rec.alias("record"),
-        F.when(is_atom, altloc).alias("altloc"),
-        F.when(is_atom, field("line", 12, 16)).alias("atomname"),
-        F.when(is_atom, field("line", 17, 20)).alias("resname"),
-        F.when(is_atom, char("line", 21)).alias("chainid"),
-        F.when(is_atom, resseq).alias("resseq"),
-        F.when(is_atom, char("line", 26)).alias("icode"),
-        F.when(is_atom, x).alias("x"), F.when(is_atom, y).alias("y"), F.when(is_atom, z).alias("z"),
+    # Parse every field exactly once (one projection), then derive flags from the parsed
+    # columns; the planner keeps the two projections apart because each parsed column is
+    # used more than once.
+    parsed = lines.filter(rec.isin(ATOM, MODEL, *DBREF)).select(
+        "entry", "line_no", rec.alias("record"), F.length("line").alias("_len"),
+        char("line", 16).alias("_altloc"), field("line", 12, 16).alias("_atomname"),
+        field("line", 17, 20).alias("_resname"), char("line", 21).alias("_chainid"),
+        int_field("line", 22, 26).alias("_resseq"), char("line", 26).alias("_icode"),
+        float_field("line", 30, 38).alias("_x"), float_field("line", 38, 46).alias("_y"),
+        float_field("line", 46, 54).alias("_z"))
+    c = F.col
+    is_atom = c("record") == ATOM
+    blank = c("_altloc") == " "
+    early_bad = (c("_len") <= 16) | (blank & ((c("_len") <= 26) | c("_resseq").isNull()))
+    late_bad = blank & (c("_x").isNull() | c("_y").isNull() | c("_z").isNull())
+    return parsed.select(
+        "entry", "line_no", "record",
+        *(F.when(is_atom, c(f"_{n}")).alias(n) for n in
+          ("altloc", "atomname", "resname", "chainid", "resseq", "icode", "x", "y", "z")),
         F.when(is_atom & early_bad, F.lit(0)).when(is_atom & late_bad, F.lit(5)).alias("malformed_at"),
     )
 
