@@ -30,8 +30,14 @@ def _entries(seed=1, n_entries=6, n_res=8, moved=False, law=None):
             if res == "AAA":
                 names = [a for a in names if a not in (CG, CD)]
             pos = {a: np.array(GEOM[a]) + base.normal(size=3) * 0.05 for a in names}
-            if law is not None and res == "BBB":
-                pos[CB] = law(pos)
+            if law is not None:
+                # exact law: fixed site-0 directors, CG-CD moved as a rigid pair, CB = law(CD)
+                shift = base.normal(size=3) * 0.2
+                for a in (N, CA, C):
+                    pos[a] = np.array(GEOM[a])
+                if res == "BBB":
+                    pos[CG], pos[CD] = np.array(GEOM[CG]) + shift, np.array(GEOM[CD]) + shift
+                    pos[CB] = law(pos)
             off = np.array([r * 3.8, 0.0, 0.0])
             for a in names:
                 p = R @ (pos[a] + off) + t
