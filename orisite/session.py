@@ -26,6 +26,11 @@ PLAN_CONF = {
 def apply_plan_conf(spark: SparkSession) -> SparkSession:
     for k, v in PLAN_CONF.items():
         spark.conf.set(k, v)
+    # A single-machine session left at the stock 200 shuffle partitions runs hundreds of
+    # near-empty tasks per stage; match the cores there.  A cluster's setting is kept.
+    sc = spark.sparkContext
+    if sc.master.startswith("local") and spark.conf.get("spark.sql.shuffle.partitions") == "200":
+        spark.conf.set("spark.sql.shuffle.partitions", str(sc.defaultParallelism))
     return spark
 
 
@@ -70,14 +75,30 @@ class Materializer:
         base = root or ensure_checkpoint_dir(spark)
         self.tag = uuid.uuid4().hex[:12]
         self.root = f"{base.rstrip('/')}/orisite-{self.tag}"
-        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.buckets = buckets  # fixed at the first bucketed write, so later joins stay co-located
+
+    def _bucket_count(self, df) -> int:
+        """About 128 MB per bucket by the planner's size estimate, at least one per core and at
+        most ``spark.sql.shuffle.partitions``."""
+        if self.buckets is None:
+            lo = self.spark.sparkContext.defaultParallelism
+            hi = max(lo, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
+            try:
+                est = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+            except Exception:  # noqa: BLE001
+                est = 0
+            self.buckets = max(lo, min(hi, -(-est // (128 << 20))))
+        return self.buckets
 
     def __call__(self, df, name: str, bucket_by: list[str] | None = None):
         path = f"{self.root}/{name}"
         if bucket_by:
             table = f"orisite_{self.tag}_{name}"
-            (df.write.mode("overwrite").format("parquet").bucketBy(self.buckets, *bucket_by)
-             .option("path", path).saveAsTable(table))
-            return self.spark.table(table)
+            try:
+                (df.write.mode("overwrite").format("parquet").bucketBy(self._bucket_count(df), *bucket_by)
+                 .option("path", path).saveAsTable(table))
+                return self.spark.table(table)
+            except Exception:  # noqa: BLE001 - a catalog without bucketed tables: plain files
+                path = f"{path}_plain"
         df.write.mode("overwrite").parquet(path)
         return self.spark.read.parquet(path)
