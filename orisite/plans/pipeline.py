@@ -100,8 +100,10 @@ class Stages:
 
 def check_lines(lines: DataFrame, topology: Topology, block_lines: int = DEFAULT_BLOCK_LINES,
                 materialize: Materialize | None = None) -> Checked:
-    """S2 + Q1-Q7 + W1 from structure lines ``(entry, line_no, line)``."""
-    return check_entries(scan_records(lines), topology, block_lines, materialize=materialize)
+    """S2 + Q1-Q7 + W1 from structure lines ``(entry, line_no, line)``.  Lines read from files
+    also carry ``file_path``; then an entry name found in two folders is rejected too."""
+    paths = lines.select("entry", "file_path") if "file_path" in lines.columns else None
+    return check_entries(scan_records(lines), topology, block_lines, file_paths=paths, materialize=materialize)
 
 
 def analyse_lines(spark: SparkSession, lines: DataFrame, topology: Topology, legacy_y: bool = False,

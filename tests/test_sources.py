@@ -69,3 +69,16 @@ def test_run_writes_five_tables(spark):
     assert spark.read.parquet(paths["pdb"]).count() == len(lines) - 1
     assert spark.read.parquet(paths["cg"]).count() == 4  # 3 residues + terminus site
     assert spark.read.parquet(paths["rmsd"]).count() > 0
+
+
+def test_same_entry_name_in_two_folders_is_rejected(spark):
+    from helpers import topology
+    from orisite.plans.pipeline import check_lines
+
+    d = tempfile.mkdtemp(prefix="orisite-dup-")
+    lines = ["DBREF  1ABC", atom(1, N, "AAA", "A", 1, 1, 2, 3)]
+    _write(f"{d}/x/pdb1abc.ent", "\n".join(lines) + "\n")
+    _write(f"{d}/y/pdb1abc.ent", "\n".join(lines) + "\n")
+    _write(f"{d}/y/pdb2xyz.ent", "\n".join(lines) + "\n")
+    errs = {(r.entry, r.reason) for r in check_lines(read_structure_lines(spark, d), topology(spark)).errors.collect()}
+    assert errs == {("pdb1abc.ent", "Duplicate entry")}
