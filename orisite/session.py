@@ -68,9 +68,13 @@ class Materializer:
     residue key *bucketed* on it, so the reads stay co-partitioned without another shuffle.
     """
 
+    _open: list["Materializer"] = []
+
     def __init__(self, spark: SparkSession, root: str | None = None, buckets: int | None = None):
         import uuid
 
+        Materializer._open.append(self)
+
         self.spark = spark
         base = root or ensure_checkpoint_dir(spark)
         self.tag = uuid.uuid4().hex[:12]
@@ -102,3 +106,22 @@ class Materializer:
                 path = f"{path}_plain"
         df.write.mode("overwrite").parquet(path)
         return self.spark.read.parquet(path)
+
+    def drop(self) -> None:
+        """Remove this run's stage tables (catalog entries and files).  Call only once every
+        DataFrame built on them has been consumed."""
+        try:
+            for t in self.spark.catalog.listTables():
+                if t.name.startswith(f"orisite_{self.tag}_"):
+                    self.spark.sql(f"DROP TABLE IF EXISTS {t.name}")
+            jvm = self.spark.sparkContext._jvm
+            path = jvm.org.apache.hadoop.fs.Path(self.root)
+            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        except Exception:  # noqa: BLE001 - cleanup is best effort
+            pass
+
+    @classmethod
+    def drop_all(cls) -> None:
+        """Drop the stage tables of every materializer created so far in this process."""
+        while cls._open:
+            cls._open.pop().drop()
