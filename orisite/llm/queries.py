@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orisite.llm import decontaminate, mixing, simhash_dedup, suffix_dedup, toxicity
+from orisite.llm import decontaminate, lm_scoring, mixing, simhash_dedup, suffix_dedup, toxicity
 from orisite.llm.common import crc_mod
 
 
@@ -18,6 +18,11 @@ def held_out(m: int) -> F.Column:
     return F.coalesce(crc_mod(F.col("doc_id"), m) == 2, F.lit(True))
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = lm_scoring.score_texts(table(spark, sf_dir, "documents"), train=~held_out(7))
+    return scored.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.fit(docs.where(~held_out(4)), table(spark, sf_dir, "labels"))
@@ -33,13 +38,13 @@ def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 OP6_SQL = """
 WITH d AS (
-  SELECT doc_id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  SELECT doc_id, list_filter(regexp_split_to_array(lower(text),
          '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS w, text FROM documents),
 ds AS (
   SELECT DISTINCT doc_id, text, unnest(list_transform(range(0, greatest(len(w) - 4, 1)), lambda i: array_to_string(w[i + 1:i + 5], ' '))) AS g
   FROM d WHERE len(w) > 0),
 b AS (
-  SELECT DISTINCT item_id, text, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  SELECT DISTINCT item_id, text, list_filter(regexp_split_to_array(lower(text),
          '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS w FROM benchmark),
 bs AS (
   SELECT DISTINCT item_id, text, unnest(list_transform(range(0, greatest(len(w) - 4, 1)), lambda i: array_to_string(w[i + 1:i + 5], ' '))) AS g
@@ -72,6 +77,7 @@ def queries() -> dict:
     import corpus_pipeline
 
     return {
+        "op2_lm_scoring": op2_lm_scoring,
         "op3_toxicity": op3_toxicity,
         "op6_benchmark_decontamination": op6_benchmark_decontamination,
         "op7_mixing": op7_mixing,
