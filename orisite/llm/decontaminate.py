@@ -15,7 +15,7 @@ shingles on, 3 % for an item of one.
 Only DataFrame functions are used.  The sketch is an array made within the row, so documents are
 not shuffled; the items' shingles are broadcast if a count finds few, else joined by shuffle.
 
-Defined results: A-Z is lower-cased; words are ``[^\\x20\\x09-\\x0D]+``; a text of fewer than
+Defined results: texts are lower-cased; words are ``[^\\x20\\x09-\\x0D]+``; a text of fewer than
 ``shingle`` words is one shingle of all of them, so such an item only leaks into an equal text.  A
 null or blank item or document matches nothing.  Repeated items are found each; rows of one id are
 judged apart by their text and equal rows give one pair.  Null ids are kept as such.  Empty tables
@@ -24,10 +24,14 @@ give no pairs.  Only ids and texts are read.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orisite.llm.common import ascii_lower, let, within, words
+from orisite.llm.common import checkpointed, let, within
 
 SHINGLE, THRESHOLD = 5, 0.8
 #: Bins for each shingle of the largest document of a size class.
@@ -36,19 +40,28 @@ BINS = 16
 BROADCAST_ROWS = 200_000
 
 
+def split_words(text: Column) -> Column:
+    """Lower-cased words of a text; empty for a null or blank one."""
+    return let(F.lower(F.btrim(text, F.lit(" \t\n\x0b\x0c\r"))), lambda t: F.when(
+        t != "", F.split(t, r"[\x20\x09-\x0D]+")).otherwise(F.array().cast("array<string>")))
+
+
+def windows(words: Column, shingle: int, joined: Callable[..., Column], kind: str) -> Column:
+    """``joined`` of each run of ``shingle`` neighbours; of all words, if they are fewer (the places
+    beyond the end are null, which ``joined`` leaves out)."""
+    return F.when(F.size(words) > 0, F.transform(
+        F.sequence(F.lit(0), F.greatest(F.size(words) - shingle, F.lit(0))),
+        lambda i: joined(*(F.get(words, i + j) for j in range(shingle))))).otherwise(F.array().cast(f"array<{kind}>"))
+
+
 def shingle_hashes(text: Column, shingle: int) -> Column:
     """Hashes of a text's shingles, in order, repeats included."""
-    hashed = F.transform(words(ascii_lower(text)), lambda w: F.xxhash64(w))
-    return let(hashed, lambda h: F.when(F.size(h) > 0, F.transform(
-        F.sequence(F.lit(1), F.greatest(F.size(h) - shingle + 1, F.lit(1))),
-        lambda i: F.xxhash64(F.slice(h, i, shingle)))).otherwise(F.array().cast("array<bigint>")))
+    return let(F.transform(split_words(text), lambda w: F.xxhash64(w)), lambda h: windows(h, shingle, F.xxhash64, "bigint"))
 
 
 def shingle_texts(text: Column, shingle: int) -> Column:
     """The distinct shingles of a text."""
-    return let(words(ascii_lower(text)), lambda w: F.when(F.size(w) > 0, F.array_distinct(F.transform(
-        F.sequence(F.lit(1), F.greatest(F.size(w) - shingle + 1, F.lit(1))),
-        lambda i: F.array_join(F.slice(w, i, shingle), " ")))).otherwise(F.array().cast("array<string>")))
+    return let(split_words(text), lambda w: F.array_distinct(windows(w, shingle, lambda *g: F.concat_ws(" ", *g), "string")))
 
 
 def sketch(hashes: Column) -> Column:
@@ -79,20 +92,19 @@ def leaks(docs: DataFrame, items: DataFrame, shingle: int = SHINGLE, threshold:
     candidates = (sketched.join(within(hashes, n, BROADCAST_ROWS), "h")
                   .where(F.col("n_doc") >= F.col("n_item") * threshold)
                   .select("doc_id", "text_hash", "item_id", "item_hash").distinct())
+    candidates = checkpointed(candidates.withColumnsRenamed({k: f"c_{k}" for k in candidates.columns}))  # read twice
 
-    def same(a: DataFrame, b: DataFrame, *names: str) -> Column:
-        on = F.lit(True)
-        for k in names:
-            on &= a[k].eqNullSafe(b[k])
-        return on
+    def same(*names: str) -> Column:
+        return reduce(and_, (F.col(k).eqNullSafe(F.col(f"c_{k}")) for k in names))
 
-    held = candidates.select("doc_id", "text_hash").distinct()
-    whole = d.join(held, same(d, held, "doc_id", "text_hash"), "left_semi").distinct()
+    held = candidates.select("c_doc_id", "c_text_hash").distinct()
+    held = within(held, held.count(), BROADCAST_ROWS)
+    whole = d.join(held, same("doc_id", "text_hash"), "left_semi").dropDuplicates(["doc_id", "text_hash"])
     shared = (whole.select("doc_id", "text_hash", F.explode(shingle_texts(F.col("text"), shingle)).alias("gram"))
               .join(within(grams, n, BROADCAST_ROWS), "gram")
               .groupBy("doc_id", "text_hash", "item_id", "item_hash", "n_item").agg(F.count("*").alias("n_common")))
     exact = shared.where(F.col("n_common") >= F.col("n_item") * threshold)
-    verified = exact.join(candidates, same(exact, candidates, "doc_id", "text_hash", "item_id", "item_hash"), "left_semi")
+    verified = exact.join(candidates, same("doc_id", "text_hash", "item_id", "item_hash"), "left_semi")
     return verified.select("doc_id", "text_hash", "item_id", "n_common", F.col("n_item").cast("long").alias("n_item"),
                            (F.col("n_common") / F.col("n_item")).alias("containment"))
 
@@ -100,5 +112,6 @@ def leaks(docs: DataFrame, items: DataFrame, shingle: int = SHINGLE, threshold:
 def drop_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """The rows of ``docs`` that no item leaks into."""
     found = leaks(docs, items, id_col=id_col, text_col=text_col, **how)
-    found = found.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
+    found = checkpointed(found.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct())
+    found = within(found, found.count(), BROADCAST_ROWS)
     return docs.join(found, docs[id_col].eqNullSafe(found["__id"]) & (F.xxhash64(docs[text_col]) == found["__hash"]), "left_anti")
