@@ -57,18 +57,17 @@ def minima(key: np.ndarray, span: int) -> np.ndarray:
     if n <= 0:
         return np.empty(0, np.int64)
     blocks = -(-len(key) // span)
-    bits = np.uint64(max(1, (span - 1).bit_length()))
-    low = np.uint64((1 << int(bits)) - 1)
-    k = np.full(blocks * span, np.uint64((1 << 64) - 1))
-    k[: len(key)] = (key & ~low)
+    bits = np.uint32(max(1, (span - 1).bit_length()))
+    low = np.uint32((1 << int(bits)) - 1)
+    k = np.full(blocks * span, np.uint32((1 << 32) - 1))
+    k[: len(key)] = key | low
     k = k.reshape(blocks, span)
-    k |= np.arange(span, dtype=np.uint64)  # leftmost among equals, within a block
+    k &= ~low | np.arange(span, dtype=np.uint32)  # leftmost among equals, within a block
     base = np.repeat(np.arange(blocks, dtype=np.int64) * span, span)
     left = np.minimum.accumulate(k[:, ::-1], axis=1)[:, ::-1].reshape(-1)[:n]
     right = np.minimum.accumulate(k, axis=1).reshape(-1)[span - 1: span - 1 + n]
     in_left = (left >> bits) <= (right >> bits)
-    return np.where(in_left, base[:n] + (left & low).astype(np.int64),
-                    base[span - 1: span - 1 + n] + (right & low).astype(np.int64))
+    return np.where(in_left, base[:n] + (left & low), base[span - 1: span - 1 + n] + (right & low))
 
 
 class Parse:
@@ -112,8 +111,9 @@ class Parse:
         width, span = self.width, self.span
         end = min(len(self.text), b + width + span)
         h = self._hashes(a, end)
-        at = np.arange(max(0, end - a - GRAM + 1))
-        top = minima(self.rolling.of(h, at, at + GRAM), span)
+        key = (h[GRAM:] - h[:-GRAM]) * self.rolling.down[: max(0, end - a - GRAM + 1)]
+        key *= np.uint64(0x9E3779B97F4A7C15)
+        top = minima((key >> np.uint64(32)).astype(np.uint32), span)
         # a window must end within its document
         first, last = np.searchsorted(self.bounds, [a, b - 1], side="right") - 1
         ok = np.zeros(b - a, bool)
