@@ -168,14 +168,14 @@ def pieces(texts: list[bytes], limit: int = PIECE_BYTES) -> Iterator[tuple[list[
 
 def word_hashes(texts: list[bytes], values: np.ndarray, rolling: Rolling) -> tuple[np.ndarray, np.ndarray]:
     """(hash of each word, number of its document), in text order; words as in ``WORD``."""
-    blank, hs, ds = is_blank(), [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+    blank, hs, ds = is_blank(), [np.empty(0, np.uint64)], [np.empty(0, np.int32)]
     for nos, parts in pieces(texts):
         buf = np.frombuffer(b" " + b" ".join(parts) + b" ", np.uint8)
         edge = np.flatnonzero(np.diff(blank[buf].view(np.int8)))
         start, end = edge[::2] + 1, edge[1::2] + 1
         hs.append(rolling.of(rolling.prefix(values[buf]), start, end))
         ends = np.cumsum([len(p) + 1 for p in parts])
-        ds.append(np.asarray(nos, np.int64)[np.searchsorted(ends, start - 1, side="right")])
+        ds.append(np.asarray(nos, np.int32)[np.searchsorted(ends, start - 1, side="right")])
     return np.concatenate(hs), np.concatenate(ds)
 
 

@@ -34,7 +34,7 @@ from orisite.llm.suffix_dedup import bucket_of, split
 VALUES = byte_values(2, lower=True)
 START, END = np.uint64(1), np.uint64(2)
 #: Bytes of text in a batch, about.
-BATCH_BYTES = 24 << 20
+BATCH_BYTES = 16 << 20
 ORDER, MASS = 2, 1000.0
 ASKED = pa.schema([("bucket", pa.int64()), ("batch", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
 ANSWER = pa.schema([("batch", pa.int64()), ("bucket", pa.int64()), ("counts", pa.binary())])
@@ -54,26 +54,38 @@ class Grams:
         words = np.bincount(doc, minlength=len(texts))
         self.n = words + 1
         self.at = np.concatenate([[0], np.cumsum(words + 2)])[:-1]
-        tokens = np.full(len(h) + 2 * len(texts), END)
-        tokens[self.at] = START
-        tokens[np.arange(len(h)) + 2 * doc + 1] = h
-        self.text = np.repeat(np.arange(len(texts)), words + 2)
+        gram = np.full(len(h) + 2 * len(texts), END)
+        gram[self.at] = START
+        doc = 2 * doc + 1
+        doc += np.arange(len(h), dtype=doc.dtype)
+        gram[doc] = h
+        del h, doc  # large: a batch and its temporaries must fit in a worker
+        self.text = np.repeat(np.arange(len(texts), dtype=np.int32), words + 2)
         self.number, self.keys, self.first = [], [], []
-        gram, valid = tokens, np.ones(len(tokens), bool)
-        for length in range(1, order + 1):
-            if length > 1:
-                longer = np.zeros(len(tokens), np.uint64)
-                longer[1:] = mix64(gram[:-1] * np.uint64(0x9E3779B97F4A7C15) + tokens[1:])
-                ok = np.zeros(len(tokens), bool)
-                ok[1:] = valid[:-1] & (tokens[1:] != START)
-                gram, valid = longer, ok
-            place = np.flatnonzero(valid)
-            keys, first, number = np.unique(gram[place], return_index=True, return_inverse=True)
-            of = np.full(len(tokens), -1, np.int32)
-            of[place] = number
-            self.number.append(of)
-            self.keys.append(keys)
-            self.first.append(place[first])
+        self._number(gram, np.ones(len(gram), bool))
+        tokens, valid = gram, np.ones(len(gram), bool)
+        for _ in range(1, order):
+            longer = np.zeros(len(tokens), np.uint64)
+            longer[1:] = gram[:-1]
+            longer *= np.uint64(0x9E3779B97F4A7C15)
+            longer += tokens
+            gram = mix64(longer)
+            valid = np.concatenate([[False], valid[:-1]])
+            valid &= tokens != START
+            self._number(gram, valid)
+
+    def _number(self, gram: np.ndarray, valid: np.ndarray) -> None:
+        place = np.flatnonzero(valid).astype(np.int32)
+        place = place[np.argsort(gram[place])]
+        sorted_ = gram[place]
+        new = np.ones(len(place), bool)
+        new[1:] = sorted_[1:] != sorted_[:-1]
+        self.keys.append(sorted_[new])
+        self.first.append(place[new])
+        del sorted_
+        of = np.full(len(gram), -1, np.int32)
+        of[place] = np.cumsum(new, dtype=np.int32) - 1
+        self.number.append(of)
 
     def counts(self, marked: np.ndarray) -> list[np.ndarray]:
         """How often each n-gram occurs in the marked texts."""
@@ -133,22 +145,18 @@ class BackoffAutomaton:
 
 
 def _ask(batch: int, keys: list[np.ndarray], counts: list[np.ndarray], buckets: int) -> Iterator[dict]:
-    key, count = np.concatenate(keys), np.concatenate(counts).astype(np.uint32)
-    for b, at in split(bucket_of(mix64(key), buckets)):
+    key, count = np.concatenate(keys), np.concatenate([c.astype(np.uint32) for c in counts])
+    for b, at in split(bucket_of(mix64(key), buckets).astype(np.int32)):
         yield {"bucket": b, "batch": batch, "keys": pack(key[at]), "counts": pack(count[at])}
 
 
-def _sum(t: pa.Table) -> tuple[list[int], np.ndarray, np.ndarray]:
-    """(entries of each row, number of each entry's key, total count of each key)."""
+def answer(t: pa.Table) -> pa.Table:
+    """For one bucket: the counts of each row's keys, added up over all batches."""
     keys = [np.frombuffer(x.as_py(), np.uint64) for x in t.column("keys")]
     counts = np.concatenate([np.frombuffer(x.as_py(), np.uint32) for x in t.column("counts")])
     _, number = np.unique(np.concatenate(keys), return_inverse=True)
-    return [len(k) for k in keys], number, np.bincount(number, counts).astype(np.int64)
-
-
-def answer(t: pa.Table) -> pa.Table:
-    sizes, number, total = _sum(t)
-    parts = np.split(total[number], np.cumsum(sizes)[:-1])
+    total = np.bincount(number, counts).astype(np.int64)
+    parts = np.split(total[number], np.cumsum([len(k) for k in keys])[:-1])
     return pa.Table.from_pylist([{"batch": b, "bucket": t.column("bucket")[0].as_py(), "counts": pack(c)}
                                  for b, c in zip(t.column("batch").to_pylist(), parts)], ANSWER)
 
@@ -161,16 +169,17 @@ def training_size(docs: DataFrame, buckets: int) -> tuple[int, int]:
             texts = byte_texts(b.column("text"))
             if texts:
                 g = Grams(texts, 1)
-                key, count = g.keys[0], g.counts(np.ones(len(texts), bool))[0]
-                word = key != START
-                rows = list(_ask(0, [key[word]], [count[word]], buckets))
-                yield pa.RecordBatch.from_pylist(rows, ASKED)
+                key = g.keys[0][g.keys[0] != START]
+                rows = [{"bucket": b, "n": 0, "keys": pack(key[at])} for b, at in split(bucket_of(mix64(key), buckets))]
+                rows[0]["n"] = int(g.n.sum())
+                yield pa.RecordBatch.from_pylist(rows, schema)
 
     def size(t: pa.Table) -> pa.Table:
-        total = _sum(t)[2]
-        return pa.table({"n": pa.array([int(total.sum())], pa.int64()), "v": pa.array([len(total)], pa.int64())})
+        keys = np.unique(np.concatenate([np.frombuffer(x.as_py(), np.uint64) for x in t.column("keys")]))
+        return pa.table({"n": [sum(t.column("n").to_pylist())], "v": [len(keys)]})
 
-    asked = docs.select("text").mapInArrow(ask, "bucket long, batch long, keys binary, counts binary")
+    schema = pa.schema([("bucket", pa.int64()), ("n", pa.int64()), ("keys", pa.binary())])
+    asked = docs.select("text").mapInArrow(ask, "bucket long, n long, keys binary")
     n, v = asked.groupBy("bucket").applyInArrow(size, "n long, v long").agg(F.sum("n"), F.sum("v")).first()
     return n or 0, v or 0
 
@@ -186,7 +195,7 @@ def score_texts(docs: DataFrame, train: Column, order: int = ORDER, mass: float
     by_batch = slim.withColumn("batch", F.pmod(F.xxhash64("doc_id", "text"), F.lit(batches))).groupBy("batch")
 
     def read(t: pa.Table) -> Grams:
-        return Grams(byte_texts(t.column("text")), order)
+        return Grams(byte_texts(t.column("text")), order)  # the bytes are let go of here
 
     def ask(t: pa.Table) -> pa.Table:
         g = read(t)
@@ -204,12 +213,12 @@ def score_texts(docs: DataFrame, train: Column, order: int = ORDER, mass: float
                 total[at] = np.frombuffer(got[b], np.int64)
             counts = np.split(total, np.cumsum([len(k) for k in g.keys])[:-1])
             model = BackoffAutomaton(g, counts, n, v, mass)
-            words = np.ones(len(g.text), bool)
-            words[g.at] = False
-            of, text = g.number[0][words], g.text[words]
             size = t.num_rows
-            known = np.bincount(text, counts[0][of] > 0, size).astype(np.int64)
-            base = np.bincount(text, model.arc[0][of], size)
+            known, log_p = (counts[0] > 0).astype(np.int32), model.arc[0].copy()
+            start = np.searchsorted(g.keys[0], START)  # stands in each sequence, but is no token
+            known[start] = log_p[start] = 0
+            known = np.add.reduceat(known[g.number[0]], g.at).astype(np.int64)
+            base = np.add.reduceat(log_p[g.number[0]], g.at)
             out |= {"n_tokens": g.n, "n_known": known, "train_tokens": np.full(size, n), "base_score": base,
                     "score": model.traverse()}
         else:
