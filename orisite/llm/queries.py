@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orisite.llm import decontaminate, lm_scoring, mixing, simhash_dedup, suffix_dedup, toxicity
+from orisite.llm import (decontaminate, html_text, language_id, lm_scoring, mixing, simhash_dedup, suffix_dedup, token_counts,
+                         topk_search, toxicity)
 from orisite.llm.common import crc_mod
 
 
@@ -18,6 +19,10 @@ def held_out(m: int) -> F.Column:
     return F.coalesce(crc_mod(F.col("doc_id"), m) == 2, F.lit(True))
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(table(spark, sf_dir, "documents")).select("doc_id", "n_tokens")
+
+
 def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = lm_scoring.score_texts(table(spark, sf_dir, "documents"), train=~held_out(7))
     return scored.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
@@ -31,6 +36,18 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
                          (F.col("toxicity") >= 0.3).cast("int").alias("predicted"))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.fit(docs.where(~held_out(4)))
+    told = language_id.predict(docs, model, keep=["doc_id"])
+    return told.select("doc_id", held_out(4).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
+
+
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = html_text.extract_text(table(spark, sf_dir, "pages"), keep=["page_id", "url"])
+    return done.select("page_id", "url", F.col("page_text").alias("text"), F.length("page_text").cast("long").alias("n_chars"))
+
+
 def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "item_id", "n_common", "n_item", "containment")
@@ -68,6 +85,24 @@ def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op9_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = topk_search.top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, k=20, scale=64)
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
+OP9_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 20
+"""
+
+
 def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), width=100, with_text=False, keep=["doc_id"])
     return done.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
@@ -77,15 +112,19 @@ def queries() -> dict:
     import corpus_pipeline
 
     return {
+        "op1_token_counts": op1_token_counts,
         "op2_lm_scoring": op2_lm_scoring,
         "op3_toxicity": op3_toxicity,
+        "op4_language_id": op4_language_id,
+        "op5_html_extraction": op5_html_extraction,
         "op6_benchmark_decontamination": op6_benchmark_decontamination,
         "op7_mixing": op7_mixing,
         "op8_simhash_dedup": op8_simhash_dedup,
+        "op9_topk_search": op9_topk_search,
         "op10_suffix_array_dedup": op10_suffix_array_dedup,
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_benchmark_decontamination": OP6_SQL}
+    return {"op6_benchmark_decontamination": OP6_SQL, "op9_topk_search": OP9_SQL}
