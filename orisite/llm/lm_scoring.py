@@ -144,20 +144,31 @@ class BackoffAutomaton:
         return out
 
 
+def pack_counts(c: np.ndarray) -> bytes:
+    """One byte for each count; 255 stands for a larger one, which follows in eight bytes."""
+    return pack(np.minimum(c, 255).astype(np.uint8)) + pack(c[c >= 255].astype(np.int64))
+
+
+def unpack_counts(b: bytes, n: int) -> np.ndarray:
+    c = np.frombuffer(b, np.uint8, n).astype(np.int64)
+    c[c == 255] = np.frombuffer(b, np.int64, offset=n)
+    return c
+
+
 def _ask(batch: int, keys: list[np.ndarray], counts: list[np.ndarray], buckets: int) -> Iterator[dict]:
-    key, count = np.concatenate(keys), np.concatenate([c.astype(np.uint32) for c in counts])
+    key, count = np.concatenate(keys), np.concatenate(counts)
     for b, at in split(bucket_of(mix64(key), buckets).astype(np.int32)):
-        yield {"bucket": b, "batch": batch, "keys": pack(key[at]), "counts": pack(count[at])}
+        yield {"bucket": b, "batch": batch, "keys": pack(key[at]), "counts": pack_counts(count[at])}
 
 
 def answer(t: pa.Table) -> pa.Table:
     """For one bucket: the counts of each row's keys, added up over all batches."""
     keys = [np.frombuffer(x.as_py(), np.uint64) for x in t.column("keys")]
-    counts = np.concatenate([np.frombuffer(x.as_py(), np.uint32) for x in t.column("counts")])
+    counts = np.concatenate([unpack_counts(x.as_py(), len(k)) for x, k in zip(t.column("counts"), keys)])
     _, number = np.unique(np.concatenate(keys), return_inverse=True)
     total = np.bincount(number, counts).astype(np.int64)
     parts = np.split(total[number], np.cumsum([len(k) for k in keys])[:-1])
-    return pa.Table.from_pylist([{"batch": b, "bucket": t.column("bucket")[0].as_py(), "counts": pack(c)}
+    return pa.Table.from_pylist([{"batch": b, "bucket": t.column("bucket")[0].as_py(), "counts": pack_counts(c)}
                                  for b, c in zip(t.column("batch").to_pylist(), parts)], ANSWER)
 
 
@@ -210,7 +221,7 @@ def score_texts(docs: DataFrame, train: Column, order: int = ORDER, mass: float
             key = np.concatenate(g.keys)
             total = np.empty(len(key), np.int64)
             for b, at in split(bucket_of(mix64(key), batches)):
-                total[at] = np.frombuffer(got[b], np.int64)
+                total[at] = unpack_counts(got[b], len(at))
             counts = np.split(total, np.cumsum([len(k) for k in g.keys])[:-1])
             model = BackoffAutomaton(g, counts, n, v, mass)
             size = t.num_rows
