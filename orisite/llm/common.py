@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from orisite.session import ensure_checkpoint_dir
 
 #: Bytes of text that one vectorised step handles; temporaries are some 60 times as large.
-PIECE_BYTES = 1 << 20
+PIECE_BYTES = 1 << 18
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -37,6 +37,13 @@ def words(text: Column) -> Column:
     return F.filter(F.split(t, " "), lambda w: w != "")
 
 
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """``df``, in a session whose Arrow batches hold at most 8 MB of rows (or one row): a batch of
+    10,000 long texts, the default, would have to fit in a worker several times."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+    return df
+
+
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
     """``use(value)`` with the value computed once, also where ``use`` names it in a lambda."""
     return F.element_at(F.transform(F.array(value), use), 1)

@@ -26,6 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from orisite.llm.common import bounded_batches
+
 DEPTH = 200
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
@@ -384,4 +386,4 @@ def extract_text(pages: DataFrame, html_col: str = "html", keep: list[str] | Non
         for b in batches:
             yield pa.record_batch({"__row": b.column("__row"), "page_text": pa.array(map(render, b.column("html").to_pylist()), pa.string())})
 
-    return slim.mapInArrow(scan, StructType([slim.schema["__row"]]).add("page_text", "string")).select("__row.*", "page_text")
+    return bounded_batches(slim).mapInArrow(scan, StructType([slim.schema["__row"]]).add("page_text", "string")).select("__row.*", "page_text")

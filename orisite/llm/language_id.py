@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from orisite.llm.common import Rolling, byte_texts, mix64, pieces, within
+from orisite.llm.common import Rolling, bounded_batches, byte_texts, mix64, pieces, within
 
 PER_LANG = 1_000
 LONGEST = 4
@@ -49,7 +49,7 @@ class Letters:
                 self.letter[c] = True
                 low[c] = ord(x) if len(x := s.lower()) == 1 else c
         self.value = mix64(low + np.uint64(11)) | np.uint64(1)
-        self.rolling = Rolling(1 << 20)
+        self.rolling = Rolling(1 << 19)
 
 
 class Words:
@@ -113,7 +113,7 @@ def count_sample(sample: DataFrame, longest: int) -> DataFrame:
                     yield pa.record_batch({"lang": pa.array([lang] * len(key), pa.string()), "kind": pa.array([kind] * len(key), pa.int32()),
                                            "gram": pa.array(key.view(np.int64)), "n": pa.array(n)})
 
-    return (sample.select("lang", "text").mapInArrow(count, "lang string, kind int, gram long, n long")
+    return (bounded_batches(sample).select("lang", "text").mapInArrow(count, "lang string, kind int, gram long, n long")
             .groupBy("lang", "kind", "gram").agg(F.sum("n").alias("n")))
 
 
@@ -204,4 +204,4 @@ def predict(docs: DataFrame, model: LanguageModel, text_col: str = "text", keep:
             yield pa.record_batch({"__row": b.column("__row"), "lang_pred": pa.array(lang, pa.string()), "lang_score": pa.array(score, pa.float64())})
 
     schema = StructType([slim.schema["__row"]]).add("lang_pred", "string").add("lang_score", "double")
-    return slim.mapInArrow(scan, schema).select("__row.*", "lang_pred", "lang_score")
+    return bounded_batches(slim).mapInArrow(scan, schema).select("__row.*", "lang_pred", "lang_score")

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orisite.llm.common import Rolling, batch_count, byte_texts, byte_values, mix64, pack, word_hashes
+from orisite.llm.common import Rolling, batch_count, bounded_batches, byte_texts, byte_values, mix64, pack, word_hashes
 from orisite.llm.suffix_dedup import bucket_of, split
 
 VALUES = byte_values(2, lower=True)
@@ -50,7 +50,7 @@ class Grams:
     """
 
     def __init__(self, texts: list[bytes], order: int):
-        h, doc = word_hashes(texts, VALUES, Rolling(1 << 21))
+        h, doc = word_hashes(texts, VALUES, Rolling(1 << 19))
         words = np.bincount(doc, minlength=len(texts))
         self.n = words + 1
         self.at = np.concatenate([[0], np.cumsum(words + 2)])[:-1]
@@ -201,7 +201,7 @@ def score_texts(docs: DataFrame, train: Column, order: int = ORDER, mass: float
     marks the rows that the model learns from."""
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"),
                        F.coalesce(train, F.lit(False)).alias("train"))
-    batches = batch_count(slim, "text", batch_bytes)
+    batches = batch_count(bounded_batches(slim), "text", batch_bytes)
     n, v = training_size(slim.where("train"), batches)
     by_batch = slim.withColumn("batch", F.pmod(F.xxhash64("doc_id", "text"), F.lit(batches))).groupBy("batch")
 

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from orisite.llm.common import byte_texts, checkpointed, connected_components
+from orisite.llm.common import bounded_batches, byte_texts, checkpointed, connected_components
 
 SEED = 42
 #: Shingles whose bits are counted in one step.
@@ -56,7 +56,7 @@ def fingerprints(docs: DataFrame, shingle: int, id_col: str = "doc_id", text_col
             yield pa.record_batch({"doc_id": b.column("doc_id"), "fp": pa.array(fps, pa.int64())})
 
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return slim.mapInArrow(scan, "doc_id long, fp long")
+    return bounded_batches(slim).mapInArrow(scan, "doc_id long, fp long")
 
 
 def links(nodes: DataFrame, max_bits: int) -> DataFrame:

@@ -40,12 +40,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from orisite.llm.common import PIECE_BYTES, Rolling, batch_count, byte_texts, byte_values, mix64, pack
+from orisite.llm.common import PIECE_BYTES, Rolling, batch_count, bounded_batches, byte_texts, byte_values, mix64, pack
 
 GRAM = 16
 VALUES = byte_values(10)
 #: Bytes of text in a batch, about.
-BATCH_BYTES = 12 << 20
+BATCH_BYTES = 4 << 20
 FIRST, REPEAT, EDGE = 0, 1, 2
 
 
@@ -140,7 +140,8 @@ class Parse:
         """(start, hash) of every window of the chosen phrases, in corpus order."""
         lo, hi = self.lo[chosen], self.hi[chosen]
         n = hi - lo + 1
-        start = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+        start = np.repeat((lo - np.concatenate([[0], np.cumsum(n)[:-1]])).astype(np.int32), n)
+        start += np.arange(len(start), dtype=np.int32)
         out = np.empty(len(start), np.uint64)
         for a, b in self._stretches():
             i, j = np.searchsorted(start, [a, b])
@@ -270,8 +271,14 @@ def repeated(texts: list[bytes], answers: pa.Table, width: int, span: int, bucke
     np.add.at(change, parse.lo[whole], 1)
     np.add.at(change, parse.hi[whole] + width, -1)
     start, h = parse.windows(flags == EDGE)
-    key, first, back = np.unique(h, return_index=True, return_inverse=True)
-    gone = start[(_read(answers, 1, key, buckets)[back] == REPEAT) | (first[back] != np.arange(len(h)))]
+    order = np.argsort(h, kind="stable")
+    h, start = h[order], start[order]
+    del order
+    new = np.ones(len(h), bool)  # the first of the batch with this hash; it may still be a repeat
+    new[1:] = h[1:] != h[:-1]
+    gone = ~new
+    gone[new] = _read(answers, 1, h[new], buckets) == REPEAT
+    gone = start[gone]
     np.add.at(change, gone, 1)
     np.add.at(change, gone + width, -1)
     return np.cumsum(change[:-1], dtype=np.int32) > 0, parse.bounds
@@ -322,14 +329,15 @@ def remove_repeats(docs: DataFrame, width: int = 100, span: int = 64, batch_byte
     # null ids sort first, so they belong to the first batch
     batch = batch_of(F.coalesce("doc_id", F.lit(-(1 << 63)))) if bounds else F.lit(0).cast("long")
     batched = slim.withColumn("batch", batch)
-    by_batch = batched.groupBy("batch")
-    asked = by_batch.applyInArrow(lambda t: ask_stems(t, width, span, n), ASKED_SQL)
+    by_batch = bounded_batches(batched).groupBy("batch")
+    buckets = -(-n // 2)
+    asked = by_batch.applyInArrow(lambda t: ask_stems(t, width, span, buckets), ASKED_SQL)
     stems = asked.groupBy("bucket").applyInArrow(answer, ANSWER_SQL)
     edges = by_batch.cogroup(stems.groupBy("batch")).applyInArrow(
-        lambda t, a: ask_windows(t, a, width, span, n), ASKED_SQL)
+        lambda t, a: ask_windows(t, a, width, span, buckets), ASKED_SQL)
     windows = edges.groupBy("bucket").applyInArrow(answer, ANSWER_SQL)
     result = (StructType([slim.schema["__row"]]).add("n_bytes", "long").add("n_removed", "long").add("n_spans", "long")
               .add("kept", "binary").add("kept_text", "string").add("kept_sha256", "string"))
     removed = by_batch.cogroup(stems.unionByName(windows).groupBy("batch")).applyInArrow(
-        lambda t, a: remove_batch(t, a, width, span, n, with_text), result)
+        lambda t, a: remove_batch(t, a, width, span, buckets, with_text), result)
     return removed.select("__row.*", "n_bytes", "n_removed", "n_spans", "kept", "kept_text", "kept_sha256")

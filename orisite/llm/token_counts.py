@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from orisite.llm.common import byte_texts
+from orisite.llm.common import bounded_batches, byte_texts
 from orisite.session import ensure_checkpoint_dir
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -69,7 +69,7 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str = VOCABULARY,
 
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     # the text sink writes the bytes of each row and then the separator, here the closing id
-    (slim.mapInArrow(encode, "tokens binary").select(F.col("tokens").cast("string").alias("value"))
+    (bounded_batches(slim).mapInArrow(encode, "tokens binary").select(F.col("tokens").cast("string").alias("value"))
      .write.option("encoding", "ISO-8859-1").option("lineSep", np.uint16(end).astype("<u2").tobytes().decode("latin-1"))
      .option("maxRecordsPerFile", docs_per_file).text(path))
 

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
-from orisite.llm.common import Rolling, byte_texts, checkpointed, mix64, pieces, within
+from orisite.llm.common import Rolling, bounded_batches, byte_texts, checkpointed, mix64, pieces, within
 
 INSULTS = ("idiot", "idiots", "moron", "morons", "stupid", "dumb", "loser", "losers", "pathetic", "worthless",
            "disgusting", "trash", "scum", "clown", "fool", "jerk", "creep", "liar", "coward", "filth", "vermin",
@@ -67,7 +67,7 @@ class Characters:
         for a, b in STAND_INS.items():
             low[ord(a)] = ord(b)
         self.value = mix64(low + np.uint64(3)) | np.uint64(1)
-        self.rolling = Rolling(1 << 20)
+        self.rolling = Rolling(1 << 19)
 
 
 class Tokens:
@@ -231,7 +231,7 @@ def learn_lexicon(sample: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     if not size[0] or not size[1]:
         return np.empty(0, np.uint64), np.empty(0, np.int64)
     nt, nc = map(float, size)
-    per = texts.mapInArrow(count, "term long, toxic double, clean double").groupBy("term").agg(
+    per = bounded_batches(texts).mapInArrow(count, "term long, toxic double, clean double").groupBy("term").agg(
         F.sum("toxic").alias("t"), F.sum("clean").alias("c"))
     t, c = F.col("t"), F.col("c")
     expected = (t + c) * (nt / (nt + nc))
@@ -244,19 +244,21 @@ def learn_lexicon(sample: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return keys[order], tier[order]
 
 
-def with_features(df: DataFrame, lexicon: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """``df`` with its column ``text`` replaced by ``features``, a vector."""
+def with_features(df: DataFrame, lexicon: tuple[np.ndarray, np.ndarray], inside: str | None = None) -> DataFrame:
+    """``df`` with its column ``text`` replaced by ``features``, a vector; or with ``features`` of the
+    field ``inside`` of its column ``__row``, which stays."""
     rest = [f for f in df.schema.fields if f.name != "text"]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = Characters()
         for b in batches:
-            x = features(byte_texts(b.column("text")), lexicon, of)
+            text = b.column("text") if inside is None else b.column("__row").field(inside)
+            x = features(byte_texts(text), lexicon, of)
             flat = pa.ListArray.from_arrays(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32), pa.array(x.reshape(-1)))
             yield pa.record_batch({**{f.name: b.column(f.name) for f in rest}, "features": flat})
 
     schema = StructType([*rest, StructField("features", ArrayType(DoubleType()))])
-    return df.mapInArrow(scan, schema).withColumn("features", array_to_vector("features"))
+    return bounded_batches(df).mapInArrow(scan, schema).withColumn("features", array_to_vector("features"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, id_col: str = "doc_id", text_col: str = "text",
@@ -282,12 +284,12 @@ def score(docs: DataFrame, model: ToxicityModel, text_col: str = "text", keep: l
     """The columns ``keep`` of ``docs`` (all, if None) and ``toxicity``, the calibrated chance that the
     row's text is toxic.  A fiftieth of the trees' own probability is mixed in, so that scores that
     calibrate alike keep their order."""
-    row = F.struct(*(docs.columns if keep is None else keep)).alias("__row")
-    slim = docs.select(row, F.col(text_col).alias("text"))
+    keep = docs.columns if keep is None else keep
+    slim = docs.select(F.struct(*keep).alias("__row"), *([] if text_col in keep else [F.col(text_col).alias("text")]))
     if model.trees is None:
         done = slim.withColumn("toxicity", F.lit(model.constant))
     else:
-        done = (model.trees.transform(with_features(slim, model.lexicon))
+        done = (model.trees.transform(with_features(slim, model.lexicon, text_col if text_col in keep else None))
                 .select("__row", vector_to_array("probability")[1].alias("p")))
         if model.calibration is not None:
             done = model.calibration.setFeaturesCol("p").setPredictionCol("iso").transform(done)
