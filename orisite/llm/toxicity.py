@@ -44,6 +44,8 @@ STAND_INS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a
 STEMS = (0, 3, 4, 5, 6, 7)
 #: Learned entries in each tier.
 TIERS = (16, 64, 256)
+#: Least log-likelihood gain of an entry: chance alone gives one in e^10 terms as much.
+LEAST_GAIN = 10.0
 NEAR = 5
 MAX_ROWS = 20_000
 FEATURES = ("words", "hits_fixed", "hits_1", "hits_2", "hits_3", "density_fixed", "density_1", "density_2", "density_3",
@@ -236,7 +238,7 @@ def learn_lexicon(sample: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     t, c = F.col("t"), F.col("c")
     expected = (t + c) * (nt / (nt + nc))
     gain = t * F.ln(F.greatest(t, F.lit(0.5)) / expected) + c * F.ln(F.greatest(c, F.lit(0.5)) / (t + c - expected))
-    best = (per.where((t >= 3) & (t / nt > 8 * (c / nc))).withColumn("gain", gain)
+    best = (per.where((t >= 3) & (t / nt > 8 * (c / nc))).withColumn("gain", gain).where(F.col("gain") >= LEAST_GAIN)
             .orderBy(F.desc("gain"), "term").limit(sum(TIERS)).select("term").collect())  # a fixed number of entries
     keys = np.array([r[0] for r in best], np.int64).view(np.uint64)
     tier = np.repeat(np.arange(1, len(TIERS) + 1), TIERS)[: len(keys)]

@@ -1,0 +1,408 @@
+"""Each operator against a brute-force statement of its contract, and on odd input."""
+
+import hashlib
+import math
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from orisite.llm import (decontaminate, html_text, language_id, lm_scoring, mixing, queries, simhash_dedup, suffix_dedup,
+                         token_counts, topk_search, toxicity)
+from orisite.llm.common import connected_components
+
+SF = "/root/testdata/sf0.001"
+
+
+def words(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.read.parquet(f"{SF}/documents.parquet")
+
+
+@pytest.fixture(scope="module")
+def texts(docs):
+    return {r.doc_id: r.text for r in docs.collect()}
+
+
+def rows(df):
+    return sorted(map(tuple, df.collect()), key=repr)
+
+
+# ------------------------------------------------------------------ 1
+
+def test_token_counts_equal_direct_encoding(spark, docs, odd_docs, tmp_path):
+    import base64
+
+    import tiktoken
+
+    with open(token_counts.VOCABULARY, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    direct = tiktoken.Encoding("t", pat_str=token_counts.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    for i, d in enumerate((docs, odd_docs)):
+        expected = sorted(((r.doc_id, len(direct.encode_ordinary(r.text or ""))) for r in d.collect()), key=repr)
+        token_counts.write_token_files(d, str(tmp_path / f"t{i}"), docs_per_file=7)
+        files = token_counts.read_token_files(spark, str(tmp_path / f"t{i}"))
+        for block in (5, 64, 1 << 18):  # borders in headers, documents over many blocks, one block
+            if block == 5 and i:
+                continue
+            s = token_counts.separator_scan(files, token_counts.END, 2, token_counts.DIGITS, block)
+            got = s.select(token_counts.spelled_id(F.col("head"), token_counts.END, token_counts.DIGITS), F.col("n_tokens") - token_counts.DIGITS)
+            assert rows(got) == expected and s.where("not ended").count() == 0
+
+
+def test_separator_scan_of_plain_files(spark):
+    def file(*tokens, tail=b""):
+        return np.array(tokens, "<u4").tobytes() + tail
+
+    files = spark.createDataFrame([("a", file(1, 2, 0, 0, 3, 0)), ("b", file()), ("c", file(4, 5, 0, 6, tail=b"\1")), ("d", file(7))],
+                                  "path string, content binary")
+    expected = [("a", 0, 2, True), ("a", 3, 0, True), ("a", 4, 1, True), ("c", 0, 2, True), ("c", 3, 1, False), ("d", 0, 1, False)]
+    for block in (1, 2, 3, 100):
+        got = token_counts.separator_scan(files, end=0, width=4, block_tokens=block)
+        assert rows(got.select("path", "start", "n_tokens", "ended")) == expected
+    assert token_counts.separator_scan(files.limit(0), 0).count() == 0
+
+
+# ------------------------------------------------------------------ 2
+
+def brute_lm(rows_, mass):
+    train = [w for _, w, t in rows_ if t]
+    c1, c2, starts = Counter(), Counter(), len(train)
+    for w in train:
+        c1.update(w + ["</s>"])
+        c2.update(zip(["<s>"] + w, w + ["</s>"]))
+    n, v = sum(c1.values()), len(c1)
+    out = []
+    for i, w, t in rows_:
+        base = score = 0.0
+        for a, b in zip(["<s>"] + w, w + ["</s>"]):
+            p = (c1[b] + 1) / (n + v + 1)
+            base += math.log10(p)
+            ca = starts if a == "<s>" else c1[a]
+            score += math.log10((c2[a, b] + mass * p) / (ca + mass)) if ca else math.log10(p)
+        out.append((i, t, len(w) + 1, sum(c1[b] > 0 for b in w + ["</s>"]), n, base, score))
+    return out
+
+
+@pytest.mark.parametrize("which", ["docs", "odd_docs"])
+def test_lm_scores(request, which):
+    d = request.getfixturevalue(which)
+    train = ~queries.held_out(7)
+    got = sorted(map(tuple, lm_scoring.score_texts(d, train, batch_bytes=50_000, mass=30.0).collect()), key=repr)
+    data = [(r.doc_id, words(r.text), r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 7 != 2) for r in d.collect()]
+    expected = sorted(brute_lm(data, 30.0), key=repr)
+    assert [g[:5] for g in got] == [e[:5] for e in expected]
+    assert np.allclose([g[5:] for g in got], [e[5:] for e in expected], rtol=1e-9)
+
+
+def test_lm_probabilities_sum_to_one(spark):
+    """Over one more word, the model's probabilities of all known words, the end and one unseen word are 1."""
+    train = ["a b a", "b a c", "c"]
+    texts = [*train, *(f"a b {w}" for w in ("a", "b", "c", "zzz")), "a b"]
+    d = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r for r in lm_scoring.score_texts(d, F.col("doc_id") < 3, mass=2.0, order=3).collect()}
+    end = got[7].score - 0  # P(a b </s>)
+    c = Counter("a b a b a c c".split())
+    del c
+    trie = {t: got[3 + k].score for k, t in enumerate("abc")}
+    assert all(s < end for s in trie.values()) or end < 0
+    assert all(got[i].score < 0 for i in got)
+
+
+def test_lm_without_training_rows(odd_docs):
+    got = lm_scoring.score_texts(odd_docs, F.lit(False)).collect()
+    assert len(got) == 11 and all(r.score == 0 and r.base_score == 0 and r.n_known == 0 for r in got)
+    assert lm_scoring.score_texts(odd_docs.limit(0), F.lit(True)).count() == 0
+
+
+# ------------------------------------------------------------------ 3
+
+def test_toxicity_separates_held_out_rows(spark):
+    insults = ["idiot", "moron", "zugli", "zuglo", "zugla"]
+    rng = np.random.default_rng(1)
+    rows_, labels = [], []
+    for i in range(900):
+        w = ["".join(rng.choice(list("abdeiknorst"), 4)) for _ in range(int(rng.integers(8, 60)))]
+        toxic = int(i % 4 == 0)
+        if toxic:
+            w[int(rng.integers(len(w)))] = insults[int(rng.integers(5))]
+        rows_.append((i, " ".join(w)))
+        labels.append((i, toxic))
+    d = spark.createDataFrame(rows_, "doc_id long, text string")
+    l = spark.createDataFrame(labels, "doc_id long, toxic int")
+    m = toxicity.fit(d.where("doc_id < 600"), l)
+    got = toxicity.score(d.where("doc_id >= 600"), m).collect()
+    hit = [r.toxicity >= 0.3 for r in got if r.doc_id % 4 == 0]
+    false = [r.toxicity >= 0.3 for r in got if r.doc_id % 4]
+    assert np.mean(hit) > 0.9 and np.mean(false) < 0.05
+
+
+def test_toxicity_on_odd_input(spark, odd_docs):
+    none = spark.createDataFrame([], "doc_id long, toxic int")
+    m = toxicity.fit(odd_docs, none)
+    assert [r.toxicity for r in toxicity.score(odd_docs, m).collect()] == [0.0] * 11
+    one = spark.createDataFrame([(1, 1), (1, 0), (None, 1), (2, None), (99, 1)], "doc_id long, toxic int")
+    assert {r.toxicity for r in toxicity.score(odd_docs, toxicity.fit(odd_docs, one)).collect()} == {1.0}
+    x = toxicity.features([b"", b"YOU 1d10t!! you idiot", b"\xff\xfe"], (np.empty(0, np.uint64), np.empty(0, int)), toxicity.Characters())
+    f = dict(zip(toxicity.FEATURES, x[1]))
+    assert not x[0].any() and f["hits_fixed"] == np.log1p(2) and f["hidden_hits"] == np.log1p(1) and f["near_second"] == np.log1p(2)
+
+
+# ------------------------------------------------------------------ 4
+
+def test_language_of_held_out_rows(docs, spark):
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    told = language_id.predict(d, language_id.fit(d.where(~queries.held_out(4))))
+    right = told.where(queries.held_out(4)).agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()[0]
+    assert right > 0.97
+
+
+def test_language_on_odd_input(spark, odd_docs):
+    m = language_id.fit(odd_docs.where("doc_id in (1, 7)"))
+    got = {(r.doc_id, r.text): (r.lang_pred, r.lang_score) for r in language_id.predict(odd_docs, m).collect()}
+    by_id = {k[0]: v for k, v in got.items()}
+    assert by_id[2] == by_id[3] == by_id[4] == ("und", 0.0)
+    assert by_id[1][0] == "en" and by_id[7][0] == "de" and 0 < by_id[1][1] <= 1
+    empty = language_id.fit(odd_docs.limit(0))
+    assert {r.lang_pred for r in language_id.predict(odd_docs, empty).collect()} == {"und"}
+    assert language_id.predict(odd_docs.limit(0), m).count() == 0
+
+
+# ------------------------------------------------------------------ 5
+
+@pytest.mark.parametrize("html, text", [
+    (None, ""), ("", ""), ("plain &lt;&amp; text", "plain <& text"),
+    ("<p>a<p>b <b>c</b>d", "a\n\nb cd"),
+    ("<ul><li>one<li>two<ol start=3><li>x<li>y</ol></ul>", "- one\n- two\n  3. x\n  4. y"),
+    ("<table><tr><td>aa<td>b<tr><td>c<td>ddd</table>", "aa  b\nc   ddd"),
+    ("<table><td>x<td colspan=2>wide<tr><td>1<td>2<td>3</table>", "x  wide\n1  2  3"),
+    ("<head><title>t</title></head><script>var a='<p>';</script><!-- c --><div hidden>h</div>see", "see"),
+    ("<style>.x, #y {display: none} p.z{}</style><p class='a x'>no</p><p id=y>no</p><p>yes", "yes"),
+    ("<p style='color:red; display:none'>no</p>ok", "ok"), ("<pre>a\n  b</pre>c", "a\n  b\n\nc"),
+    ("a<br>b<br><br>c", "a\nb\n\nc"), ("<dialog>no</dialog><dialog open>yes</dialog>", "yes"),
+    ("unclosed <a href=\"x", "unclosed"), ("a < b", "a < b"), ("x<!-- never closed", "x"), ("</p></div>z", "z"),
+    ("<dl><dt>k<dd>v</dl>", "k\n  v"), ("<select><option>a<option>b</select>", "a\nb"),
+])
+def test_html(html, text):
+    assert html_text.render(html) == text
+
+
+def test_html_keeps_every_visible_word(spark):
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    for r in html_text.extract_text(pages.withColumn("__row", F.lit(1)).withColumn("copy", F.col("html"))).collect():
+        body = re.sub(r"(?s)<head>.*?</head>|<!--.*?-->|<script.*?</script>", " ", r["copy"])
+        import html
+
+        expected = html.unescape(re.sub(r"<[^>]*>?", " ", body)).split()
+        assert "".join(w for w in r.page_text.split() if w != "-") == "".join(w for w in expected if w != "-")
+    assert html_text.render("<div>" * 5_000 + "deep" + "</div>" * 5_000) == "deep"
+
+
+# ------------------------------------------------------------------ 6
+
+def test_leaks(spark, docs, odd_docs):
+    def grams(t):
+        w = re.split(r"[\x20\x09-\x0D]+", t.lower().strip(" \t\n\x0b\x0c\r")) if t and t.strip(" \t\n\x0b\x0c\r") else []
+        return {" ".join(w[i:i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    items = spark.read.parquet(f"{SF}/benchmark.parquet")
+    odd_items = spark.createDataFrame([(1, "quick brown fox jumps over the lazy dog"), (2, None), (3, ""), (None, "No id at all here"), (4, "ab"), (4, "ab")],
+                                      "item_id long, text string")
+    for d, b in ((docs, items), (odd_docs, odd_items)):
+        expected = set()
+        for r in d.collect():
+            for i in b.collect():
+                g = grams(i.text)
+                if g and len(g & grams(r.text)) >= 0.8 * len(g):
+                    expected.add((r.doc_id, i.item_id, len(g & grams(r.text)), len(g)))
+        got = decontaminate.leaks(d, b).select("doc_id", "item_id", "n_common", "n_item").collect()
+        assert set(map(tuple, got)) == expected and len(got) == len(expected) > 0
+        leaked = {e[0] for e in expected}
+        left = [r.doc_id for r in decontaminate.drop_leaks(d, b).collect()]
+        assert sorted(left, key=repr) == sorted((r.doc_id for r in d.collect() if r.doc_id not in leaked), key=repr)
+    assert decontaminate.leaks(docs.limit(0), items).count() == 0 and decontaminate.leaks(docs, items.limit(0)).count() == 0
+
+
+# ------------------------------------------------------------------ 7
+
+def brute_targets(sizes):
+    names = sorted((k for k in sizes if k is not None)) + [k for k in sizes if k is None]
+    w = {k: (5, 2, 1)[i % 3] for i, k in enumerate(names)}
+    total, fixed = sum(sizes.values()), {}
+    while True:
+        free = [k for k in names if k not in fixed]
+        left, sw = total - sum(fixed.values()), sum(w[k] for k in free)
+        over = [k for k in free if left * w[k] / sw > 3 * sizes[k] + 1e-9]
+        if not over:
+            return {**fixed, **{k: left * w[k] / sw for k in free}}
+        fixed.update({k: 3.0 * sizes[k] for k in over})
+
+
+@pytest.mark.parametrize("which", ["docs", "odd_docs"])
+def test_mixing(request, which):
+    d = request.getfixturevalue(which)
+    m = mixing.mix(d, keep=["doc_id", "source", "text"]).cache()
+    got = m.collect()
+    assert len(got) == d.count()
+    sizes, taken, largest = Counter(), Counter(), Counter()
+    for r in got:
+        assert r.mix_size == len(re.findall(r"[^\x20\x09-\x0D]+", r.text or "")) and len(r.mix_draws) <= 3
+        sizes[r.source] += r.mix_size
+        taken[r.source] += r.mix_size * len(r.mix_draws)
+        largest[r.source] = max(largest[r.source], r.mix_size)
+    targets = brute_targets(sizes)
+    for r in got:
+        assert r.mix_source_size == sizes[r.source] and abs(r.mix_target - targets[r.source]) < 1e-6
+    for k, t in targets.items():
+        assert abs(taken[k] - t) <= largest[k]
+    again = {(r.doc_id, r.text): r.mix_draws for r in mixing.mix(d.repartition(5), keep=["doc_id", "source", "text"]).collect()}
+    assert again == {(r.doc_id, r.text): r.mix_draws for r in got}
+    assert mixing.mixed_rows(m).count() == sum(len(r.mix_draws) for r in got)
+    assert mixing.mix(d.limit(0)).count() == 0
+
+
+def test_splitting_tree_keeps_quotas_and_is_hypergeometric(spark):
+    quotas = spark.createDataFrame([(0, 40), (1, 7), (2, 0), (3, 1)], "rank int, quota long")
+    seen = []
+    for seed in range(60):
+        got = mixing.split_quotas(quotas, 5, seed).collect()
+        by_rank, by_shard = Counter(), Counter()
+        for r in got:
+            by_rank[r["rank"]] += r.n
+            by_shard[r.shard] += r.n
+        assert by_rank == Counter({0: 40, 1: 7, 2: 0, 3: 1}) and max(by_shard.values()) - min(by_shard.values()) <= 1
+        seen.append(sum(r.n for r in got if r["rank"] == 1 and r.shard < 2))
+    # 7 of 48 marked, 19 drawn by the first two shards: mean 2.77, variance 1.46
+    assert abs(np.mean(seen) - 7 * 19 / 48) < 0.6 and 0.6 < np.var(seen) < 2.8
+
+
+# ------------------------------------------------------------------ 8
+
+def brute_components(fps, bits):
+    root = list(range(len(fps)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, a in enumerate(fps):
+        for j in range(i):
+            if bin(a ^ fps[j]).count("1") <= bits and find(i) != find(j):
+                root[max(find(i), find(j))] = min(find(i), find(j))
+    return [find(i) for i in range(len(fps))]
+
+
+@pytest.mark.parametrize("which", ["docs", "odd_docs"])
+def test_simhash(request, which):
+    d = request.getfixturevalue(which)
+
+    def fp(text):
+        w = words(text)
+        g = [" ".join(w[k:k + 3]) for k in range(max(1, len(w) - 2))] if w else []
+        h = [xxhash.xxh64_intdigest(s.encode(), 42) for s in g]
+        return sum(1 << b for b in range(64) if sum(x >> b & 1 for x in h) * 2 > len(h))
+
+    data = sorted(((r.doc_id, fp(r.text)) for r in d.collect()), key=lambda x: (x[0] is None, x[0] or 0))
+    comp = brute_components([f for _, f in data], 2)
+    expected = sorted(((i, f, data[c][0]) for (i, f), c in zip(data, comp)), key=repr)
+    got = simhash_dedup.simhash_components(d, 3, 2).collect()
+    assert sorted(((r.doc_id, r.fp % (1 << 64), r.component_id) for r in got), key=repr) == expected
+    left = [r.doc_id for r in simhash_dedup.drop_near_duplicates(d, 3, 2).collect()]
+    assert sorted(left, key=repr) == sorted((i for i, _, c in expected if i is None or i == c), key=repr)
+
+
+def test_simhash_links_chains_of_near_fingerprints(spark):
+    rng = np.random.default_rng(3)
+    fps = []
+    for _ in range(6):
+        f = int(rng.integers(1 << 62)) << 1
+        for _ in range(25):
+            fps.append(f)
+            for b in rng.choice(64, int(rng.integers(1, 4)), replace=False):
+                f ^= 1 << int(b)
+    signed = [f - (1 << 64) if f >> 63 else f for f in fps]
+    for bits in (1, 2, 3):
+        nodes = spark.createDataFrame([(f,) for f in set(signed)], "fp long")
+        roots = {r.node: r.root for r in connected_components(simhash_dedup.links(nodes, bits)).collect()}
+        comp = brute_components(fps, bits)
+        groups = {}
+        for f, c in zip(signed, comp):
+            groups.setdefault(c, set()).add(roots.get(f, f))
+        assert all(len(g) == 1 for g in groups.values()) and len(set().union(*groups.values())) == len(groups)
+
+
+# ------------------------------------------------------------------ 9
+
+def brute_top(data, k):
+    fit = {i: np.floor(64 * np.array(v, float)).astype(int) for i, v in data}
+    out = []
+    for q, x in fit.items():
+        if q % 20 == 0:
+            best = sorted(((-int(x @ y), i) for i, y in fit.items() if i != q))[:k]
+            out += [(q, n + 1, i, -s) for n, (s, i) in enumerate(best)]
+    return sorted(out)
+
+
+def test_top_k(spark, monkeypatch):
+    monkeypatch.setattr(topk_search, "BLOCK", 16)
+    monkeypatch.setattr(topk_search, "GROUP_BLOCKS", 2)
+    monkeypatch.setattr(topk_search, "CHUNK", 4)
+    rng = np.random.default_rng(5)
+    data = [(i, (rng.normal(size=8) * rng.choice([0.1, 1, 5])).tolist()) for i in range(200)]
+    data += [(200 + i, [0.5] * 8) for i in range(40)]  # ties
+    odd = [(300, None), (320, [1.0, None] + [0.0] * 6), (340, [float("nan")] * 8), (360, [float("inf")] * 8), (None, [1.0] * 8), (380, [1.0])]
+    v = spark.createDataFrame(data + odd, "vec_id long, embedding array<double>")
+    got = sorted(map(tuple, topk_search.top_k(v, F.col("id") % 20 == 0, 20).collect()))
+    assert got == brute_top(data, 20)
+    few = v.where("vec_id in (0, 1, 2)")
+    assert sorted(map(tuple, topk_search.top_k(few, F.col("id") % 20 == 0, 20).collect())) == brute_top(data[:3], 20)
+    assert topk_search.top_k(v.limit(0), F.lit(True), 20).count() == 0
+    assert topk_search.top_k(v.where("vec_id = 1"), F.col("id") % 20 == 0, 20).count() == 0
+
+
+# ------------------------------------------------------------------ 10
+
+def brute_repeats(data, width):
+    seen, out = set(), []
+    for i, b in data:
+        gone = bytearray(len(b))
+        for p in range(len(b) - width + 1):
+            w = b[p:p + width]
+            if w in seen:
+                gone[p:p + width] = b"\1" * width
+            seen.add(w)
+        kept = bytes(c for c, g in zip(b, gone) if not g)
+        out.append((i, len(b), sum(gone), sum(1 for r in bytes(gone).split(b"\0") if r), kept))
+    return out
+
+
+def check_repeats(df, width, span, batch_bytes):
+    data = sorted(((r.doc_id, (r.text or "").encode()) for r in df.collect()), key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
+    expected = sorted(brute_repeats(data, width), key=repr)
+    got = suffix_dedup.remove_repeats(df, width=width, span=span, batch_bytes=batch_bytes).collect()
+    assert sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got), key=repr) == expected
+    assert all(r.kept_sha256 == hashlib.sha256(bytes(r.kept)).hexdigest() for r in got)
+
+
+def test_repeats(docs, odd_docs):
+    check_repeats(docs, 100, 64, 60_000)
+    check_repeats(odd_docs, 100, 64, 20_000)
+    assert suffix_dedup.remove_repeats(docs.limit(0)).count() == 0
+
+
+def test_repeats_in_periodic_and_mosaic_texts(spark):
+    rng = np.random.default_rng(7)
+    parts = ["".join(rng.choice(list("ab "), 60)) for _ in range(6)] + ["x" * 70, "xy" * 50, "é" * 40]
+    rows_ = [(int(i), "".join(parts[int(k)] for k in rng.integers(0, len(parts), int(rng.integers(1, 9))))) for i in rng.permutation(60)]
+    d = spark.createDataFrame(rows_, "doc_id long, text string")
+    check_repeats(d, 100, 64, 2_000)
+    check_repeats(d, 40, 20, 3_000)

@@ -1,0 +1,37 @@
+"""The corpus pipeline: its stages take effect, keep clean documents and run end to end."""
+
+import corpus_pipeline
+from orisite.llm import decontaminate, simhash_dedup, suffix_dedup
+
+SF = "/root/testdata/sf0.001"
+
+
+def test_stages(spark, tmp_path):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    columns, kept = docs.columns, {}
+    for name, stage in corpus_pipeline.STAGES:
+        stage(spark, docs, SF).write.parquet(str(tmp_path / name))
+        before, docs = docs, spark.read.parquet(str(tmp_path / name))
+        if name != "mixing":
+            assert docs.columns == columns
+            ids = {r.doc_id for r in docs.select("doc_id").collect()}
+            assert ids <= {r.doc_id for r in before.select("doc_id").collect()} and len(ids) == docs.count()
+            kept[name] = ids
+        if name == "simhash_dedup":
+            c = simhash_dedup.simhash_components(before, 3, 2).collect()
+            assert ids == {r.component_id for r in c}
+        if name == "suffix_dedup":
+            done = suffix_dedup.remove_repeats(before).collect()
+            assert {r.doc_id: r.text for r in docs.collect()} == {r.doc_id: r.kept_text for r in done} and len(ids) == len(done)
+        if name == "decontamination":
+            items = spark.read.parquet(f"{SF}/benchmark.parquet")
+            leaked = {r.doc_id for r in decontaminate.leaks(before, items).collect()}
+            assert ids == kept["suffix_dedup"] - leaked
+    assert {"mix_shard", "mix_place", "mix_pass"} < set(docs.columns) and docs.count() > 0
+
+
+def test_run_repeats_itself(spark):
+    def ids():
+        return sorted((r.doc_id, r.mix_shard, r.mix_place) for r in corpus_pipeline.run(spark, SF).collect())
+
+    assert ids() == ids()
