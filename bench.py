@@ -26,6 +26,7 @@ def main() -> None:
     from orisite.session import Materializer, local_session
 
     spark = local_session(cpus, shuffle_partitions=max(8, int(cpus) if cpus.isdigit() else 8), app="orisite-bench")
+    spark.conf.set("spark.orisite.spread", spark.sparkContext.defaultParallelism)  # the table is one row group
     warm = "/root/testdata/sf0.001"
     if os.path.isdir(warm):
         QUERIES["number_residues"](spark, warm).write.format("noop").mode("overwrite").save()

@@ -88,15 +88,6 @@ def matvec(m: M3, v: V3) -> V3:
     return V3(dot(m.r0, v), dot(m.r1, v), dot(m.r2, v))
 
 
-def rmatvec(m: M3, v: V3) -> V3:
-    """``m.T @ v`` = ``v.x*r0 + v.y*r1 + v.z*r2`` (rows of a frame back to the lab)."""
-    return V3(
-        v.x * m.r0.x + v.y * m.r1.x + v.z * m.r2.x,
-        v.x * m.r0.y + v.y * m.r1.y + v.z * m.r2.y,
-        v.x * m.r0.z + v.y * m.r1.z + v.z * m.r2.z,
-    )
-
-
 def matmul(a: M3, b: M3) -> M3:
     bt = b.transpose()
     return M3(*(V3(dot(row, bt.r0), dot(row, bt.r1), dot(row, bt.r2)) for row in a))

@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 from orisite.functions.vec import M3, V3, matvec
 
 RESIDUE_KEY = ["entry", "chainid", "rescounter"]
-RELATIVE_COLUMNS = RESIDUE_KEY + ["resname", "siteid", "atomname", "x", "y", "z",
-                                  "orientedx", "orientedy", "orientedz"]
 MOMENT_COLUMNS = ["resname", "siteid", "atomname", "x", "y", "z", "dx", "dy", "dz", "rmsd", "count"]
 
 

@@ -9,7 +9,9 @@ It is a running sum of a lag-based delta.  One entry may be very large, so the s
 two-level: lines are cut into fixed blocks of ``block_lines`` by position; a window inside
 each ``(entry, block)`` gives the local lag and running sum; a small window over the block
 summaries of an entry carries the last atom and the offset across block borders.  No task
-ever holds more than one block of lines, whatever the size of an entry.
+holds more than one block of lines and one summary for each block of an entry.  That is little if
+``line_no`` is dense, as it is for lines read from files; sparse numbers make more and smaller
+blocks, at worst one for each line.
 """
 
 from __future__ import annotations
@@ -18,10 +20,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DEFAULT_BLOCK_LINES = 1 << 16
-# The previous atom travels as three integers: chain and insertion code are single
-# characters, compared through their code points, so every block summary is a fixed-width
-# (hash-aggregated) max_by/min_by.
-_KEY = ("_ch", "resseq", "_ic")
+# What is compared with the previous atom; chain and insertion code as whole strings.
+_KEY = ("chainid", "resseq", "icode")
 
 
 def _delta(prev: list[Column], cur: list[Column]) -> Column:
@@ -43,8 +43,7 @@ def scan_residues(atoms: DataFrame, block_lines: int = DEFAULT_BLOCK_LINES, mate
     final join read them instead of scanning and sorting the input twice.
     """
     c = F.col
-    a = atoms.withColumns({"_blk": F.expr(f"line_no div {int(block_lines)}"),
-                           "_ch": F.ascii("chainid"), "_ic": F.ascii("icode")})
+    a = atoms.withColumn("_blk", F.expr(f"line_no div {int(block_lines)}"))
     w_in = Window.partitionBy("entry", "_blk").orderBy("line_no")
     cur = [c(k) for k in _KEY]
     a = a.withColumns({f"_p{k}": F.lag(k).over(w_in) for k in _KEY})
@@ -66,10 +65,10 @@ def scan_residues(atoms: DataFrame, block_lines: int = DEFAULT_BLOCK_LINES, mate
 
     out = a.join(blocks, ["entry", "_blk"])
     # previous atom of the first row of a block = last atom of the block before
-    pch, prs = F.coalesce(c("_p_ch"), c("_q_ch")), F.coalesce(c("_presseq"), c("_qresseq"))
+    pch, prs = F.coalesce(c("_pchainid"), c("_qchainid")), F.coalesce(c("_presseq"), c("_qresseq"))
     out = (out.withColumn("rescounter", (c("_base") + c("_run")).cast("int"))
-              .withColumn("out_of_order", F.coalesce((pch == c("_ch")) & (c("resseq") < prs), F.lit(False)))
-              .drop("_d", "_run", "_base", "_ch", "_ic", *(f"_p{k}" for k in _KEY), *(f"_q{k}" for k in _KEY)))
+              .withColumn("out_of_order", F.coalesce((pch == c("chainid")) & (c("resseq") < prs), F.lit(False)))
+              .drop("_d", "_run", "_base", *(f"_p{k}" for k in _KEY), *(f"_q{k}" for k in _KEY)))
     # Everything after numbering works per residue: partition once on the residue key
     # (fine grained, so no hot partition even when one entry is huge).
     return out.repartition("entry", "chainid", "rescounter")

@@ -41,10 +41,6 @@ class Checked(NamedTuple):
     clean: DataFrame  # atom table of the entries that pass
 
 
-def _tag(df: DataFrame, order: int, reason: str) -> DataFrame:
-    return df.select("entry", "line_no", F.lit(order).alias("check_order"), F.lit(reason).alias("reason"))
-
-
 def known_atoms(atoms: DataFrame, topology: Topology) -> DataFrame:
     """Q4 + Q5 membership tests as two broadcast left joins: adds ``res_known``, ``atom_known``.
     Both right sides are topology tables (size fixed by the chemistry)."""
@@ -55,15 +51,25 @@ def known_atoms(atoms: DataFrame, topology: Topology) -> DataFrame:
                  .withColumn("atom_known", F.coalesce("atom_known", F.lit(False))))
 
 
-def first_atom_without_dbref(records: DataFrame) -> DataFrame:
-    """Q2.  Entries whose first blank-altloc atom comes before any DBREF/DBREF1 line; the tag
-    sits on that first atom."""
-    is_atom = (F.col("record") == ATOM) & (F.col("altloc") == " ")
-    firsts = records.groupBy("entry").agg(
-        F.min(F.when(is_atom, F.col("line_no"))).alias("line_no"),
-        F.min(F.when(F.col("record").isin(*DBREF), F.col("line_no"))).alias("_dbref"))
-    return firsts.filter(F.col("line_no").isNotNull() &
-                         (F.col("_dbref").isNull() | (F.col("_dbref") > F.col("line_no"))))
+def record_candidates(records: DataFrame) -> DataFrame:
+    """Q1, Q2 and our record-level extensions, in one pass: one summary row for each entry, from
+    which the candidates are unfolded.  A missing DBREF sits on the first blank-altloc atom; a
+    name found in two folders (only if ``records`` has ``file_path``) before all lines."""
+    c = F.col
+    is_atom = (c("record") == ATOM) & (c("altloc") == " ")
+    paths = [F.min("file_path").alias("_p0"), F.max("file_path").alias("_p1")] if "file_path" in records.columns else []
+    e = records.groupBy("entry").agg(
+        F.min(F.when(c("record") == MODEL, c("line_no"))).alias("_model"),
+        F.min(F.when(c("malformed_at") == 0, c("line_no"))).alias("_bad"),
+        F.min(F.when(is_atom, c("line_no"))).alias("_atom"),
+        F.min(F.when(c("record").isin(*DBREF), c("line_no"))).alias("_dbref"), *paths)
+    no_dbref = F.when(c("_dbref").isNull() | (c("_dbref") > c("_atom")), c("_atom"))
+    found = [(c("_model"), 0, ENSEMBLE), (c("_bad"), 0, MALFORMED), (no_dbref, 1, NO_DBREF)]
+    if paths:
+        found.append((F.when(c("_p0") != c("_p1"), F.lit(-1).cast("long")), -1, DUPLICATE_ENTRY))
+    return e.select("entry", F.inline(F.array(*(
+        F.struct(at.alias("line_no"), F.lit(o).alias("check_order"), F.lit(r).alias("reason")) for at, o, r in found)))
+    ).filter(c("line_no").isNotNull())
 
 
 def duplicate_atoms(numbered: DataFrame) -> DataFrame:
@@ -77,12 +83,13 @@ def duplicate_atoms(numbered: DataFrame) -> DataFrame:
 
 
 def check_entries(records: DataFrame, topology: Topology, block_lines: int = DEFAULT_BLOCK_LINES,
-                  file_paths: DataFrame | None = None, materialize=None) -> Checked:
+                  materialize=None) -> Checked:
     """Q1-Q7 + W1 over ``scan_records`` output.
 
     All per-atom checks come from one projection over one flagged atom table (the first
     failing check of each line, as one CASE), so the numbering runs once; record-level
-    checks (MODEL, unreadable record, missing DBREF) read the records.  Shuffles: one on
+    checks (MODEL, unreadable record, missing DBREF, repeated name) come from one summary of
+    each entry's records.  Shuffles: one on
     ``(entry, block)`` for numbering, one on the residue key that every later operator
     reuses; the error table is one row per rejected entry.  ``materialize`` (see
     ``session.Materializer``) writes the flagged atoms once when both the errors and the
@@ -103,15 +110,7 @@ def check_entries(records: DataFrame, topology: Topology, block_lines: int = DEF
         order, reason = order.when(cond, F.lit(o)), reason.when(cond, F.lit(r))
     atom_cands = flagged.select("entry", "line_no", order.alias("check_order"), reason.alias("reason")).filter(
         c("check_order").isNotNull())
-    is_model = c("record") == MODEL
-    rec_cands = records.filter(is_model | (c("malformed_at") == 0)).select(
-        "entry", "line_no", F.lit(0).alias("check_order"),
-        F.when(is_model, F.lit(ENSEMBLE)).otherwise(F.lit(MALFORMED)).alias("reason"))
-    candidates = atom_cands.unionByName(rec_cands).unionByName(_tag(first_atom_without_dbref(records), 1, NO_DBREF))
-    if file_paths is not None:
-        dup_entry = (file_paths.groupBy("entry").agg(F.countDistinct("file_path").alias("_n"))
-                     .filter(F.col("_n") > 1).select("entry", F.lit(-1).cast("long").alias("line_no")))
-        candidates = candidates.unionByName(_tag(dup_entry, -1, DUPLICATE_ENTRY))
+    candidates = atom_cands.unionByName(record_candidates(records))
     errors = entry_errors_from(candidates)
     if materialize is not None:
         errors = materialize(errors, "errors")  # one row per rejected entry; read twice

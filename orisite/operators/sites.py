@@ -46,11 +46,11 @@ def site_positions(atoms: DataFrame, topology: Topology) -> DataFrame:
         (a("_rres") == a("resname")) | (a("_rres").isNull() & a("is_end")))
     ).select(*RESIDUE_KEY, "siteid", "role", "resname", "x", "y", "z")
 
-    # Per-component maxima keep every aggregation buffer fixed-width (hash aggregation);
-    # the residue name is part of the key: a site forms from directors matched under one
-    # residue type (the role-1 atom's type, as before, whenever a residue is well formed).
-    g = hits.groupBy(*RESIDUE_KEY, "siteid", "resname").agg(*(
-        F.max(F.when(F.col("role") == k, F.col(c))).alias(f"a{k}{c}") for k in (1, 2, 3) for c in "xyz"))
+    # A residue key may carry several residue names; directors are lined up on the key and
+    # the site alone, and the name is the first director's.
+    g = hits.groupBy(*RESIDUE_KEY, "siteid").agg(
+        F.max(F.when(F.col("role") == 1, F.col("resname"))).alias("resname"),
+        *(F.max(F.when(F.col("role") == k, F.col(c))).alias(f"a{k}{c}") for k in (1, 2, 3) for c in "xyz"))
     return g.select(*RESIDUE_KEY, "siteid", "resname", *(f"a{k}{c}" for k in (1, 2, 3) for c in "xyz"))
 
 
@@ -98,10 +98,3 @@ def assign_sites(atoms: DataFrame, topology: Topology) -> DataFrame:
     a = atoms.join(members, ["resname", "atomname"], "left").join(term, "atomname", "left")
     return a.withColumn("siteid", F.when(F.col("is_end") & F.col("_term").isNotNull(), F.lit(TERMINUS_SITE))
                         .otherwise(F.col("siteid"))).drop("_term")
-
-
-def build_sites(atoms: DataFrame, topology: Topology) -> tuple[DataFrame, DataFrame]:
-    """Atoms with chain-end flag and site id, plus the ``cg`` site table, from clean atoms."""
-    marked = mark_chain_ends(atoms)
-    cg = orient_sites(site_positions(marked, topology))
-    return assign_sites(marked, topology), cg

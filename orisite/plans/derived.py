@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from orisite.operators import corrections as R
@@ -23,6 +23,7 @@ from orisite.operators.sites import assign_sites, orient_sites, site_positions
 from orisite.plans.pipeline import Stages, analyse_lines, check_lines
 from orisite.session import Materializer
 from orisite.sources import topology as T
+from orisite.sources.sinks import write_table
 from orisite.sources.structures import scan_atoms, scan_records
 
 # ---- fixed values of our own test topology -----------------------------------------------
@@ -40,8 +41,10 @@ TEMPLATE = [
     (" Q4 ", 10, -0.7, -2.5, 3.1),
 ]
 # Residue kind (l_partkey % 4) -> residue name and how many template atoms it has.
-KINDS = [(0, "AAA", 6), (1, "BBB", 10), (2, "CCC", 10), (3, "ZZZ", 6)]  # ZZZ is not in the topology
-DIRECTORS = [("AAA", 0, 0, " P1 ", " P2 ", " P3 "),
+# In the clean entries the kind 3 is 4.
+KINDS = [(0, "AAA", 6), (1, "BBB", 10), (2, "CCC", 10), (3, "ZZZ", 6), (4, "DDD", 6)]  # ZZZ is not in the topology
+UNKNOWN_KIND, CLEAN_KIND = 3, 4
+DIRECTORS = [("AAA", 0, 0, " P1 ", " P2 ", " P3 "), ("DDD", 0, 0, " P1 ", " P2 ", " P3 "),
              ("BBB", 0, 0, " P1 ", " P2 ", " P3 "), ("BBB", 1, 0, " Q1 ", " Q2 ", " P4 "),
              ("CCC", 0, 0, " P1 ", " P2 ", " P3 "), ("CCC", 1, 0, " Q1 ", " Q2 ", " P4 ")]
 TERMINUS = [(" P2 ", " P5 ", " P6 ")]
@@ -56,13 +59,19 @@ ROTATIONS = [(3, 5, 4, 5), (5, 13, 12, 13), (8, 17, 15, 17), (1, 1, 0, 1)]
 # ignored HETATM record.
 MODEL_EVERY, NO_DBREF_EVERY, RENAME_EVERY, ALTLOC_EVERY, BAD_X_EVERY, HETATM_EVERY = 13, 11, 17, 19, 29, 23
 RENAMED_FROM, RENAMED_TO = " P3 ", " PX "
+# Every so many residues (by l_suppkey) one atom bears another residue's name.
+MIXED_EVERY, MIXED_ATOM, MIXED_NAME = 37, " P5 ", "BBB"
+# Unreadable coordinates, chosen by l_suppkey.
+BAD_X = ["  bad.xx", "    1.0d", "    2.5f", "   0x1p3", "        ", "     NaN"]
+# Room for line numbers below those of a repeated line item.
+REPEAT_STEP = 8
 # Bits of the line order key: serial 4, icode 7, chain 7, residue number 3 (qc order) ...
 QC_PART_SHIFT = 1 << 21
 MODEL_SLOT_MOD = 2003
 
 
 def fixture_topology(spark: SparkSession) -> T.Topology:
-    atoms = [(res, name, serial) for _, res, n in KINDS[:3] for name, serial, *_ in TEMPLATE[:n]]
+    atoms = [(res, name, serial) for k, res, n in KINDS if k != UNKNOWN_KIND for name, serial, *_ in TEMPLATE[:n]]
     members = [(res, name, 0 if name.startswith(" P") else 1) for res, name, _ in atoms]
     return T.Topology.from_rows(spark, atoms=atoms, directors=DIRECTORS, members=members,
                                 terminus=TERMINUS, corrections=CORRECTIONS)
@@ -76,23 +85,23 @@ def template_df(spark: SparkSession) -> DataFrame:
 
 
 def lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The six columns used.  A table held in fewer files than there are cores (the driver's
-    tables are one file with one row group) is read by one task however it is split, and
-    every derived row would be built there; spread such a table first.  A table in many
-    files is left as it is."""
+    """The six columns used, read as they are stored.  The benchmark's table is one row group,
+    which one task would read and unfold; ``bench.py`` has it spread over so many tasks by the
+    setting ``spark.orisite.spread``."""
     li = spark.read.parquet(f"{sf_dir.rstrip('/')}/lineitem.parquet").select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag", "l_linestatus")
-    want = spark.sparkContext.defaultParallelism
-    return li.repartition(want) if len(li.inputFiles()) < want else li
+    spread = spark.conf.get("spark.orisite.spread", None)
+    return li.repartition(int(spread)) if spread else li
 
 
 def residues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One residue per (order, flag, line number, status): the smallest (partkey, suppkey)."""
-    g = lineitem(spark, sf_dir).groupBy("l_orderkey", "l_returnflag", "l_linenumber", "l_linestatus").agg(
-        F.min(F.struct(F.col("l_partkey").alias("pk"), F.col("l_suppkey").alias("sk"))).alias("m"))
-    return g.select(F.col("l_orderkey").cast("string").alias("entry"), F.col("l_returnflag").alias("chainid"),
-                    F.col("l_linenumber").alias("resseq"), F.col("l_linestatus").alias("icode"),
-                    F.col("m.pk").alias("pk"), F.col("m.sk").alias("sk"))
+    """One residue for each line item.  Its number is the line number, with a step added for
+    each earlier item (by partkey, suppkey) of the same order, flag, line number and status."""
+    same = Window.partitionBy("l_orderkey", "l_returnflag", "l_linenumber", "l_linestatus").orderBy("l_partkey", "l_suppkey")
+    return lineitem(spark, sf_dir).withColumn("_again", F.row_number().over(same) - 1).select(
+        F.col("l_orderkey").cast("string").alias("entry"), F.col("l_returnflag").alias("chainid"),
+        (F.col("l_linenumber") + REPEAT_STEP * F.col("_again")).cast("int").alias("resseq"),
+        F.col("l_linestatus").alias("icode"), F.col("l_partkey").alias("pk"), F.col("l_suppkey").alias("sk"))
 
 
 def _jitter(axis: str) -> Column:
@@ -130,24 +139,22 @@ def _keep_atom() -> Column:
 
 
 def structure_atoms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Clean residues (known kinds) with their atoms: entry, line_no, chainid, resseq, icode,
+    """Clean residues with their atoms: entry, line_no, chainid, resseq, icode,
     resname, atomname, serial, x, y, z.  Line order = (chain, residue number, insertion code,
     serial)."""
-    tmpl = F.broadcast(template_df(spark).filter(F.col("kind") != 3))
-    r = residues(spark, sf_dir).withColumn("kind", (F.col("pk") % 4).cast("int"))
+    tmpl = F.broadcast(template_df(spark).filter(F.col("kind") != UNKNOWN_KIND))
+    kind = (F.col("pk") % 4).cast("int")
+    r = residues(spark, sf_dir).withColumn("kind", F.when(kind == UNKNOWN_KIND, CLEAN_KIND).otherwise(kind))
     a = r.join(tmpl, "kind").filter(_keep_atom())
     a = with_coordinates(a)
     line_no = (((F.ascii("chainid").cast("long") * 4096 + F.col("resseq")) * 128 + F.ascii("icode")) * 16
                + F.col("serial"))
-    return a.select("entry", line_no.alias("line_no"), "chainid", "resseq", "icode", "resname", "atomname",
+    mixed = (F.col("sk") % MIXED_EVERY == 5) & (F.col("atomname") == MIXED_ATOM)
+    return a.select("entry", line_no.alias("line_no"), "chainid", "resseq", "icode",
+                    F.when(mixed, MIXED_NAME).otherwise(F.col("resname")).alias("resname"), "atomname",
                     "serial", "x", "y", "z")
 
 
-def numbered_atoms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return number_residues(structure_atoms(spark, sf_dir)).select(
-        "entry", "chainid", "resseq", "icode", "rescounter", "resname", "atomname", "x", "y", "z")
-
-
 # ---- fixed-width text -----------------------------------------------------------------
 
 def millis(v: Column) -> Column:
@@ -202,8 +209,8 @@ def qc_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = F.when((F.col("sk") % RENAME_EVERY == 0) & (F.col("atomname") == RENAMED_FROM),
                   F.lit(RENAMED_TO)).otherwise(F.col("atomname"))
     alt = F.when(F.col("pk") % ALTLOC_EVERY == 0, F.lit("A")).otherwise(F.lit(" "))
-    xs = F.when((F.col("pk") % BAD_X_EVERY == 0) & (F.col("serial") == 1), F.lit("  bad.xx")).otherwise(
-        fmt_coord(F.col("_mx")))
+    bad = F.get(F.array(*map(F.lit, BAD_X)), (F.col("sk") % len(BAD_X)).cast("int"))
+    xs = F.when((F.col("pk") % BAD_X_EVERY == 0) & (F.col("serial") == 1), bad).otherwise(fmt_coord(F.col("_mx")))
     entry = F.col("ok").cast("string")
     atoms = a.select(entry.alias("entry"), (base + F.col("serial")).alias("line_no"), atom_line(
         F.lit("ATOM  "), F.col("serial"), name, alt, F.col("resname"), F.col("chainid"), F.col("resseq"),
@@ -363,7 +370,26 @@ def q_pipeline_rmsd(c: Ctx):
 
 
 def q_pipeline_errors(c: Ctx):
-    return check_lines(c.source("structure_lines"), c.topo).errors
+    """The error table of the same analysis, over the lines with defects."""
+    errors, _ = analyse_lines(c.spark, c.source("qc_lines"), c.topo, materialize=c.mat)
+    return errors
+
+
+def q_direct_atoms(c: Ctx):
+    """J13 with the report's moments: which measured atoms are not corrected ones."""
+    return c.stages().moments.join(F.broadcast(c.topo.direct_atoms()), ["resname", "atomname"], "left_semi").select(
+        "resname", "siteid", "atomname", "count")
+
+
+def q_bond_edges(c: Ctx):
+    lines = template_lines(c.spark, c.sf_dir)
+    return T.bond_edges(T.bonds_with_residues(lines, T.parse_template_atoms_with_position(lines)))
+
+
+def q_written_report(c: Ctx):
+    """K1-K3: the report written as a result table and read back."""
+    write_table(c.stages().rmsd, f"{c.mat.root}/out/rmsd")
+    return c.spark.read.parquet(f"{c.mat.root}/out/rmsd")
 
 
 def q_site_director_layout(c: Ctx): return T.parse_site_directors(director_lines(c.spark, c.sf_dir))

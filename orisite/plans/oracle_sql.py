@@ -29,7 +29,7 @@ class W:
         return name
 
     def render(self, final: str) -> str:
-        return "WITH " + ",\n".join(f"{n} AS ({q})" for n, q in self.ctes) + "\n" + final
+        return "WITH " + ",\n".join(f"{n} AS MATERIALIZED ({q})" for n, q in self.ctes) + "\n" + final
 
 
 # ---- topology and fixture rows ----------------------------------------------------------
@@ -38,7 +38,7 @@ def topology(w: W) -> None:
     tm = ", ".join(f"({k}, {s(res)}, {s(name)}, {serial}, {dbl(ox)}, {dbl(oy)}, {dbl(oz)})"
                    for k, res, n in D.KINDS for name, serial, ox, oy, oz in D.TEMPLATE[:n])
     w.add("tmpl", f"SELECT * FROM (VALUES {tm}) t(kind, resname, atomname, serial, ox, oy, oz)")
-    w.add("t_atoms0", "SELECT resname, atomname, serial FROM tmpl WHERE kind <> 3")
+    w.add("t_atoms0", f"SELECT resname, atomname, serial FROM tmpl WHERE kind <> {D.UNKNOWN_KIND}")
     w.add("t_atoms", "SELECT * FROM t_atoms0 UNION ALL SELECT resname, ' H1 ', max(serial) + 1 FROM t_atoms0 "
                      "GROUP BY resname UNION ALL SELECT resname, ' H3 ', max(serial) + 2 FROM t_atoms0 GROUP BY resname")
     dr = ", ".join(f"({s(r)}, {sid}, {k + 1}, {s(a)})" for r, sid, _, *atoms in D.DIRECTORS for k, a in enumerate(atoms))
@@ -66,14 +66,17 @@ def coords(w: W, name: str, src: str) -> str:
 
 
 def structure_atoms(w: W) -> str:
-    w.add("res", "SELECT CAST(l_orderkey AS VARCHAR) AS entry, l_returnflag AS chainid, l_linenumber AS resseq, "
-                 "l_linestatus AS icode, struct_extract(m, 'pk') AS pk, struct_extract(m, 'sk') AS sk FROM ("
-                 "SELECT l_orderkey, l_returnflag, l_linenumber, l_linestatus, min({'pk': l_partkey, 'sk': l_suppkey}) AS m "
-                 "FROM lineitem GROUP BY l_orderkey, l_returnflag, l_linenumber, l_linestatus) g")
-    w.add("sa0", "SELECT r.entry, r.chainid, r.resseq, r.icode, r.pk, r.sk, t.resname, t.atomname, t.serial, "
+    w.add("res", "SELECT CAST(l_orderkey AS VARCHAR) AS entry, l_returnflag AS chainid, "
+                 f"CAST(l_linenumber + {D.REPEAT_STEP} * (row_number() OVER (PARTITION BY l_orderkey, l_returnflag, "
+                 "l_linenumber, l_linestatus ORDER BY l_partkey, l_suppkey) - 1) AS INTEGER) AS resseq, "
+                 "l_linestatus AS icode, l_partkey AS pk, l_suppkey AS sk FROM lineitem")
+    w.add("sa0", "SELECT r.entry, r.chainid, r.resseq, r.icode, r.pk, r.sk, "
+                 f"CASE WHEN r.sk % {D.MIXED_EVERY} = 5 AND t.atomname = {s(D.MIXED_ATOM)} THEN {s(D.MIXED_NAME)} "
+                 "ELSE t.resname END AS resname, t.atomname, t.serial, "
                  "t.ox, t.oy, t.oz, CAST(((ascii(r.chainid) * 4096 + r.resseq) * 128 + ascii(r.icode)) * 16 "
-                 "+ t.serial AS BIGINT) AS line_no FROM res r JOIN tmpl t ON t.kind = r.pk % 4 "
-                 "WHERE t.kind <> 3 AND NOT (t.atomname = ' P6 ' AND r.sk % 3 = 0)")
+                 "+ t.serial AS BIGINT) AS line_no FROM res r JOIN tmpl t "
+                 f"ON t.kind = CASE WHEN r.pk % 4 = {D.UNKNOWN_KIND} THEN {D.CLEAN_KIND} ELSE r.pk % 4 END "
+                 "WHERE NOT (t.atomname = ' P6 ' AND r.sk % 3 = 0)")
     return coords(w, "satoms", "sa0")
 
 
@@ -126,7 +129,9 @@ def qc_lines(w: W) -> str:
     name = (f"(CASE WHEN sk % {D.RENAME_EVERY} = 0 AND atomname = {s(D.RENAMED_FROM)} THEN {s(D.RENAMED_TO)} "
             f"ELSE atomname END)")
     alt = f"(CASE WHEN pk % {D.ALTLOC_EVERY} = 0 THEN 'A' ELSE ' ' END)"
-    xs = f"(CASE WHEN pk % {D.BAD_X_EVERY} = 0 AND serial = 1 THEN '  bad.xx' ELSE {fmt('_mx')} END)"
+    bad = " ".join(f"WHEN {i} THEN {s(x)}" for i, x in enumerate(D.BAD_X))
+    xs = (f"(CASE WHEN pk % {D.BAD_X_EVERY} = 0 AND serial = 1 THEN (CASE sk % {len(D.BAD_X)} {bad} END) "
+          f"ELSE {fmt('_mx')} END)")
     return w.add("qlines", f"""
         SELECT CAST(ok AS VARCHAR) AS entry, CAST({base} + serial AS BIGINT) AS line_no,
                {atom_line('ATOM  ', name, alt, 'resname', xs)} AS line FROM qa
@@ -141,6 +146,12 @@ def qc_lines(w: W) -> str:
         FROM (SELECT DISTINCT ok FROM li) e WHERE ok % {D.MODEL_EVERY} = 0""")
 
 
+def number(field: str) -> str:
+    """A decimal number with blanks around it, else NULL."""
+    return (f"CASE WHEN regexp_full_match(trim({field}), '[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?') "
+            f"THEN try_cast(trim({field}) AS DOUBLE) END")
+
+
 def records(w: W, name: str, src: str) -> str:
     w.add(f"{name}_0", f"SELECT entry, line_no, substr(line, 1, 6) AS record, line, length(line) AS len FROM {src} "
                        f"WHERE substr(line, 1, 6) IN ('ATOM  ', 'MODEL ', 'DBREF ', 'DBREF1')")
@@ -151,9 +162,9 @@ def records(w: W, name: str, src: str) -> str:
         CASE WHEN record = 'ATOM  ' THEN substr(line, 22, 1) END AS chainid,
         CASE WHEN record = 'ATOM  ' THEN try_cast(substr(line, 23, 4) AS INTEGER) END AS resseq,
         CASE WHEN record = 'ATOM  ' THEN substr(line, 27, 1) END AS icode,
-        CASE WHEN record = 'ATOM  ' THEN try_cast(substr(line, 31, 8) AS DOUBLE) END AS x,
-        CASE WHEN record = 'ATOM  ' THEN try_cast(substr(line, 39, 8) AS DOUBLE) END AS y,
-        CASE WHEN record = 'ATOM  ' THEN try_cast(substr(line, 47, 8) AS DOUBLE) END AS z
+        CASE WHEN record = 'ATOM  ' THEN {number("substr(line, 31, 8)")} END AS x,
+        CASE WHEN record = 'ATOM  ' THEN {number("substr(line, 39, 8)")} END AS y,
+        CASE WHEN record = 'ATOM  ' THEN {number("substr(line, 47, 8)")} END AS z
         FROM {name}_0""")
     return w.add(name, f"""SELECT *, CASE
         WHEN record = 'ATOM  ' AND (len <= 16 OR (altloc = ' ' AND (len <= 26 OR resseq IS NULL))) THEN 0
@@ -219,8 +230,8 @@ def analysis(w: W, atoms: str, legacy_y: bool = False, p: str = "") -> None:
                       f"FROM {p}pdb a JOIN {p}roles r ON a.atomname = r.atomname "
                       f"AND (r.resname = a.resname OR (r.resname IS NULL AND a.is_end))")
     picks = ", ".join(f"max(CASE WHEN role = {k} THEN {c} END) AS a{k}{c}" for k in (1, 2, 3) for c in AX)
-    w.add(f"{p}pos", f"SELECT entry, chainid, rescounter, siteid, resname, "
-                     f"{picks} FROM {p}hits GROUP BY entry, chainid, rescounter, siteid, resname")
+    w.add(f"{p}pos", f"SELECT entry, chainid, rescounter, siteid, max(CASE WHEN role = 1 THEN resname END) AS resname, "
+                     f"{picks} FROM {p}hits GROUP BY entry, chainid, rescounter, siteid")
     key = "entry, chainid, rescounter"
     w.add(f"{p}cg0", f"SELECT {key}, resname, siteid, a1x AS x, a1y AS y, a1z AS z, "
                      + ", ".join(f"a2{c} - a1{c} AS _d1{c}" for c in AX) + ", "
@@ -396,7 +407,9 @@ def queries() -> dict[str, str]:
     quality(w, "p", "precs")
     analysis(w, "pclean", p="a_")
     q["pipeline_rmsd"] = w.render(out("a_rmsd", RMSD, ["dx", "dy", "dz", "rmsd"]))
-    q["pipeline_errors"] = w.render("SELECT entry, reason FROM perr")
+    q["pipeline_errors"] = q["entry_errors"]
+    q["written_report"] = q["rmsd_report"]
+    q["direct_atoms"] = _analysis_query("drmsd", ["resname", "siteid", "atomname", "count"])
 
     q.update(layout_queries())
     return q
@@ -466,6 +479,8 @@ def layout_queries() -> dict[str, str]:
         FROM pb b JOIN res r ON r.entry = b.entry
         UNION ALL SELECT resname, n, h, NULL, NULL, NULL, false FROM h
         UNION ALL SELECT resname, h, n, NULL, NULL, NULL, false FROM h"""
+    q["bond_edges"] = "SELECT resname, selfserial AS src, dst FROM (" + " UNION ALL ".join(
+        f"SELECT resname, selfserial, serial{k} AS dst FROM ({q['scan_bonds']}) b{k}" for k in (1, 2, 3, 4)) + ") e WHERE dst IS NOT NULL"
     return q
 
 

@@ -102,8 +102,7 @@ def check_lines(lines: DataFrame, topology: Topology, block_lines: int = DEFAULT
                 materialize: Materialize | None = None) -> Checked:
     """S2 + Q1-Q7 + W1 from structure lines ``(entry, line_no, line)``.  Lines read from files
     also carry ``file_path``; then an entry name found in two folders is rejected too."""
-    paths = lines.select("entry", "file_path") if "file_path" in lines.columns else None
-    return check_entries(scan_records(lines), topology, block_lines, file_paths=paths, materialize=materialize)
+    return check_entries(scan_records(lines), topology, block_lines, materialize=materialize)
 
 
 def analyse_lines(spark: SparkSession, lines: DataFrame, topology: Topology, legacy_y: bool = False,
@@ -116,20 +115,24 @@ def analyse_lines(spark: SparkSession, lines: DataFrame, topology: Topology, leg
 
 
 def run(spark: SparkSession, lines: DataFrame, topology: Topology, out: str, legacy_y: bool = False,
-        block_lines: int = DEFAULT_BLOCK_LINES) -> dict[str, str]:
+        block_lines: int = DEFAULT_BLOCK_LINES, buckets: int | None = None) -> dict[str, str]:
     """Run everything and write ``pdb_file_error_table``, ``pdb``, ``cg``, ``moments``,
     ``cov`` and ``rmsd`` under ``out`` (a shared folder).  Intermediate stages go to the
-    session's checkpoint folder."""
+    session's checkpoint folder in ``buckets`` buckets and are dropped at the end."""
     root = out.rstrip("/")
-    errors, st = analyse_lines(spark, lines, topology, legacy_y, block_lines, Materializer(spark))
-    outputs = {
-        "pdb_file_error_table": errors,
-        "pdb": st.pdb.drop("is_end"),
-        "cg": st.cg,
-        "moments": st.moments,
-        "cov": st.cov,
-        "rmsd": st.rmsd,
-    }
-    for name, df in outputs.items():
-        write_table(df, f"{root}/{name}")
+    stages = Materializer(spark, buckets=buckets)
+    try:
+        errors, st = analyse_lines(spark, lines, topology, legacy_y, block_lines, stages)
+        outputs = {
+            "pdb_file_error_table": errors,
+            "pdb": st.pdb.drop("is_end"),
+            "cg": st.cg,
+            "moments": st.moments,
+            "cov": st.cov,
+            "rmsd": st.rmsd,
+        }
+        for name, df in outputs.items():
+            write_table(df, f"{root}/{name}")
+    finally:
+        stages.drop()
     return {n: f"{root}/{n}" for n in outputs}

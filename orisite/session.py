@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -26,14 +27,15 @@ PLAN_CONF = {
 def apply_plan_conf(spark: SparkSession) -> SparkSession:
     for k, v in PLAN_CONF.items():
         spark.conf.set(k, v)
-    # A single-machine session left at the stock 200 shuffle partitions runs hundreds of
-    # near-empty tasks per stage; match the cores there.  A cluster's setting is kept.
-    sc = spark.sparkContext
-    if sc.master.startswith("local") and spark.conf.get("spark.sql.shuffle.partitions") == "200":
-        spark.conf.set("spark.sql.shuffle.partitions", str(sc.defaultParallelism))
     return spark
 
 
+def is_local(spark: SparkSession) -> bool:
+    """All tasks run on this machine, in this process."""
+    master = spark.sparkContext.master
+    return master == "local" or master.startswith("local[")
+
+
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "orisite") -> SparkSession:
     """A local session for tests and the benchmark."""
     b = (SparkSession.builder.master(f"local[{cores}]").appName(app)
@@ -50,78 +52,76 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder (``spark.checkpoint.dir``).  Only when the
-    session names none (local tests) a fresh private folder is used."""
+    """The cluster's shared checkpoint folder (``spark.checkpoint.dir``).  A local session that
+    names none (tests) gets a fresh private folder; a cluster must name one, since a folder of
+    one machine cannot be read by the others."""
     d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not d:
+        if not is_local(spark):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         d = tempfile.mkdtemp(prefix="orisite-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     spark.sparkContext.setCheckpointDir(d)
     return spark.sparkContext.getCheckpointDir() or d
 
 
+#: Session setting with the number of buckets of stage tables; see ``Materializer``.
+BUCKETS_CONF = "spark.orisite.buckets"
+
+
 class Materializer:
     """Writes stage results to the shared checkpoint folder and reads them back.
 
     This cuts the lineage (a lost executor re-reads a file instead of re-running every stage
     above it), lets the planner see real sizes, and keeps tables that are joined on the
     residue key *bucketed* on it, so the reads stay co-partitioned without another shuffle.
+
+    ``buckets`` is the number of buckets, and so of tasks, of every bucketed stage: about the
+    atom table's size over what one task should hold (128 MB, say).  It comes from the argument
+    or from the setting ``spark.orisite.buckets``; only a local session may leave both out and
+    gets one bucket for each core.  A failing write fails the run.
     """
 
     _open: list["Materializer"] = []
 
     def __init__(self, spark: SparkSession, root: str | None = None, buckets: int | None = None):
-        import uuid
-
-        Materializer._open.append(self)
-
         self.spark = spark
         base = root or ensure_checkpoint_dir(spark)
         self.tag = uuid.uuid4().hex[:12]
         self.root = f"{base.rstrip('/')}/orisite-{self.tag}"
-        self.buckets = buckets  # fixed at the first bucketed write, so later joins stay co-located
-
-    def _bucket_count(self, df) -> int:
-        """About 128 MB per bucket by the planner's size estimate, at least one per core and at
-        most ``spark.sql.shuffle.partitions``."""
-        if self.buckets is None:
-            lo = self.spark.sparkContext.defaultParallelism
-            hi = max(lo, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
-            try:
-                est = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
-            except Exception:  # noqa: BLE001
-                est = 0
-            self.buckets = max(lo, min(hi, -(-est // (128 << 20))))
-        return self.buckets
+        buckets = buckets or spark.conf.get(BUCKETS_CONF, None)
+        if buckets is None:
+            if not is_local(spark):
+                raise ValueError(f"pass buckets or set {BUCKETS_CONF}")
+            buckets = spark.sparkContext.defaultParallelism
+        self.buckets = int(buckets)
+        self.tables: list[str] = []
+        Materializer._open.append(self)
 
     def __call__(self, df, name: str, bucket_by: list[str] | None = None):
         path = f"{self.root}/{name}"
-        if bucket_by:
-            table = f"orisite_{self.tag}_{name}"
-            try:
-                (df.write.mode("overwrite").format("parquet").bucketBy(self._bucket_count(df), *bucket_by)
-                 .option("path", path).saveAsTable(table))
-                return self.spark.table(table)
-            except Exception:  # noqa: BLE001 - a catalog without bucketed tables: plain files
-                path = f"{path}_plain"
-        df.write.mode("overwrite").parquet(path)
-        return self.spark.read.parquet(path)
+        if not bucket_by:
+            df.write.mode("overwrite").parquet(path)
+            return self.spark.read.parquet(path)
+        table = f"orisite_{self.tag}_{name}"
+        self.tables.append(table)
+        (df.write.mode("overwrite").format("parquet").bucketBy(self.buckets, *bucket_by)
+         .option("path", path).saveAsTable(table))
+        return self.spark.table(table)
 
     def drop(self) -> None:
         """Remove this run's stage tables (catalog entries and files).  Call only once every
         DataFrame built on them has been consumed."""
-        try:
-            for t in self.spark.catalog.listTables():
-                if t.name.startswith(f"orisite_{self.tag}_"):
-                    self.spark.sql(f"DROP TABLE IF EXISTS {t.name}")
-            jvm = self.spark.sparkContext._jvm
-            path = jvm.org.apache.hadoop.fs.Path(self.root)
-            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-        except Exception:  # noqa: BLE001 - cleanup is best effort
-            pass
+        while self.tables:
+            self.spark.sql(f"DROP TABLE IF EXISTS {self.tables[-1]}")
+            self.tables.pop()
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.root)
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        if self in Materializer._open:
+            Materializer._open.remove(self)
 
     @classmethod
     def drop_all(cls) -> None:
-        """Drop the stage tables of every materializer created so far in this process."""
+        """Drop the stage tables of every materializer of this process that is still open."""
         while cls._open:
-            cls._open.pop().drop()
+            cls._open[-1].drop()

@@ -4,24 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-# The five result tables and the columns they are written with.
-OUTPUT_TABLES = ("pdb_file_error_table", "pdb", "cg", "cov", "rmsd")
-
-
-def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
+def write_table(df: DataFrame, path: str) -> None:
     """K1 + K2: write Parquet, replacing what was there (the original drops its database at
     the start of a run)."""
-    w = df.write.mode("overwrite")
-    if partition_by:
-        w = w.partitionBy(*partition_by)
-    w.parquet(path)
-
-
-def write_outputs(tables: dict[str, DataFrame], root: str) -> dict[str, str]:
-    """Write every given table under ``root/<name>``; returns the paths."""
-    out = {}
-    for name, df in tables.items():
-        p = f"{root.rstrip('/')}/{name}"
-        write_table(df, p)
-        out[name] = p
-    return out
+    df.write.mode("overwrite").parquet(path)

@@ -49,8 +49,9 @@ def scan_records(lines: DataFrame) -> DataFrame:
     # Parse every field exactly once (one projection), then derive flags from the parsed
     # columns; the planner keeps the two projections apart because each parsed column is
     # used more than once.
+    path = [k for k in ("file_path",) if k in lines.columns]
     parsed = lines.filter(rec.isin(ATOM, MODEL, *DBREF)).select(
-        "entry", "line_no", rec.alias("record"), F.length("line").alias("_len"),
+        "entry", "line_no", *path, rec.alias("record"), F.length("line").alias("_len"),
         char("line", 16).alias("_altloc"), field("line", 12, 16).alias("_atomname"),
         field("line", 17, 20).alias("_resname"), char("line", 21).alias("_chainid"),
         int_field("line", 22, 26).alias("_resseq"), char("line", 26).alias("_icode"),
@@ -62,7 +63,7 @@ def scan_records(lines: DataFrame) -> DataFrame:
     early_bad = (c("_len") <= 16) | (blank & ((c("_len") <= 26) | c("_resseq").isNull()))
     late_bad = blank & (c("_x").isNull() | c("_y").isNull() | c("_z").isNull())
     return parsed.select(
-        "entry", "line_no", "record",
+        "entry", "line_no", *path, "record",
         *(F.when(is_atom, c(f"_{n}")).alias(n) for n in
           ("altloc", "atomname", "resname", "chainid", "resseq", "icode", "x", "y", "z")),
         F.when(is_atom & early_bad, F.lit(0)).when(is_atom & late_bad, F.lit(5)).alias("malformed_at"),

@@ -29,6 +29,6 @@ def lines_df(spark, entries: dict[str, list[str]]):
 
 
 # Residue geometry (Angstrom-ish) used to place atoms; rotated/shifted copies keep it.
-GEOM = {N: (-0.966, 0.493, 1.500), CA: (0.257, 0.418, 0.692), C: (-0.094, 0.017, -0.716),
-        O: (-1.056, -0.682, -0.923), OXT: (0.661, 0.439, -1.742), CB: (1.204, -0.620, 1.296),
-        CG: (2.1, -0.9, 2.1), CD: (3.0, -1.9, 2.6)}
+GEOM = {N: (0.3, 0.9, 1.9), CA: (1.2, -0.4, 0.8), C: (2.1, 0.7, 0.3),
+        O: (2.9, 1.2, 1.1), OXT: (2.2, 1.1, -0.9), CB: (0.9, -1.6, 1.5),
+        CG: (0.1, -2.6, 0.8), CD: (-0.8, -3.3, 1.7)}

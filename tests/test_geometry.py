@@ -17,25 +17,25 @@ def _positions(spark, a1, a2, a3, siteid=0):
 
 
 def test_golden_frame_and_local_position(spark):
-    ca, c, n = (0.257, 0.418, 0.692), (-0.094, 0.017, -0.716), (-0.966, 0.493, 1.500)
+    ca, c, n = (1.2, -0.4, 0.8), (2.1, 0.7, 0.3), (0.3, 0.9, 1.9)
     cg = orient_sites(_positions(spark, ca, c, n)).collect()[0]
-    assert np.allclose([cg.exx, cg.exy, cg.exz], [-0.233148439, -0.266360467, -0.935250719], atol=TOL)
-    assert np.allclose([cg.eyx, cg.eyy, cg.eyz], [-0.966769505, -0.040232472, 0.252464004], atol=TOL)
-    assert np.allclose([cg.ezx, cg.ezy, cg.ezz], [-0.104873879, 0.963033462, -0.248129039], atol=TOL)
-    atoms = spark.createDataFrame([("e", "A", 0, "AAA", 0, " CB ", 1.204, -0.620, 1.296)],
+    assert np.allclose([cg.exx, cg.exy, cg.exz], [0.597350980, 0.730095643, -0.331861656], atol=TOL)
+    assert np.allclose([cg.eyx, cg.eyy, cg.eyz], [-0.481805701, 0.657506925, 0.579264974], atol=TOL)
+    assert np.allclose([cg.ezx, cg.ezy, cg.ezz], [0.641120170, -0.186131662, 0.744526649], atol=TOL)
+    atoms = spark.createDataFrame([("e", "A", 0, "AAA", 0, " CB ", 0.9, -1.6, 1.5)],
                                   "entry string, chainid string, rescounter int, resname string, siteid int, "
                                   "atomname string, x double, y double, z double")
     rel = to_site_frame(atoms, orient_sites(_positions(spark, ca, c, n))).collect()[0]
     assert np.allclose([rel.orientedx, rel.orientedy, rel.orientedz],
-                       [-0.509200841, -0.721281156, -1.248814237], atol=TOL)
+                       [-1.287623225, -0.238981118, 0.552190598], atol=TOL)
 
 
 def test_golden_terminus_frame(spark):
-    c, o, oxt = (-0.094, 0.017, -0.716), (-1.056, -0.682, -0.923), (0.661, 0.439, -1.742)
+    c, o, oxt = (-2.0, 0.5, 1.0), (-1.1, 1.4, 0.2), (-3.0, 1.3, 0.6)
     cg = orient_sites(_positions(spark, c, o, oxt, siteid=-1)).collect()[0]
-    assert np.allclose([cg.exx, cg.exy, cg.exz], [-0.797005089, -0.579112846, -0.171496937], atol=TOL)
-    assert np.allclose([cg.eyx, cg.eyy, cg.eyz], [0.189979833, 0.029155769, -0.981354984], atol=TOL)
-    assert np.allclose([cg.ezx, cg.ezy, cg.ezz], [0.573315402, -0.814725876, 0.086782465], atol=TOL)
+    assert np.allclose([cg.exx, cg.exy, cg.exz], [0.598671095, 0.598671095, -0.532152084], atol=TOL)
+    assert np.allclose([cg.eyx, cg.eyy, cg.eyz], [-0.788813822, 0.556070766, -0.261835937], atol=TOL)
+    assert np.allclose([cg.ezx, cg.ezy, cg.ezz], [0.139160610, 0.576522526, 0.805143528], atol=TOL)
 
 
 def test_frames_orthonormal_right_handed_and_second_director_on_axis(spark):
