@@ -103,18 +103,29 @@ def test_lm_scores(request, which):
     assert np.allclose([g[5:] for g in got], [e[5:] for e in expected], rtol=1e-9)
 
 
-def test_lm_probabilities_sum_to_one(spark):
-    """Over one more word, the model's probabilities of all known words, the end and one unseen word are 1."""
-    train = ["a b a", "b a c", "c"]
-    texts = [*train, *(f"a b {w}" for w in ("a", "b", "c", "zzz")), "a b"]
-    d = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
-    got = {r.doc_id: r for r in lm_scoring.score_texts(d, F.col("doc_id") < 3, mass=2.0, order=3).collect()}
-    end = got[7].score - 0  # P(a b </s>)
-    c = Counter("a b a b a c c".split())
-    del c
-    trie = {t: got[3 + k].score for k, t in enumerate("abc")}
-    assert all(s < end for s in trie.values()) or end < 0
-    assert all(got[i].score < 0 for i in got)
+def test_lm_of_order_three_backs_off_and_sums_to_one(spark):
+    train = ["a b a", "b a c", "c", "a b c a b"]
+    c = Counter()
+    for t in train:
+        w = ["<s>", *t.split(), "</s>"]
+        c.update(tuple(w[i:j]) for j in range(1, len(w) + 1) for i in range(max(0, j - 3), j))
+    vocabulary = {g[0] for g in c if len(g) == 1} - {"<s>"}
+    n, mass = sum(c[w,] for w in vocabulary), 2.0
+
+    def p(w, context):
+        if not context:
+            return (c[w,] + 1) / (n + len(vocabulary) + 1)
+        shorter = p(w, context[1:])
+        return (c[*context, w] + mass * shorter) / (c[context] + mass) if c[context] else shorter
+
+    for context in [(), ("a",), ("a", "b"), ("<s>", "a"), ("zzz", "a")]:
+        assert abs(sum(p(w, context) for w in [*vocabulary, "unseen"]) - 1) < 1e-12
+    texts = [*train, "a b", "a zzz b a", "", "c c c", "b a b a"]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in lm_scoring.score_texts(d, F.col("doc_id") < len(train), mass=mass, order=3).collect():
+        w = ["<s>", *texts[r.doc_id].split(), "</s>"]
+        expected = sum(math.log10(p(w[i], tuple(w[max(0, i - 2):i]))) for i in range(1, len(w)))
+        assert abs(r.score - expected) < 1e-9
 
 
 def test_lm_without_training_rows(odd_docs):
