@@ -54,23 +54,27 @@ def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 OP6_SQL = """
-WITH d AS (
-  SELECT doc_id, list_filter(regexp_split_to_array(lower(text),
-         '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS w, text FROM documents),
-ds AS (
-  SELECT DISTINCT doc_id, text, unnest(list_transform(range(0, greatest(len(w) - 4, 1)), lambda i: array_to_string(w[i + 1:i + 5], ' '))) AS g
-  FROM d WHERE len(w) > 0),
-b AS (
-  SELECT DISTINCT item_id, text, list_filter(regexp_split_to_array(lower(text),
-         '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS w FROM benchmark),
-bs AS (
-  SELECT DISTINCT item_id, text, unnest(list_transform(range(0, greatest(len(w) - 4, 1)), lambda i: array_to_string(w[i + 1:i + 5], ' '))) AS g
-  FROM b WHERE len(w) > 0),
-n AS (SELECT item_id, text, count(*) AS n_item FROM bs GROUP BY ALL)
-SELECT ds.doc_id, bs.item_id, count(*) AS n_common, n.n_item, count(*) / n.n_item AS containment
-FROM ds JOIN bs USING (g) JOIN n ON n.item_id IS NOT DISTINCT FROM bs.item_id AND n.text = bs.text
-GROUP BY ds.doc_id, ds.text, bs.item_id, bs.text, n.n_item
-HAVING count(*) >= 0.8 * n.n_item
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, text FROM (SELECT DISTINCT doc_id, text FROM documents)),
+dw AS (
+  SELECT r, unnest(w) AS a, generate_subscripts(w, 1) AS i, len(w) AS n
+  FROM (SELECT r, list_filter(regexp_split_to_array(lower(text), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM d)),
+dg AS (
+  SELECT r, concat_ws(' ', a, lead(a, 1) OVER o, lead(a, 2) OVER o, lead(a, 3) OVER o, lead(a, 4) OVER o) AS g, i, n
+  FROM dw WINDOW o AS (PARTITION BY r ORDER BY i)),
+ds AS (SELECT DISTINCT r, g FROM dg WHERE i <= greatest(n - 4, 1)),
+b AS (SELECT row_number() OVER () AS r, item_id, text FROM (SELECT DISTINCT item_id, text FROM benchmark)),
+bw AS (
+  SELECT r, unnest(w) AS a, generate_subscripts(w, 1) AS i, len(w) AS n
+  FROM (SELECT r, list_filter(regexp_split_to_array(lower(text), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM b)),
+bg AS (
+  SELECT r, concat_ws(' ', a, lead(a, 1) OVER o, lead(a, 2) OVER o, lead(a, 3) OVER o, lead(a, 4) OVER o) AS g, i, n
+  FROM bw WINDOW o AS (PARTITION BY r ORDER BY i)),
+bs AS (SELECT DISTINCT r, g FROM bg WHERE i <= greatest(n - 4, 1)),
+n AS (SELECT r, count(*) AS n_item FROM bs GROUP BY r),
+c AS (SELECT ds.r AS dr, bs.r AS br, count(*) AS n_common FROM ds JOIN bs USING (g) GROUP BY ALL)
+SELECT d.doc_id, b.item_id, c.n_common, n.n_item, c.n_common / n.n_item AS containment
+FROM c JOIN n ON n.r = c.br JOIN d ON d.r = c.dr JOIN b ON b.r = c.br
+WHERE c.n_common >= 0.8 * n.n_item
 """
 
 
