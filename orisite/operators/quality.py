@@ -31,6 +31,8 @@ DUPLICATE_ATOM = "Duplicate atom"
 DUPLICATE_ENTRY = "Duplicate entry"
 
 RESIDUE_KEY = ["entry", "chainid", "rescounter"]
+#: Rejected entries that are broadcast at most (some 50 MB of names).
+BROADCAST_ENTRIES = 500_000
 ATOM_COLUMNS = ["entry", "chainid", "resseq", "icode", "rescounter", "resname", "atomname", "x", "y", "z"]
 
 
@@ -82,8 +84,26 @@ def duplicate_atoms(numbered: DataFrame) -> DataFrame:
                     .select(*RESIDUE_KEY, "atomname", "line_no", "occurrence"))
 
 
+def drop_entries(numbered: DataFrame, errors: DataFrame, materialize=None,
+                 broadcast_entries: int = BROADCAST_ENTRIES) -> DataFrame:
+    """Q6.  The rows of ``numbered`` whose entry is not in ``errors``.
+
+    With written inputs the atoms are not shuffled: up to ``broadcast_entries`` rejected entries are
+    broadcast; beyond, the *residues* of rejected entries are found (one short row for each) and
+    written bucketed like ``numbered``, so the atoms are filtered in place.
+    """
+    bad = errors.select("entry")
+    if materialize is None:
+        return numbered.join(bad, "entry", "left_anti")
+    if errors.count() <= broadcast_entries:
+        return numbered.join(F.broadcast(bad), "entry", "left_anti")
+    rejected = numbered.select(*RESIDUE_KEY).distinct().join(bad, "entry", "left_semi")
+    rejected = materialize(rejected.repartition(*RESIDUE_KEY), "rejected", RESIDUE_KEY)
+    return numbered.join(rejected, RESIDUE_KEY, "left_anti")
+
+
 def check_entries(records: DataFrame, topology: Topology, block_lines: int = DEFAULT_BLOCK_LINES,
-                  materialize=None) -> Checked:
+                  materialize=None, broadcast_entries: int = BROADCAST_ENTRIES) -> Checked:
     """Q1-Q7 + W1 over ``scan_records`` output.
 
     All per-atom checks come from one projection over one flagged atom table (the first
@@ -114,9 +134,7 @@ def check_entries(records: DataFrame, topology: Topology, block_lines: int = DEF
     errors = entry_errors_from(candidates)
     if materialize is not None:
         errors = materialize(errors, "errors")  # one row per rejected entry; read twice
-    # AQE turns this into a broadcast when the (one row per rejected entry) error table is
-    # small at run time, and into a skew-split shuffle join when it is not.
-    clean = flagged.join(errors.select("entry"), "entry", "left_anti").select(*ATOM_COLUMNS)
+    clean = drop_entries(flagged, errors, materialize, broadcast_entries).select(*ATOM_COLUMNS)
     return Checked(flagged, candidates, errors, clean)
 
 

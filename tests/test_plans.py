@@ -2,8 +2,10 @@
 numbering reuse the residue-key bucketing instead of shuffling the atoms again."""
 
 from helpers import lines_df, topology
+from orisite.operators.quality import check_entries
 from orisite.plans.pipeline import analyse_lines
 from orisite.session import Materializer
+from orisite.sources.structures import scan_records
 from test_pipeline import _entries
 
 
@@ -20,3 +22,28 @@ def test_no_python_and_colocated_residue_joins(spark):
     rel = _plan(st.relative)
     assert "Exchange" not in rel, rel  # pdb x cg on (residue key, siteid): both bucketed on the residue key
     assert "BroadcastExchange" in _plan(st.residuals)  # cov is broadcast (one row per correction)
+
+
+def test_rejected_entries_go_without_a_shuffle_of_the_atoms(spark):
+    entries = _entries(n_entries=4)
+    entries["e1"] = entries["e1"][1:]  # no DBREF line
+    entries["e3"].append("MODEL        1")
+    off = {k: "-1" for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")}
+    old = {k: spark.conf.get(k, None) for k in off}
+    rows = []
+    try:
+        for k, v in off.items():
+            spark.conf.set(k, v)
+        for limit in (0, 100):
+            chk = check_entries(scan_records(lines_df(spark, entries)), topology(spark), materialize=Materializer(spark),
+                                broadcast_entries=limit)
+            p = _plan(chk.clean)
+            assert "Exchange hashpartitioning" not in p, p
+            assert ("BroadcastExchange" in p) == (limit > 0), p
+            rows.append(sorted(map(tuple, chk.clean.collect())))
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert rows[0] == rows[1] and {r[0] for r in rows[0]} == {"e0", "e2"}
+    lazy = check_entries(scan_records(lines_df(spark, entries)), topology(spark))
+    assert sorted(map(tuple, lazy.clean.collect())) == rows[0]
