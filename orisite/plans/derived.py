@@ -24,7 +24,7 @@ from orisite.plans.pipeline import Stages, analyse_lines, check_lines
 from orisite.session import Materializer
 from orisite.sources import topology as T
 from orisite.sources.sinks import write_table
-from orisite.sources.structures import scan_atoms, scan_records
+from orisite.sources.structures import read_structure_lines, scan_atoms, scan_records
 
 # ---- fixed values of our own test topology -----------------------------------------------
 # Atom name, serial and offset (x, y, z) of every template atom.
@@ -65,6 +65,8 @@ MIXED_EVERY, MIXED_ATOM, MIXED_NAME = 37, " P5 ", "BBB"
 BAD_X = ["  bad.xx", "    1.0d", "    2.5f", "   0x1p3", "        ", "     NaN"]
 # Room for line numbers below those of a repeated line item.
 REPEAT_STEP = 8
+# Orders whose lines share one structure file.
+FILE_ORDERS = 1000
 # Bits of the line order key: serial 4, icode 7, chain 7, residue number 3 (qc order) ...
 QC_PART_SHIFT = 1 << 21
 MODEL_SLOT_MOD = 2003
@@ -392,6 +394,25 @@ def q_written_report(c: Ctx):
     return c.spark.read.parquet(f"{c.mat.root}/out/rmsd")
 
 
+def write_lines(lines: DataFrame, path: str, suffix: str) -> None:
+    """Text files ``folder=<n>/*.<suffix>``, one for each ``folder``, lines in order."""
+    (lines.repartition("folder").sortWithinPartitions("folder", "entry", "line_no", "line").select("folder", "line")
+     .write.partitionBy("folder").options(
+        extension=suffix, sep="\t", quote="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path))
+
+
+def q_read_files(c: Ctx):
+    """S1 + S2 + F3: real files in.  The lines with defects are written as files of 1,000 order keys
+    each, next to files of another suffix, then found by suffix, read in order and scanned."""
+    root = f"{c.mat.root}/files"
+    lines = c.source("qc_lines").withColumn("folder", F.expr(f"cast(entry AS bigint) div {FILE_ORDERS}"))
+    write_lines(lines, f"{root}/structures", "ent")
+    write_lines(lines.where(F.col("line").startswith("MODEL")), f"{root}/others", "txt")
+    return scan_records(read_structure_lines(c.spark, root)).select(
+        F.regexp_extract("file_path", r"folder=(\d+)", 1).cast("long").alias("folder"), "line_no", "record", "altloc",
+        "atomname", "resname", "chainid", "resseq", "icode", "x", "y", "z", "malformed_at")
+
+
 def q_site_director_layout(c: Ctx): return T.parse_site_directors(director_lines(c.spark, c.sf_dir))
 def q_site_member_layout(c: Ctx): return T.parse_site_members(member_lines(c.spark, c.sf_dir))
 def q_correction_layout(c: Ctx): return T.parse_corrections(correction_lines(c.spark, c.sf_dir))

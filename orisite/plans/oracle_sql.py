@@ -408,6 +408,17 @@ def queries() -> dict[str, str]:
     analysis(w, "pclean", p="a_")
     q["pipeline_rmsd"] = w.render(out("a_rmsd", RMSD, ["dx", "dy", "dz", "rmsd"]))
     q["pipeline_errors"] = q["entry_errors"]
+
+    w = W()
+    topology(w)
+    qc_lines(w)
+    folder = f"CAST(entry AS BIGINT) // {D.FILE_ORDERS}"
+    w.add("flines", f"SELECT {folder} AS entry, row_number() OVER (PARTITION BY {folder} ORDER BY entry, line_no, line) - 1 "
+                    f"AS line_no, line FROM qlines")
+    records(w, "frecs", "flines")
+    q["read_files"] = w.render(out("(SELECT entry AS folder, * EXCLUDE (entry) FROM frecs) f", [
+        "folder", "line_no", "record", "altloc", "atomname", "resname", "chainid", "resseq", "icode"] + XYZ + [
+        "malformed_at"], XYZ))
     q["written_report"] = q["rmsd_report"]
     q["direct_atoms"] = _analysis_query("drmsd", ["resname", "siteid", "atomname", "count"])
 
