@@ -7,9 +7,11 @@ and fingerprints that meet are verified by their bit distance and linked.
 
 Defined results: A-Z is lower-cased, nothing else; a text with fewer words than the shingle
 length is one shingle of all of them; a null, empty or blank text has fingerprint zero and is
-linked like any other.  Repeated rows and repeated ids each keep their row.  A null id keeps
-its row but never names a component unless all ids of the component are null.  An empty table
-gives an empty result.  Only the id and the text are read, so further columns cannot clash.
+linked like any other.  Among the components' rows repeated rows and repeated ids each keep their
+row.  A null id keeps its row but never names a component unless all ids of the component are
+null.  Dropping near-duplicates decides for each row, by its component, and leaves one row of each,
+also of rows with one id, equal rows and rows without an id.  An empty table gives an empty result.
+Components are found from the id and the text only, so further columns cannot clash.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from itertools import combinations, islice
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orisite.llm.common import bounded_batches, byte_texts, checkpointed, connected_components
@@ -47,16 +49,17 @@ def fingerprint(text: bytes, shingle: int) -> int:
     return int(np.packbits(ones * 2 > n).view(">i8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp): one row for each row of ``docs``."""
+def fingerprints(docs: DataFrame, shingle: int, names: dict[str, Column], text_col: str = "text") -> DataFrame:
+    """(``names``, which are long, and fp): one row for each row of ``docs``."""
+    keep = list(names)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = [fingerprint(t, shingle) for t in byte_texts(b.column("text"))]
-            yield pa.record_batch({"doc_id": b.column("doc_id"), "fp": pa.array(fps, pa.int64())})
+            yield pa.record_batch({k: b.column(k) for k in keep} | {"fp": pa.array(fps, pa.int64())})
 
-    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return bounded_batches(slim).mapInArrow(scan, "doc_id long, fp long")
+    slim = docs.select(*(c.alias(k) for k, c in names.items()), F.col(text_col).alias("text"))
+    return bounded_batches(slim).mapInArrow(scan, ", ".join(f"{k} long" for k in [*keep, "fp"]))
 
 
 def links(nodes: DataFrame, max_bits: int) -> DataFrame:
@@ -83,24 +86,41 @@ def links(nodes: DataFrame, max_bits: int) -> DataFrame:
     return pairs.distinct().where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits)
 
 
+def least_of_components(fps: DataFrame, max_bits: int, key: Column) -> tuple[DataFrame, DataFrame]:
+    """(fp, root) of each distinct fingerprint and (root, least): the smallest ``key`` of the rows of
+    ``fps`` whose fingerprints are reachable over links of at most ``max_bits`` differing bits."""
+    nodes = checkpointed(fps.groupBy("fp").agg(F.min(key).alias("first")))
+    roots = connected_components(links(nodes, max_bits))
+    rooted = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    return rooted.select("fp", "root"), rooted.groupBy("root").agg(F.min("first").alias("least"))
+
+
 def simhash_components(docs: DataFrame, shingle: int, max_bits: int,
                        id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp, component_id): component_id is the smallest id reachable over links of at
     most ``max_bits`` differing bits, the row's own included."""
-    fps = checkpointed(fingerprints(docs, shingle, id_col, text_col))
-    nodes = checkpointed(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    roots = connected_components(links(nodes, max_bits))
-    rooted = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = rooted.join(least, "root").select("fp", "component_id")
+    fps = checkpointed(fingerprints(docs, shingle, {"doc_id": F.col(id_col).cast("long")}, text_col))
+    rooted, least = least_of_components(fps, max_bits, F.col("doc_id"))
+    named = rooted.join(least, "root").select("fp", F.col("least").alias("component_id"))
     return fps.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
+def row_names(docs: DataFrame, id_col: str, text_col: str) -> dict[str, Column]:
+    """What tells rows apart, in the order of preference: the id, nulls last, the hash of the text and
+    that of the whole row (a null is marked beside its column; maps cannot be hashed and are left out)."""
+    read = [F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
+    id_ = F.col(id_col).cast("long")
+    return {"__no_id": id_.isNull().cast("long"), "__id": F.coalesce(id_, F.lit(0).cast("long")),
+            "__text": F.xxhash64(text_col), "__row": F.xxhash64(*(x for c in read for x in (c.isNull(), c)))}
+
+
 def drop_near_duplicates(docs: DataFrame, shingle: int, max_bits: int,
                          id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that are the first, by id, of their component.  Ids name rows here;
-    where an id repeats in a component that it leads, its rows are told apart by nothing but the
-    id and all stay.  Rows without an id stay: nothing names them."""
-    found = simhash_components(docs, shingle, max_bits, id_col, text_col)
-    lost = found.where("doc_id is not null and doc_id <> component_id").select(F.col("doc_id").alias("__lost")).distinct()
-    return docs.join(lost, docs[id_col] == F.col("__lost"), "left_anti")
+    """One row of ``docs`` for each component: the one with the smallest id, rows without an id last;
+    of equal ids the one with the smallest text hash, then the smallest row hash.  Equal rows are made
+    one before any shuffle, so that their number makes no large task."""
+    names = row_names(docs, id_col, text_col)
+    fps = checkpointed(fingerprints(docs, shingle, names, text_col))
+    _, least = least_of_components(fps, max_bits, F.struct(*names))
+    once = docs.withColumns(names).dropDuplicates(list(names))
+    return once.join(least.select("least.*"), list(names), "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -331,6 +331,19 @@ def test_simhash(request, which):
     assert sorted(left, key=repr) == sorted((i for i, _, c in expected if i is None or i == c), key=repr)
 
 
+def test_one_row_of_each_near_duplicate_group_stays(spark, docs_schema):
+    a, b, c, d = "one two three four five six", "seven eight nine ten eleven twelve", "red green blue black white", "not seen elsewhere at all"
+    data = [(3, a), (5, a), (5, b), (9, b), (None, b)]            # one id in two groups, 5 leads that of b
+    data += [(20, c)] * 3 + [(21, c), (None, c)]                   # equal rows that lead their group
+    data += [(None, d)] * 4                                        # copies without an id
+    data += [(30, "same id other text"), (30, "and a third text here now")]
+    table = spark.createDataFrame([(i, t, "en", s, None) for i, t in data for s in ("a", None)], docs_schema)
+    expected = sorted([(3, a), (5, b), (20, c), (None, d), *data[-2:]], key=repr)
+    kept = [rows(simhash_dedup.drop_near_duplicates(table.repartition(n), 3, 2)) for n in (1, 7)]
+    assert sorted((r[:2] for r in kept[0]), key=repr) == expected and kept[0] == kept[1]
+    assert simhash_dedup.drop_near_duplicates(table.limit(0), 3, 2).count() == 0
+
+
 def test_simhash_links_chains_of_near_fingerprints(spark):
     rng = np.random.default_rng(3)
     fps = []
