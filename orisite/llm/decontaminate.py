@@ -9,8 +9,10 @@ document of that size are pruned; items that meet a bin's minimum are candidates
 verified by the exact containment of their shingles as strings.
 
 A shared shingle is shadowed by a smaller hash in its bin with a chance of about 1 / (2 * BINS) or
-less, and all of an item's shared shingles must be for it to be missed: under 1e-8 from eight
-shingles on, 3 % for an item of one.
+less, and all of an item's shared shingles must be for it to be missed: under 1e-10 where the
+threshold asks for seven or more (items of eight shingles on).  Shorter items would be missed more
+often, 3 % of those of one shingle; they are met with every shingle of the documents instead, so
+none is missed.  Without such items that second pass is left out.
 
 Only DataFrame functions are used.  The sketch is an array made within the row, so documents are
 not shuffled; the items' shingles are broadcast if a count finds few, else joined by shuffle.
@@ -36,6 +38,8 @@ from orisite.llm.common import checkpointed, let, within
 SHINGLE, THRESHOLD = 5, 0.8
 #: Bins for each shingle of the largest document of a size class.
 BINS = 16
+#: Shared shingles from which the sketch alone is safe; items that leak with fewer are met with all.
+SAFE = 7
 #: Item shingles that are broadcast at most (some 20 MB).
 BROADCAST_ROWS = 200_000
 
@@ -87,11 +91,19 @@ def leaks(docs: DataFrame, items: DataFrame, shingle: int = SHINGLE, threshold:
                       F.array_distinct(shingle_hashes(F.col("item"), shingle)).alias("h"))
     hashes = hashes.select("item_id", "item_hash", F.size("h").alias("n_item"), F.explode("h").alias("h"))
 
-    sketched = (d.select("doc_id", "text_hash", shingle_hashes(F.col("text"), shingle).alias("hs"))
-                .select("doc_id", "text_hash", F.size("hs").alias("n_doc"), F.explode(sketch(F.col("hs"))).alias("h")))
-    candidates = (sketched.join(within(hashes, n, BROADCAST_ROWS), "h")
-                  .where(F.col("n_doc") >= F.col("n_item") * threshold)
-                  .select("doc_id", "text_hash", "item_id", "item_hash").distinct())
+    whole = d.select("doc_id", "text_hash", shingle_hashes(F.col("text"), shingle).alias("hs"))
+
+    def met(of_docs: Column, of_items: DataFrame, rows: int) -> DataFrame:
+        shown = whole.select("doc_id", "text_hash", F.size("hs").alias("n_doc"), F.explode(of_docs).alias("h"))
+        return (shown.join(within(of_items, rows, BROADCAST_ROWS), "h").where(F.col("n_doc") >= F.col("n_item") * threshold)
+                .select("doc_id", "text_hash", "item_id", "item_hash"))
+
+    short = F.col("n_item") * threshold <= SAFE - 1
+    n_short = hashes.where(short).count()
+    candidates = met(sketch(F.col("hs")), hashes.where(~short), n)
+    if n_short:
+        candidates = candidates.unionByName(met(F.col("hs"), hashes.where(short), n_short))
+    candidates = candidates.distinct()
     candidates = checkpointed(candidates.withColumnsRenamed({k: f"c_{k}" for k in candidates.columns}))  # read twice
 
     def same(*names: str) -> Column:
@@ -99,8 +111,8 @@ def leaks(docs: DataFrame, items: DataFrame, shingle: int = SHINGLE, threshold:
 
     held = candidates.select("c_doc_id", "c_text_hash").distinct()
     held = within(held, held.count(), BROADCAST_ROWS)
-    whole = d.join(held, same("doc_id", "text_hash"), "left_semi").dropDuplicates(["doc_id", "text_hash"])
-    shared = (whole.select("doc_id", "text_hash", F.explode(shingle_texts(F.col("text"), shingle)).alias("gram"))
+    suspects = d.join(held, same("doc_id", "text_hash"), "left_semi").dropDuplicates(["doc_id", "text_hash"])
+    shared = (suspects.select("doc_id", "text_hash", F.explode(shingle_texts(F.col("text"), shingle)).alias("gram"))
               .join(within(grams, n, BROADCAST_ROWS), "gram")
               .groupBy("doc_id", "text_hash", "item_id", "item_hash", "n_item").agg(F.count("*").alias("n_common")))
     exact = shared.where(F.col("n_common") >= F.col("n_item") * threshold)

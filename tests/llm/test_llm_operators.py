@@ -242,6 +242,29 @@ def test_leaks(spark, docs, odd_docs):
     assert decontaminate.leaks(docs.limit(0), items).count() == 0 and decontaminate.leaks(docs, items.limit(0)).count() == 0
 
 
+def test_short_items_in_long_texts_are_all_found(spark):
+    rng = np.random.default_rng(11)
+    sizes = [4, 5, 5, 5, 5, 5, 5, 6, 6, 8, 11, 12]                  # words of the items that each text holds
+    planted = {(j, k): [f"q{j}x{k}w{i}" for i in range(n)] for j in range(60) for k, n in enumerate(sizes)}
+    texts = []
+    for j in range(60):
+        w = [f"v{x}" for x in rng.integers(0, 10_000, 3_000)]
+        for k, n in enumerate(sizes):
+            w[100 + 200 * k:100 + 200 * k + n] = planted[j, k]
+        texts.append((j, " ".join(w).upper() if j % 2 else " ".join(w)))
+    d = spark.createDataFrame(texts, "doc_id long, text string")
+    b = spark.createDataFrame([(100 * k + j, " ".join(w)) for (j, k), w in planted.items()], "item_id long, text string")
+    expected = {(j, 100 * k + j, n - 4, n - 4) for j in range(60) for k, n in enumerate(sizes) if n > 4}
+    for limit in (decontaminate.BROADCAST_ROWS, 0):
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(decontaminate, "BROADCAST_ROWS", limit)
+            got = decontaminate.leaks(d, b).select("doc_id", "item_id", "n_common", "n_item").collect()
+        assert set(map(tuple, got)) == expected and len(got) == len(expected)
+    parts = b.where("item_id >= 1000").withColumn("text", F.concat("text", F.lit(" not in any text at all here")))
+    assert decontaminate.leaks(d, parts, threshold=0.5).count() == 120  # 7 of 13 and 8 of 14 shingles
+    assert decontaminate.drop_leaks(d, b.where("item_id between 100 and 129")).count() == 30
+
+
 # ------------------------------------------------------------------ 7
 
 def brute_targets(sizes):
