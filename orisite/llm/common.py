@@ -25,16 +25,16 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def ascii_lower(c: Column) -> Column:
-    """A-Z to a-z and nothing else."""
-    return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-
-
-def words(text: Column) -> Column:
-    """Array of the words ``[^\\x20\\x09-\\x0D]+`` of a text; empty for a null or blank one."""
-    t = F.translate(F.coalesce(text, F.lit("")), "\t\n\x0b\x0c\r", "     ")
-    # one cheap single-character split; runs of blanks leave empty strings, which go
-    return F.filter(F.split(t, " "), lambda w: w != "")
+def dense_index(df: DataFrame, name: str) -> DataFrame:
+    """``df``, written, with the column ``name``: 0, 1, 2, ...  A row's place in its partition is
+    offset by the sizes of the partitions before it, one row for each partition."""
+    kept = checkpointed(df.withColumn("__at", F.monotonically_increasing_id()))
+    part = F.shiftrightunsigned("__at", 33)
+    sizes = kept.groupBy(part.alias("__part")).agg(F.count("*").alias("__n"))
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    return (kept.withColumn("__part", part).join(F.broadcast(starts), "__part")
+            .withColumn(name, F.col("__start") + F.col("__at").bitwiseAND((1 << 33) - 1)).drop("__part", "__at", "__start"))
 
 
 def bounded_batches(df: DataFrame) -> DataFrame:

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orisite.llm import (decontaminate, html_text, language_id, lm_scoring, mixing, simhash_dedup, suffix_dedup, token_counts,
-                         topk_search, toxicity)
+from orisite.llm import (conversation_repair, decontaminate, html_text, language_id, lm_scoring, mixing, secret_scan, simhash_dedup,
+                         suffix_dedup, token_counts, topk_search, toxicity, whitening)
 from orisite.llm.common import crc_mod
 
 
@@ -112,6 +112,42 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = secret_scan.scan(docs, secret_scan.fit(docs), keep=["doc_id"])
+
+    def told(spans: F.Column) -> F.Column:
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+    def count(kind: str) -> F.Column:
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    base = told(F.filter("spans", lambda s: s["kind"] != "markov"))
+    return found.select("row.doc_id", count("assign"), count("access"), count("hex"), F.sha2(base, 256).alias("base_sha256"),
+                        told(F.col("spans")).alias("spans"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    name = F.concat_ws(":", *(F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn")))
+    damaged = conversation_repair.damage(turns, F.crc32(name.cast("binary")) % 20)
+    audits, repaired = conversation_repair.repair(damaged)
+    digests = conversation_repair.line_digests(repaired)
+    found = audits.join(digests.withColumnRenamed("conv", "c"), F.col("conv").eqNullSafe(F.col("c")), "left").drop("c")
+    every = turns.select("conv_id").distinct().join(found, F.col("conv_id").eqNullSafe(F.col("conv")), "left")
+    return every.select("conv_id", *(F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in conversation_repair.TOTALS),
+                        F.coalesce("audit", F.lit("")).alias("audit"),
+                        F.coalesce("sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"))
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = whitening.whiten(table(spark, sf_dir, "embeddings"), components=16, scale=64, shift=1_000_000, keep=["vec_id"])
+    each = done.select("row.vec_id", "n", F.col("deviation").try_cast("long").alias("deviation"), "explained", "identity_error",
+                       F.posexplode("whitened").alias("at", "whitened"))
+    return each.select("vec_id", (F.col("at") + 1).alias("component"), "n", "deviation", "whitened",
+                       F.element_at("explained", F.col("at") + 1).alias("explained"), "identity_error")
+
+
 def queries() -> dict:
     import corpus_pipeline
 
@@ -126,6 +162,9 @@ def queries() -> dict:
         "op8_simhash_dedup": op8_simhash_dedup,
         "op9_topk_search": op9_topk_search,
         "op10_suffix_array_dedup": op10_suffix_array_dedup,
+        "op11_secret_scan": op11_secret_scan,
+        "op12_conversation_repair": op12_conversation_repair,
+        "op13_embedding_whitening": op13_embedding_whitening,
         "pipeline": corpus_pipeline.run,
     }
 
