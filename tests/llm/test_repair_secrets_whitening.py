@@ -52,7 +52,7 @@ def test_markov_models_find_unlabelled_secrets_and_spare_words(spark):
              f"{rnd.choice(['alisation', 'ability', 'ingness', 'ivity'])}" for _ in range(4000)]
     plain = [" ".join(words[i: i + 8]) for i in range(0, 4000, 8)] + [" ".join(words[:20]).upper(), "card 4556737586899855 here 4916737586899872"]
     known = [f"token={rnd.getrandbits(128):032x}" for _ in range(60)]
-    hidden = ["ghp_16C7e42F292c6912E7710c838347Ae178B4a", "wJalrXUtnFEMI/K7MDENG/bPxRfiCYzEXAMPLEKEY", "aB3dE5fG7hJ9kL1m"]
+    hidden = ["ghp_16C7e42F292c6912E7710c838347Ae178B4a", "wJalrXUtnFEMI/K7MDENG/bPxRfiCYzEXAMPLEKEY", "aB3dE5fG7hJ9kL1mQ8sT2vX6zC4wN0pR"]
     texts = plain + known + [f"Ünder é {h} then {words[0]}" for h in hidden]
     docs = spark.createDataFrame([(t,) for t in texts], "text string")
     found = {r.row.text: [(s.kind, r.row.text[s.start: s.end]) for s in r.spans]
