@@ -8,6 +8,7 @@ formula written in SQL gives bit-identical doubles.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from typing import NamedTuple
 
 from pyspark.sql import Column
@@ -108,3 +109,43 @@ def inv3(m: M3) -> M3:
     d = det3(m)
     adj = M3(V3(c0.x, c1.x, c2.x), V3(c0.y, c1.y, c2.y), V3(c0.z, c1.z, c2.z))
     return M3(*(row.div(d) for row in adj))
+
+
+#: Rounds of three rotations each; three leave nothing off the diagonal, as a rule.
+JACOBI_SWEEPS = 5
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often ``use`` names it."""
+    return F.transform(F.array(value), use)[0]
+
+
+def eigenvalues3(sym: M3) -> Column:
+    """Array of the eigenvalues of a symmetric matrix, the largest first.
+
+    Cyclic Jacobi rotations, folded over the six entries on and above the diagonal: the small
+    eigenvalues are as exact as the matrix itself allows, which closed forms by cubic roots are not.
+    """
+    at = {pair: k for k, pair in enumerate((i, j) for i in range(3) for j in range(i, 3))}
+
+    def rotated(a: Column, p: int, q: int) -> Column:
+        r = 3 - p - q
+        off, rp, rq = a[at[p, q]], a[at[min(r, p), max(r, p)]], a[at[min(r, q), max(r, q)]]
+
+        def by_tangent(t: Column) -> Column:
+            def by_cosine(c: Column) -> Column:
+                s = t * c
+                new = {(p, p): a[at[p, p]] - t * off, (q, q): a[at[q, q]] + t * off, (p, q): F.lit(0.0),
+                       (min(r, p), max(r, p)): c * rp - s * rq, (min(r, q), max(r, q)): s * rp + c * rq}
+                return F.array(*(new.get(k, a[at[k]]) for k in at))
+            return _let(F.lit(1.0) / F.sqrt(t * t + 1.0), by_cosine)
+
+        theta = (a[at[q, q]] - a[at[p, p]]) / (F.lit(2.0) * off)
+        tangent = _let(theta, lambda h: F.when(h >= 0, F.lit(1.0) / (h + F.sqrt(h * h + 1.0)))
+                       .otherwise(F.lit(-1.0) / (F.sqrt(h * h + 1.0) - h)))
+        return F.when(off != 0, _let(tangent, by_tangent)).otherwise(a)
+
+    turns = F.array(*(F.lit(k % 3) for k in range(3 * JACOBI_SWEEPS)))
+    done = F.aggregate(turns, F.array(*(sym[i][j] for i, j in at)), lambda a, k: F.when(k == 0, rotated(a, 0, 1))
+                       .when(k == 1, rotated(a, 0, 2)).otherwise(rotated(a, 1, 2)))
+    return _let(done, lambda a: F.reverse(F.array_sort(F.array(*(a[at[i, i]] for i in range(3))))))

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orisite.functions.vec import M3, V3, inv3, matmul, matvec
+from orisite.functions.vec import M3, V3, dot, eigenvalues3, inv3, matmul, matvec
 from orisite.operators.frames import from_site_frame, frame
 from orisite.sources.topology import Topology
 
@@ -26,7 +26,11 @@ _AX = "xyz"
 COV_COLUMNS = (["resname", "atomname"]
                + [f"pos_difference_av_{a}" for a in _AX] + [f"predicted_pos_av_{a}" for a in _AX]
                + [f"cov_cross_{a}{b}" for a in _AX for b in _AX] + [f"cov_self_{a}{b}" for a in _AX for b in _AX]
-               + [f"intercept{a}" for a in _AX] + [f"slope{a}{b}" for a in _AX for b in _AX])
+               + [f"intercept{a}" for a in _AX] + [f"slope{a}{b}" for a in _AX for b in _AX] + ["rank", "condition"])
+#: An eigenvalue of the predictors' covariance counts towards the rank if it exceeds this share of the
+#: largest, and the variance that rounding alone gives numbers as large as their mean: that of
+#: ``ROUNDING`` times the mean.
+RANK_TOLERANCE, ROUNDING = 1e-10, 64 * 2.0 ** -52
 
 
 def predict_correcting(moments: DataFrame, cg: DataFrame, topology: Topology, legacy_y: bool = False) -> DataFrame:
@@ -80,8 +84,10 @@ def regression_pairs(relative: DataFrame, moments: DataFrame, predictor: DataFra
 
 def fit_corrections(pairs: DataFrame) -> DataFrame:
     """R4 (A4).  ``cov``: per ``(resname, atomname)`` the means, population cross- and
-    self-covariances, slope B = C (S^-1)^T and intercept mean(y) - B mean(p).  A singular S
-    (fewer than four independent observations) gives NULL slope and intercept, not an error."""
+    self-covariances, slope B = C (S^-1)^T and intercept mean(y) - B mean(p), the ``rank`` of S and its
+    ``condition`` number.  Predictors that lie in a plane, on a line or in a point (or fewer than four)
+    have a rank below 3: then slope, intercept and condition are NULL.  The rank is told from the
+    eigenvalues of S; a determinant of exactly 0 would miss nearly all such groups."""
     y = ["yx", "yy", "yz"]
     p = ["px", "py", "pz"]
     self_cov = {}
@@ -94,14 +100,18 @@ def fit_corrections(pairs: DataFrame) -> DataFrame:
             + [F.covar_pop(p[i], p[j]).alias(f"_s{i}{j}") for i in range(3) for j in range(i, 3)])
     g = pairs.groupBy("resname", "atomname").agg(*aggs)
     g = g.select("*", *(F.col(self_cov[(i, j)]).alias(f"cov_self_{_AX[i]}{_AX[j]}") for i in range(3) for j in range(3)))
-    cross_m, self_m = M3.named("cov_cross_"), M3.named("cov_self_")
+    cross_m, self_m, mean = M3.named("cov_cross_"), M3.named("cov_self_"), V3.named("predicted_pos_av_")
+    g = g.select("*", eigenvalues3(self_m).alias("_ev"))
+    ev = [F.col("_ev")[k] for k in range(3)]
+    g = g.select("*", F.greatest(ev[0] * RANK_TOLERANCE, dot(mean, mean) * ROUNDING ** 2).alias("_least"))
+    g = g.select("*", sum(((e > F.col("_least")).cast("int") for e in ev), F.lit(0)).alias("rank"))
+    full = F.col("rank") == 3
+    g = g.select("*", F.when(full, ev[0] / F.when(full, ev[2])).alias("condition"))
     slope = matmul(cross_m, inv3(self_m).transpose())
-    g = g.select("*", *slope.alias("slope"))
-    b = M3.named("slope")
-    shift = matvec(b, V3.named("predicted_pos_av_"))
-    icpt = V3.named("pos_difference_av_") - shift
-    return g.select(*[c for c in COV_COLUMNS if not c.startswith("intercept") and not c.startswith("slope")],
-                    *icpt.alias("interceptx", "intercepty", "interceptz"), *b.alias("slope")).select(*COV_COLUMNS)
+    g = g.select("*", *slope.alias("_b"))
+    g = g.select("*", *(F.when(full, F.col(f"_b{a}{b}")).alias(f"slope{a}{b}") for a in _AX for b in _AX))
+    icpt = V3.named("pos_difference_av_") - matvec(M3.named("slope"), mean)
+    return g.select("*", *icpt.alias("interceptx", "intercepty", "interceptz")).select(*COV_COLUMNS)
 
 
 def apply_corrections(pairs: DataFrame, cov: DataFrame) -> DataFrame:

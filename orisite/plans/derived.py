@@ -15,6 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from orisite.functions.vec import V3
 from orisite.operators import corrections as R
 from orisite.operators.numbering import chain_ends, mark_chain_ends, number_residues
 from orisite.operators.quality import check_entries, duplicate_atoms
@@ -72,6 +73,14 @@ QC_PART_SHIFT = 1 << 21
 MODEL_SLOT_MOD = 2003
 
 
+# Predictors of the rank query, by shape: as they are, in a plane, on a line, in a point (as SQL over
+# px, py, pz); then turned by two exact rotations, shifted and scaled.
+PREDICTOR_SHAPES = {"full": ("px", "py", "pz"), "plane": ("px", "py", "2e0 * px - py"), "line": ("px", "3e0 * px", "-px"),
+                    "point": ("25e-2", "-5e-1", "1e0")}
+PREDICTOR_SHIFT = (1000.0, -200.0, 50.0)
+PREDICTOR_SCALES = {"small": 1e-6, "one": 1.0, "large": 1e6}
+
+
 def fixture_topology(spark: SparkSession) -> T.Topology:
     atoms = [(res, name, serial) for k, res, n in KINDS if k != UNKNOWN_KIND for name, serial, *_ in TEMPLATE[:n]]
     members = [(res, name, 0 if name.startswith(" P") else 1) for res, name, _ in atoms]
@@ -354,6 +363,30 @@ def q_corrected_predictor(c: Ctx): return c.stages().predictor
 def q_regression_pairs(c: Ctx): return c.stages().pairs
 def q_fit_corrections(c: Ctx): return c.stages().cov
 def q_fit_corrections_legacy_y(c: Ctx): return c.stages(legacy_y=True).cov
+
+
+def q_fit_ranks(c: Ctx):
+    """R4 over predictors of every shape: the rank is found whatever the rotation, shift and scale."""
+    p = c.stages().pairs
+    shapes = F.inline(F.array(*(F.struct(F.lit(n).alias("variant"), *(F.expr(e).alias(f"q{a}") for e, a in zip(v, "xyz")))
+                                for n, v in PREDICTOR_SHAPES.items())))
+    t = p.select("resname", "atomname", "yx", "yy", "yz", shapes)
+    q = V3.named("q")
+    t = t.select("*", (F.lit(3.0) / F.lit(5.0) * q.x - F.lit(4.0) / F.lit(5.0) * q.y).alias("rx"),
+                 (F.lit(4.0) / F.lit(5.0) * q.x + F.lit(3.0) / F.lit(5.0) * q.y).alias("ry"))
+    t = t.select("*", (F.lit(5.0) / F.lit(13.0) * F.col("ry") - F.lit(12.0) / F.lit(13.0) * q.z).alias("sy"),
+                 (F.lit(12.0) / F.lit(13.0) * F.col("ry") + F.lit(5.0) / F.lit(13.0) * q.z).alias("sz"))
+    scales = F.explode(F.array(*(F.struct(F.lit(k).alias("scale"), F.lit(f).alias("by")) for k, f in PREDICTOR_SCALES.items())))
+    t = t.select("*", scales.alias("k"))
+    moved = [((F.col(a) + F.lit(shift)) * F.col("k.by")).alias(p) for a, shift, p in zip(("rx", "sy", "sz"), PREDICTOR_SHIFT, ("px", "py", "pz"))]
+    cov = R.fit_corrections(t.select("resname", F.concat_ws(":", "atomname", "variant", "k.scale").alias("atomname"), "yx", "yy", "yz", *moved))
+    part = F.split("atomname", ":")
+    by = F.create_map(*(F.lit(x) for kv in PREDICTOR_SCALES.items() for x in kv))
+    return cov.select("resname", part[0].alias("atomname"), part[1].alias("variant"), part[2].alias("scale"), "rank",
+                      F.round("condition", 4).alias("condition"), F.col("slopexx").isNotNull().alias("fitted"),
+                      F.round(F.col("slopexx") * by[part[2]], 5).alias("slope"))
+
+
 def q_apply_corrections(c: Ctx): return c.stages().residuals
 def q_direct_rmsd(c: Ctx): return direct_rmsd(c.stages().moments, c.topo)
 def q_corrected_rmsd(c: Ctx): return corrected_rmsd(c.stages().residuals)

@@ -5,6 +5,8 @@ expressions so per-row doubles agree bit for bit; aggregates are compared after
 
 from __future__ import annotations
 
+from orisite.functions.vec import JACOBI_SWEEPS
+from orisite.operators.corrections import RANK_TOLERANCE, ROUNDING
 from orisite.plans import derived as D
 
 AX = "xyz"
@@ -215,6 +217,64 @@ def cross(a: list[str], b: list[str]) -> list[str]:
             f"{a[0]} * {b[1]} - {a[1]} * {b[0]}"]
 
 
+def eigenvalues(w: W, name: str, src: str, sym: list[list[str]]) -> None:
+    """``name``: the rows of ``src`` with _ev0 >= _ev1 >= _ev2, the eigenvalues of ``sym``."""
+    at = {(i, j): f"_jac{i}{j}" for i in range(3) for j in range(i, 3)}
+    k = lambda i, j: at[min(i, j), max(i, j)]
+    w.add(f"{name}_0", "SELECT *, " + ", ".join(f"{sym[i][j]} AS {n}" for (i, j), n in at.items()) + f" FROM {src}")
+    last, off = f"{name}_0", ", ".join(f"{n}" for n in (*at.values(), "_theta", "_t", "_c"))
+    for step in range(3 * JACOBI_SWEEPS):
+        p, q = ((0, 1), (0, 2), (1, 2))[step % 3]
+        r, n = 3 - p - q, f"{name}_{step + 1}"
+        w.add(f"{n}a", f"SELECT *, CASE WHEN {k(p, q)} <> 0 THEN ({k(q, q)} - {k(p, p)}) / (2.0 * {k(p, q)}) END AS _theta FROM {last}")
+        w.add(f"{n}b", f"SELECT *, CASE WHEN _theta IS NULL THEN 0.0::DOUBLE WHEN _theta >= 0 THEN 1.0 / (_theta + sqrt(_theta * _theta + 1.0)) "
+                       f"ELSE -1.0 / (sqrt(_theta * _theta + 1.0) - _theta) END AS _t FROM {n}a")
+        w.add(f"{n}c", f"SELECT *, 1.0 / sqrt(_t * _t + 1.0) AS _c FROM {n}b")
+        new = {k(p, p): f"{k(p, p)} - _t * {k(p, q)}", k(q, q): f"{k(q, q)} + _t * {k(p, q)}", k(p, q): "0.0::DOUBLE",
+               k(r, p): f"_c * {k(r, p)} - _t * _c * {k(r, q)}", k(r, q): f"_t * _c * {k(r, p)} + _c * {k(r, q)}"}
+        last = w.add(n, f"SELECT * EXCLUDE ({off}), " + ", ".join(f"{new.get(c, c)} AS {c}" for c in at.values()) + f" FROM {n}c")
+    d = [at[i, i] for i in range(3)]
+    w.add(name, f"SELECT *, list_sort([{', '.join(d)}])[3] AS _ev0, list_sort([{', '.join(d)}])[2] AS _ev1, "
+                f"list_sort([{', '.join(d)}])[1] AS _ev2 FROM {last}")
+
+
+def fit(w: W, p: str, pairs: str) -> None:
+    """Defines ``{p}cov`` from ``pairs``."""
+    ys, ps = ["yx", "yy", "yz"], ["px", "py", "pz"]
+    sname = {}
+    for i in range(3):
+        for j in range(i, 3):
+            sname[(i, j)] = sname[(j, i)] = f"_s{i}{j}"
+    aggs = ([f"avg({y}) AS pos_difference_av_{a}" for y, a in zip(ys, AX)]
+            + [f"avg({q}) AS predicted_pos_av_{a}" for q, a in zip(ps, AX)]
+            + [f"covar_pop({ys[i]}, {ps[j]}) AS cov_cross_{AX[i]}{AX[j]}" for i in range(3) for j in range(3)]
+            + [f"covar_pop({ps[i]}, {ps[j]}) AS _s{i}{j}" for i in range(3) for j in range(i, 3)])
+    w.add(f"{p}cov0", f"SELECT resname, atomname, {', '.join(aggs)} FROM {pairs} GROUP BY resname, atomname")
+    w.add(f"{p}cov1", f"SELECT *, " + ", ".join(f"{sname[(i, j)]} AS cov_self_{AX[i]}{AX[j]}"
+                                               for i in range(3) for j in range(3)) + f" FROM {p}cov0")
+    S = [[f"cov_self_{AX[i]}{AX[j]}" for j in range(3)] for i in range(3)]
+    C = [[f"cov_cross_{AX[i]}{AX[j]}" for j in range(3)] for i in range(3)]
+    eigenvalues(w, f"{p}cove", f"{p}cov1", S)
+    mean = v("predicted_pos_av_")
+    least = f"greatest(_ev0 * {dbl(RANK_TOLERANCE)}, ({dot(mean, mean)}) * {dbl(ROUNDING ** 2)})"
+    w.add(f"{p}covr", "SELECT *, " + " + ".join(f"CAST(_ev{k} > {least} AS INTEGER)" for k in range(3)) + f" AS rank FROM {p}cove")
+    cs = [cross(S[1], S[2]), cross(S[2], S[0]), cross(S[0], S[1])]
+    w.add(f"{p}cov2", f"SELECT *, " + ", ".join(f"{cs[k][j]} AS _c{k}{j}" for k in range(3) for j in range(3))
+                      + f" FROM {p}covr")
+    w.add(f"{p}cov3", f"SELECT *, {dot(S[0], ['_c00', '_c01', '_c02'])} AS _det FROM {p}cov2")
+    w.add(f"{p}cov4", f"SELECT *, CASE WHEN rank = 3 THEN _ev0 / _ev2 END AS condition, "
+                      + ", ".join(f"CASE WHEN rank = 3 THEN _c{k}{j} / nullif(_det, 0) END AS _q{k}{j}" for k in range(3) for j in range(3))
+                      + f" FROM {p}cov3")
+    w.add(f"{p}cov5", f"SELECT *, " + ", ".join(f"{dot(C[i], [f'_q0{j}', f'_q1{j}', f'_q2{j}'])} AS slope{AX[i]}{AX[j]}"
+                                               for i in range(3) for j in range(3)) + f" FROM {p}cov4")
+    icpt = ", ".join(f"pos_difference_av_{AX[i]} - ({dot([f'slope{AX[i]}{c}' for c in AX], mean)}) "
+                     f"AS intercept{AX[i]}" for i in range(3))
+    cov_cols = (["resname", "atomname"] + v("pos_difference_av_") + mean
+                + [C[i][j] for i in range(3) for j in range(3)] + [S[i][j] for i in range(3) for j in range(3)])
+    w.add(f"{p}cov", f"SELECT {', '.join(cov_cols)}, {icpt}, "
+                     + ", ".join(f"slope{a}{b}" for a in AX for b in AX) + f", rank, condition FROM {p}cov5")
+
+
 def analysis(w: W, atoms: str, legacy_y: bool = False, p: str = "") -> None:
     """Defines ``{p}pdb, {p}pos, {p}cg, {p}rel, {p}mom, {p}lab, {p}pred, {p}pairs, {p}cov,
     {p}resid, {p}rmsd`` from a clean numbered atom table."""
@@ -283,37 +343,10 @@ def analysis(w: W, atoms: str, legacy_y: bool = False, p: str = "") -> None:
                        f"q.x AS px, q.y AS py, q.z AS pz FROM {p}rel r JOIN {p}mom m ON m.resname = r.resname "
                        f"AND m.siteid = r.siteid AND m.atomname = r.atomname JOIN {p}pred q ON q.entry = r.entry "
                        f"AND q.chainid = r.chainid AND q.rescounter = r.rescounter AND q.correctedatomname = r.atomname")
-    ys, ps = ["yx", "yy", "yz"], ["px", "py", "pz"]
-    sname = {}
-    for i in range(3):
-        for j in range(i, 3):
-            sname[(i, j)] = sname[(j, i)] = f"_s{i}{j}"
-    aggs = ([f"avg({y}) AS pos_difference_av_{a}" for y, a in zip(ys, AX)]
-            + [f"avg({q}) AS predicted_pos_av_{a}" for q, a in zip(ps, AX)]
-            + [f"covar_pop({ys[i]}, {ps[j]}) AS cov_cross_{AX[i]}{AX[j]}" for i in range(3) for j in range(3)]
-            + [f"covar_pop({ps[i]}, {ps[j]}) AS _s{i}{j}" for i in range(3) for j in range(i, 3)])
-    w.add(f"{p}cov0", f"SELECT resname, atomname, {', '.join(aggs)} FROM {p}pairs GROUP BY resname, atomname")
-    w.add(f"{p}cov1", f"SELECT *, " + ", ".join(f"{sname[(i, j)]} AS cov_self_{AX[i]}{AX[j]}"
-                                               for i in range(3) for j in range(3)) + f" FROM {p}cov0")
-    S = [[f"cov_self_{AX[i]}{AX[j]}" for j in range(3)] for i in range(3)]
-    C = [[f"cov_cross_{AX[i]}{AX[j]}" for j in range(3)] for i in range(3)]
-    cs = [cross(S[1], S[2]), cross(S[2], S[0]), cross(S[0], S[1])]
-    w.add(f"{p}cov2", f"SELECT *, " + ", ".join(f"{cs[k][j]} AS _c{k}{j}" for k in range(3) for j in range(3))
-                      + f" FROM {p}cov1")
-    w.add(f"{p}cov3", f"SELECT *, {dot(S[0], ['_c00', '_c01', '_c02'])} AS _det FROM {p}cov2")
-    w.add(f"{p}cov4", f"SELECT *, " + ", ".join(f"_c{k}{j} / nullif(_det, 0) AS _q{k}{j}" for k in range(3) for j in range(3))
-                      + f" FROM {p}cov3")
-    w.add(f"{p}cov5", f"SELECT *, " + ", ".join(f"{dot(C[i], [f'_q0{j}', f'_q1{j}', f'_q2{j}'])} AS slope{AX[i]}{AX[j]}"
-                                               for i in range(3) for j in range(3)) + f" FROM {p}cov4")
-    icpt = ", ".join(f"pos_difference_av_{AX[i]} - ({dot([f'slope{AX[i]}{c}' for c in AX], v('predicted_pos_av_'))}) "
-                     f"AS intercept{AX[i]}" for i in range(3))
-    cov_cols = (["resname", "atomname"] + v("pos_difference_av_") + v("predicted_pos_av_")
-                + [C[i][j] for i in range(3) for j in range(3)] + [S[i][j] for i in range(3) for j in range(3)])
-    w.add(f"{p}cov", f"SELECT {', '.join(cov_cols)}, {icpt}, "
-                     + ", ".join(f"slope{a}{b}" for a in AX for b in AX) + f" FROM {p}cov5")
-    fit = [f"(k.intercept{a} + k.slope{a}x * q.px + k.slope{a}y * q.py + k.slope{a}z * q.pz)" for a in AX]
+    fit(w, p, f"{p}pairs")
+    fits = [f"(k.intercept{a} + k.slope{a}x * q.px + k.slope{a}y * q.py + k.slope{a}z * q.pz)" for a in AX]
     w.add(f"{p}resid", f"SELECT q.entry, q.chainid, q.rescounter, q.resname, q.siteid, q.atomname, "
-                       + ", ".join(f"q.y{a} - {f} AS {a}" for a, f in zip(AX, fit))
+                       + ", ".join(f"q.y{a} - {f} AS {a}" for a, f in zip(AX, fits))
                        + f" FROM {p}pairs q JOIN {p}cov k ON k.resname = q.resname AND k.atomname = q.atomname "
                          f"WHERE q.siteid >= 0")
     w.add(f"{p}direct", "SELECT resname, atomname FROM t_atoms a WHERE NOT EXISTS (SELECT 1 FROM t_corr c "
@@ -342,9 +375,9 @@ MOM = ["resname", "siteid", "atomname", "x", "y", "z", "dx", "dy", "dz", "rmsd",
 RMSD = ["resname", "siteid", "atomname", "dx", "dy", "dz", "rmsd", "count"]
 COV = (["resname", "atomname"] + v("pos_difference_av_") + v("predicted_pos_av_")
        + [f"cov_cross_{a}{b}" for a in AX for b in AX] + [f"cov_self_{a}{b}" for a in AX for b in AX]
-       + v("intercept") + [f"slope{a}{b}" for a in AX for b in AX])
+       + v("intercept") + [f"slope{a}{b}" for a in AX for b in AX] + ["rank", "condition"])
 NONDBL = {"resname", "atomname", "entry", "chainid", "siteid", "rescounter", "count", "resseq", "icode",
-          "line_no", "altloc", "correctingatomname", "correctedatomname", "reason", "occurrence"}
+          "line_no", "altloc", "rank", "correctingatomname", "correctedatomname", "reason", "occurrence"}
 
 
 def _analysis_query(final_cte: str, cols: list[str], legacy_y: bool = False) -> str:
@@ -420,6 +453,31 @@ def queries() -> dict[str, str]:
         "folder", "line_no", "record", "altloc", "atomname", "resname", "chainid", "resseq", "icode"] + XYZ + [
         "malformed_at"], XYZ))
     q["written_report"] = q["rmsd_report"]
+
+    w = W()
+    topology(w)
+    structure_atoms(w)
+    numbering(w, "num", "satoms")
+    w.add("atoms", f"SELECT {ATOM_COLS} FROM num")
+    analysis(w, "atoms")
+    shapes = " UNION ALL ".join(
+        f"SELECT resname, atomname, {s(name)} AS variant, yx, yy, yz, {x} AS qx, {y} AS qy, {z} AS qz FROM pairs"
+        for name, (x, y, z) in D.PREDICTOR_SHAPES.items())
+    w.add("shapes", shapes)
+    w.add("turned0", f"SELECT *, {dbl(3)} / {dbl(5)} * qx - {dbl(4)} / {dbl(5)} * qy AS rx, {dbl(4)} / {dbl(5)} * qx + {dbl(3)} / {dbl(5)} * qy AS ry FROM shapes")
+    w.add("turned", f"SELECT *, {dbl(5)} / {dbl(13)} * ry - {dbl(12)} / {dbl(13)} * qz AS sy, "
+                    f"{dbl(12)} / {dbl(13)} * ry + {dbl(5)} / {dbl(13)} * qz AS sz FROM turned0")
+    w.add("moved", " UNION ALL ".join(
+        f"SELECT resname, atomname || ':' || variant || ':{k}' AS atomname, yx, yy, yz, (rx + {dbl(D.PREDICTOR_SHIFT[0])}) * {dbl(f)} AS px, "
+        f"(sy + {dbl(D.PREDICTOR_SHIFT[1])}) * {dbl(f)} AS py, (sz + {dbl(D.PREDICTOR_SHIFT[2])}) * {dbl(f)} AS pz FROM turned"
+        for k, f in D.PREDICTOR_SCALES.items()))
+    fit(w, "m_", "moved")
+    factor = " ".join(f"WHEN {s(k)} THEN {dbl(f)}" for k, f in D.PREDICTOR_SCALES.items())
+    w.add("ranks", f"SELECT resname, split_part(atomname, ':', 1) AS atomname, split_part(atomname, ':', 2) AS variant, "
+                   f"split_part(atomname, ':', 3) AS scale, rank, condition, slopexx IS NOT NULL AS fitted, "
+                   f"slopexx * CASE split_part(atomname, ':', 3) {factor} END AS slope FROM m_cov")
+    q["fit_ranks"] = w.render("SELECT resname, atomname, variant, scale, rank, round(condition, 4) + 0.0 AS condition, fitted, "
+                              "round(slope, 5) + 0.0 AS slope FROM ranks")
     q["direct_atoms"] = _analysis_query("drmsd", ["resname", "siteid", "atomname", "count"])
 
     q.update(layout_queries())

@@ -1,8 +1,10 @@
 """Golden geometry (independent numpy values) and frame properties."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
+from orisite.functions.vec import M3
 from orisite.operators.frames import to_site_frame
 from orisite.operators.sites import orient_sites
 
@@ -79,3 +81,47 @@ def test_inverse_closed_form_matches_numpy(spark):
     sing = spark.createDataFrame([tuple([1.0, 2.0, 3.0, 2.0, 4.0, 6.0, 0.0, 1.0, 0.0])],
                                  ", ".join(f"{k} double" for k in cols))
     assert all(v is None for v in sing.select(*inv3(M3.named("m")).alias("i")).collect()[0])
+
+
+def test_eigenvalues_match_numpy(spark):
+    from orisite.functions.vec import eigenvalues3
+
+    rng = np.random.default_rng(4)
+    mats = [a @ a.T * k for k in (1e-12, 1.0, 1e12) for a in rng.normal(size=(20, 3, 3))]
+    mats += [np.diag([2.0, 2.0, 2.0]), np.zeros((3, 3)), np.ones((3, 3)), np.diag([1.0, 1e-9, 1e-18])]
+    names = [f"m{r}{c}" for r in "xyz" for c in "xyz"]
+    df = spark.createDataFrame([(i, *map(float, m.reshape(-1))) for i, m in enumerate(mats)], ["i", *names])
+    got = {r.i: r.e for r in df.select("i", eigenvalues3(M3.named("m")).alias("e")).collect()}
+    for i, m in enumerate(mats):
+        want = np.linalg.eigvalsh(m)[::-1]
+        assert np.allclose(got[i], want, rtol=1e-9, atol=1e-15 * max(want[0], 1e-300)), (i, got[i], want)
+
+
+@pytest.mark.parametrize("scale", [1e-6, 1.0, 1e6])
+@pytest.mark.parametrize("shift", [0.0, 1e3])
+def test_rank_of_the_predictors(spark, scale, shift):
+    """Planar, collinear and constant predictors get NULL under rotation, shift and scaling; others a slope."""
+    from orisite.operators.corrections import fit_corrections
+
+    rng, rows = np.random.default_rng(7), []
+    slope = rng.normal(size=(3, 3))
+    shapes = {"full": (1, 1, 1), "thin": (1, 1, 1e-3), "plane": (1, 1, 0), "line": (1, 0, 0), "point": (0, 0, 0)}
+    for name, size in shapes.items():
+        for turn in range(4):
+            q, _ = np.linalg.qr(rng.normal(size=(3, 3)))
+            p = (rng.normal(size=(60, 3)) * size @ q.T + shift) * scale
+            rows += [(name, str(turn), *map(float, slope @ (x / scale - shift)), *map(float, x)) for x in p]
+    for name, n in (("one", 1), ("three", 3)):  # too few
+        rows += [(name, "0", *map(float, rng.normal(size=6))) for _ in range(n)]
+    pairs = spark.createDataFrame(rows, "resname string, atomname string, yx double, yy double, yz double, px double, py double, pz double")
+    cov = fit_corrections(pairs).collect()
+    assert len(cov) == 22
+    for r in cov:
+        rank = {"full": 3, "thin": 3, "plane": 2, "line": 1, "point": 0, "one": 0, "three": 2}[r.resname]
+        assert r["rank"] == rank, r
+        fitted = [r[f"slope{a}{b}"] for a in "xyz" for b in "xyz"] + [r.interceptx, r.condition]
+        assert all((x is not None) == (rank == 3) for x in fitted)
+        if r.resname == "full":
+            assert np.allclose(np.array(fitted[:9]).reshape(3, 3) * scale, slope, atol=1e-6) and 1 <= r.condition < 20
+        if r.resname == "thin":
+            assert 1e5 < r.condition < 1e8
