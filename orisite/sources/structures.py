@@ -1,16 +1,20 @@
 """Structure files -> ordered lines -> typed records.
 
 A structure file is one *entry*; line order matters (first-error-wins checks and residue
-numbering run in file order).  Files are read whole, one row per file, and exploded with
-their position, so ``line_no`` is the exact order inside the file.
+numbering run in file order), so every line gets its exact place in the file, ``line_no`` = 0, 1, 2 ...
+Small files, nearly all of them, are read whole, one row each, and unfolded with their positions.
+Files above ``WHOLE_BYTES`` are read by many tasks each, a split at a time; a line's number is its
+place in the split plus the lines of the splits before, a prefix sum over one row for each split.
+Which file goes which way is told from the listing, so no file is read twice for it.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from orisite.functions.fixed import char, field, float_field, int_field
+from orisite.session import ensure_checkpoint_dir
 
 # Accepted structure-file suffixes (last three characters of the name).
 STRUCTURE_SUFFIXES = ("pdb", "ent", "brk")
@@ -23,18 +27,66 @@ RECORD_COLUMNS = ["entry", "line_no", "record", "altloc", "atomname", "resname",
                   "resseq", "icode", "x", "y", "z", "malformed_at"]
 
 
-def read_structure_lines(spark: SparkSession, path: str) -> DataFrame:
+#: Files up to this size are read whole, by one task.
+WHOLE_BYTES = 32 << 20
+#: Rows of split offsets that are broadcast at most (some 50 MB of paths).
+BROADCAST_SPLITS = 300_000
+_SPLIT = ["file_path", "_start", "_part"]
+
+
+def whole_lines(files: DataFrame) -> DataFrame:
+    """Lines of files read whole (``value``); a line break at the end begins no further line."""
+    text = F.regexp_replace("value", r"\r?\n\z", "")
+    return files.select("entry", "file_path", F.posexplode(F.split(text, "\r?\n")).alias("line_no", "line")).select(
+        "entry", "file_path", F.col("line_no").cast("long"), "line")
+
+
+def split_offsets(lines: DataFrame) -> DataFrame:
+    """For each split its first row id, its number of lines and the lines of its file before it."""
+    splits = lines.groupBy(*_SPLIT).agg(F.min("_id").alias("_first"), F.count("*").alias("_lines"))
+    before = Window.partitionBy("file_path").orderBy("_start").rowsBetween(Window.unboundedPreceding, -1)
+    return splits.withColumn("_before", F.coalesce(F.sum("_lines").over(before), F.lit(0)))
+
+
+def number_split_lines(lines: DataFrame, offsets: DataFrame, broadcast: bool) -> DataFrame:
+    """``line_no`` of lines that know their split and their row id in the read.
+
+    The offsets come from a read of their own.  Both cut the files alike as long as the settings stay
+    the same; a line whose split or place is not the one counted stops the run instead of getting
+    a wrong number."""
+    known = F.broadcast(offsets) if broadcast else offsets
+    place = F.col("_id") - F.col("_first")
+    same = place.isNotNull() & (place >= 0) & (place < F.col("_lines"))
+    number = F.when(same, F.col("_before") + place).otherwise(
+        F.raise_error(F.lit("files were cut into other splits than when their lines were counted")).cast("long"))
+    return lines.join(known, _SPLIT, "left").select("entry", "file_path", number.alias("line_no"), "line")
+
+
+def read_structure_lines(spark: SparkSession, path: str, whole_bytes: int = WHOLE_BYTES,
+                         broadcast_splits: int = BROADCAST_SPLITS) -> DataFrame:
     """S1.  ``(entry, file_path, line_no, line)`` for every structure file under ``path``
     (recursive).  ``entry`` is the base name; ``file_path`` lets QC spot two files with the
-    same base name."""
+    same base name.  Lines end at ``\\n`` or ``\\r\\n``; the last one may lack its end."""
     glob = "*{" + ",".join(STRUCTURE_SUFFIXES) + "}"
-    raw = (spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob)
-           .text(path, wholetext=True)
-           .select(F.col("_metadata.file_name").alias("entry"),
-                   F.col("_metadata.file_path").alias("file_path"), "value"))
-    return raw.select("entry", "file_path",
-                      F.posexplode(F.split("value", "\r?\n")).alias("line_no", "line")
-                      ).withColumn("line_no", F.col("line_no").cast("long"))
+    # how files are packed into tasks must not change with the executors at hand between two reads
+    if spark.conf.get("spark.sql.files.minPartitionNum", None) is None:
+        spark.conf.set("spark.sql.files.minPartitionNum", spark.sparkContext.defaultParallelism)
+
+    def read(**how) -> DataFrame:
+        return spark.read.options(recursiveFileLookup="true", pathGlobFilter=glob).text(path, **how)
+
+    name = [F.col("_metadata.file_name").alias("entry"), F.col("_metadata.file_path").alias("file_path")]
+    small = whole_lines(read(wholetext=True).where(F.col("_metadata.file_size") <= whole_bytes).select(*name, "value"))
+    # the filter is on the listing: files on its other side are not opened
+    by_line = read(lineSep="\n").where(F.col("_metadata.file_size") > whole_bytes)
+    lines = by_line.select(*name, F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_id"),
+                           F.regexp_replace("value", r"\r\z", "").alias("line")).withColumn("_part", F.spark_partition_id())
+    if not by_line.rdd.getNumPartitions():  # no large file
+        return small
+    offsets = split_offsets(lines)
+    ensure_checkpoint_dir(spark)
+    offsets = offsets.checkpoint()
+    return small.unionByName(number_split_lines(lines, offsets, offsets.count() <= broadcast_splits))
 
 
 def scan_records(lines: DataFrame) -> DataFrame:

@@ -4,6 +4,9 @@ written result tables."""
 import os
 import tempfile
 
+import pytest
+from pyspark.sql import functions as F
+
 from helpers import C, CA, CB, CD, CG, N, O, OXT, atom
 from orisite.plans.pipeline import run
 from orisite.sources import topology as T
@@ -82,3 +85,40 @@ def test_same_entry_name_in_two_folders_is_rejected(spark):
     _write(f"{d}/y/pdb2xyz.ent", "\n".join(lines) + "\n")
     errs = {(r.entry, r.reason) for r in check_lines(read_structure_lines(spark, d), topology(spark)).errors.collect()}
     assert errs == {("pdb1abc.ent", "Duplicate entry")}
+
+
+def test_large_files_are_read_by_many_tasks_with_dense_line_numbers(spark, tmp_path):
+    """Files over several splits beside small ones, with either line end, blank lines and no final end."""
+    from orisite.sources.structures import split_offsets
+
+    want, root = {}, str(tmp_path / "s")
+    for name, n, end, last in (("big1.ent", 9000, "\n", True), ("big2.pdb", 7000, "\r\n", False), ("blank.brk", 60000, "\n", True),
+                               ("small.ent", 5, "\r\n", True), ("open.ent", 3, "\n", False), ("none.ent", 0, "\n", False)):
+        lines = ["" if name == "blank.brk" or i % 7 == 3 else f"ATOM  {name} {i} ü\rx" for i in range(n)]
+        if n and not last:
+            lines[-1] = "END"
+        _write(f"{root}/{name[:1]}/{name}", "")
+        with open(f"{root}/{name[:1]}/{name}", "w", newline="") as f:
+            f.write(end.join(lines) + (end if last else ""))
+        want[name] = lines
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20k")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        for broadcast in (1000, 0):
+            got = read_structure_lines(spark, root, whole_bytes=10_000, broadcast_splits=broadcast)
+            found = {}
+            for r in got.collect():
+                found.setdefault(r.entry, {})[r.line_no] = r.line
+            found.pop("none.ent", None)
+            assert {k: [v[i] for i in range(len(v))] for k, v in found.items()} == {k: v for k, v in want.items() if v}
+        tasks = got.where("entry = 'big1.ent'").select(F.spark_partition_id()).distinct().count()
+        assert tasks > 3 and "Window" not in got._jdf.queryExecution().executedPlan().toString()
+        assert read_structure_lines(spark, root).count() == got.count()  # all of them whole
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "31k")
+        with pytest.raises(Exception, match="other splits"):  # counted by one cut, read by another
+            got.where("line <> '-'").collect()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert split_offsets(spark.createDataFrame([], "file_path string, _start long, _part int, _id long")).count() == 0
