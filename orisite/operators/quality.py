@@ -74,14 +74,19 @@ def record_candidates(records: DataFrame) -> DataFrame:
     ).filter(c("line_no").isNotNull())
 
 
-def duplicate_atoms(numbered: DataFrame) -> DataFrame:
-    """Q7.  Every repeat of an atom key ``(entry, chainid, rescounter, atomname)`` after its
-    first occurrence; ``occurrence`` counts from 2.  The window is clustered by the residue
-    key, which ``numbered`` is already partitioned on, so no extra shuffle."""
+def repeated_atoms(numbered: DataFrame) -> DataFrame:
+    """The atom keys ``(entry, chainid, rescounter, atomname)`` that occur more than once: a hash
+    aggregate on the partitioning that ``numbered`` already has."""
+    return numbered.groupBy(*RESIDUE_KEY, "atomname").agg(F.count("*").alias("_n")).where(F.col("_n") > 1).drop("_n")
+
+
+def duplicate_atoms(numbered: DataFrame, repeated: DataFrame | None = None) -> DataFrame:
+    """Q7.  Every repeat of an atom key after its first occurrence; ``occurrence`` counts from 2.
+    Only the atoms of repeated keys (given, or found) are ordered."""
+    keys = repeated_atoms(numbered) if repeated is None else repeated
     w = Window.partitionBy(*RESIDUE_KEY, "atomname").orderBy("line_no")
-    return (numbered.withColumn("occurrence", F.row_number().over(w))
-                    .filter(F.col("occurrence") > 1)
-                    .select(*RESIDUE_KEY, "atomname", "line_no", "occurrence"))
+    some = numbered.select(*RESIDUE_KEY, "atomname", "line_no").join(keys, RESIDUE_KEY + ["atomname"], "left_semi")
+    return some.withColumn("occurrence", F.row_number().over(w)).filter(F.col("occurrence") > 1)
 
 
 def drop_entries(numbered: DataFrame, errors: DataFrame, materialize=None,
@@ -106,31 +111,33 @@ def check_entries(records: DataFrame, topology: Topology, block_lines: int = DEF
                   materialize=None, broadcast_entries: int = BROADCAST_ENTRIES) -> Checked:
     """Q1-Q7 + W1 over ``scan_records`` output.
 
-    All per-atom checks come from one projection over one flagged atom table (the first
-    failing check of each line, as one CASE), so the numbering runs once; record-level
-    checks (MODEL, unreadable record, missing DBREF, repeated name) come from one summary of
-    each entry's records.  Shuffles: one on
-    ``(entry, block)`` for numbering, one on the residue key that every later operator
-    reuses; the error table is one row per rejected entry.  ``materialize`` (see
-    ``session.Materializer``) writes the flagged atoms once when both the errors and the
-    clean atoms are needed.
+    Checks of one atom come from one projection over one flagged atom table (the first
+    failing check of each line, as one CASE), so the numbering runs once; repeated atoms are found by
+    an aggregate over it; record-level checks (MODEL, unreadable record, missing DBREF, repeated name)
+    come from one summary of each entry's records.  Shuffles: one on ``entry`` for numbering, one on the
+    residue key that every later operator reuses; the error table is one row per rejected entry.
+    ``materialize`` (see ``session.Materializer``) writes the flagged atoms once when both the errors
+    and the clean atoms are needed.
     """
     atoms = blank_altloc(records).filter(F.col("malformed_at").isNull() | (F.col("malformed_at") > 0))
-    numbered = known_atoms(scan_residues(atoms, block_lines, materialize), topology)
-    w = Window.partitionBy(*RESIDUE_KEY, "atomname").orderBy("line_no")
-    flagged = numbered.withColumn("occurrence", F.row_number().over(w))
+    flagged = known_atoms(scan_residues(atoms, block_lines, materialize, counted=records.select("entry")), topology)
+    repeated = None
     if materialize is not None:
         flagged = materialize(flagged, "numbered", RESIDUE_KEY)
+        repeated = materialize(repeated_atoms(flagged), "repeated")
+        if repeated.limit(BROADCAST_ENTRIES + 1).count() <= BROADCAST_ENTRIES:
+            repeated = F.broadcast(repeated)
     c = F.col
     checks = [(c("out_of_order"), 2, OUT_OF_ORDER), (~c("res_known"), 3, UNKNOWN_RESIDUE),
-              (~c("atom_known"), 4, UNKNOWN_ATOM), (c("malformed_at") == 5, 5, MALFORMED),
-              (c("occurrence") > 1, 6, DUPLICATE_ATOM)]
+              (~c("atom_known"), 4, UNKNOWN_ATOM), (c("malformed_at") == 5, 5, MALFORMED)]
     order, reason = F, F
     for cond, o, r in checks:
         order, reason = order.when(cond, F.lit(o)), reason.when(cond, F.lit(r))
     atom_cands = flagged.select("entry", "line_no", order.alias("check_order"), reason.alias("reason")).filter(
         c("check_order").isNotNull())
-    candidates = atom_cands.unionByName(record_candidates(records))
+    duplicates = duplicate_atoms(flagged, repeated).select(
+        "entry", "line_no", F.lit(6).alias("check_order"), F.lit(DUPLICATE_ATOM).alias("reason"))
+    candidates = atom_cands.unionByName(duplicates).unionByName(record_candidates(records))
     errors = entry_errors_from(candidates)
     if materialize is not None:
         errors = materialize(errors, "errors")  # one row per rejected entry; read twice

@@ -21,30 +21,24 @@ FRAME_COLUMNS = ["exx", "exy", "exz", "eyx", "eyy", "eyz", "ezx", "ezy", "ezz"]
 SITE_COLUMNS = RESIDUE_KEY + ["resname", "siteid", "x", "y", "z"] + FRAME_COLUMNS
 
 
-def _roles(topology: Topology) -> DataFrame:
-    """One small table of every director role: regular ones carry their residue name; the
-    terminus roles carry a NULL residue name (they apply to any chain-end residue)."""
-    regular = topology.director_roles().select("resname", "atomname", "siteid", "role")
-    term = topology.terminus_atoms().select(
-        F.lit(None).cast("string").alias("resname"), "atomname",
-        F.lit(TERMINUS_SITE).alias("siteid"), "role")
-    return regular.unionByName(term)
-
-
 def site_positions(atoms: DataFrame, topology: Topology) -> DataFrame:
     """G1 (J1, J2, J3, P8).  ``(entry, chainid, rescounter, siteid, resname, a1x..a3z)``.
 
-    One broadcast join on atom name routes every atom to each (site, role) it directs; a
+    Two broadcast joins, on (residue name, atom name) and, for chain ends, on the terminus atom name,
+    each of which finds at most one row, bring every atom the list of (site, role) it directs; a
     grouped pivot by role then lines the three directors up.  The group key starts with the
     residue key, on which the atoms are already partitioned.  ``resname`` is that of the
     first director.  ``atoms`` needs ``is_end`` (see ``mark_chain_ends``).
     """
-    roles = F.broadcast(_roles(topology).select(
-        F.col("resname").alias("_rres"), F.col("atomname").alias("_ratom"), "siteid", "role"))
-    a = F.col
-    hits = atoms.select(*RESIDUE_KEY, "resname", "atomname", "is_end", "x", "y", "z").join(roles, (a("atomname") == a("_ratom")) & (
-        (a("_rres") == a("resname")) | (a("_rres").isNull() & a("is_end")))
-    ).select(*RESIDUE_KEY, "siteid", "role", "resname", "x", "y", "z")
+    role = F.struct("siteid", "role")
+    regular = topology.director_roles().groupBy("resname", "atomname").agg(F.collect_list(role).alias("_regular"))
+    end = topology.terminus_atoms().select("atomname", F.lit(TERMINUS_SITE).alias("siteid"), "role").groupBy("atomname").agg(
+        F.collect_list(role).alias("_end"))
+    a = (atoms.select(*RESIDUE_KEY, "resname", "atomname", "is_end", "x", "y", "z")
+         .join(F.broadcast(regular), ["resname", "atomname"], "left").join(F.broadcast(end), "atomname", "left"))
+    directs = F.concat(F.coalesce("_regular", F.array()), F.coalesce(F.when(F.col("is_end"), F.col("_end")), F.array()))
+    hits = a.where(F.col("_regular").isNotNull() | (F.col("is_end") & F.col("_end").isNotNull())).select(
+        *RESIDUE_KEY, "resname", "x", "y", "z", F.inline(directs))
 
     # A residue key may carry several residue names; directors are lined up on the key and
     # the site alone, and the name is the first director's.

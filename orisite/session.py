@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings every plan here is written for.
 PLAN_CONF = {
@@ -69,6 +69,24 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 BUCKETS_CONF = "spark.orisite.buckets"
 
 
+def dealt_by(df: DataFrame, n: int, columns: list[str]) -> bool:
+    """Whether the plan of ``df`` deals its rows into ``n`` partitions by the hash of ``columns``, as buckets are."""
+    plan = df._jdf.queryExecution().executedPlan()
+    if plan.getClass().getSimpleName() == "AdaptiveSparkPlanExec":
+        plan = plan.inputPlan()
+    found = [plan.outputPartitioning()]
+    while found:
+        p = found.pop()
+        kind = p.getClass().getSimpleName()
+        if kind == "PartitioningCollection":
+            found += [p.partitionings().apply(i) for i in range(p.partitionings().length())]
+        elif kind == "HashPartitioning" and p.numPartitions() == n:
+            by = p.expressions()
+            if [by.apply(i).toString().split("#")[0] for i in range(by.length())] == columns:
+                return True
+    return False
+
+
 class Materializer:
     """Writes stage results to the shared checkpoint folder and reads them back.
 
@@ -79,7 +97,9 @@ class Materializer:
     ``buckets`` is the number of buckets, and so of tasks, of every bucketed stage: about the
     atom table's size over what one task should hold (128 MB, say).  It comes from the argument
     or from the setting ``spark.orisite.buckets``; only a local session may leave both out and
-    gets one bucket for each core.  A failing write fails the run.
+    gets one bucket for each core.  A bucketed table is one file for each bucket: rows that are not
+    dealt to the buckets already are dealt before the write (each task would else write a file for each
+    bucket).  A failing write fails the run.
     """
 
     _open: list["Materializer"] = []
@@ -105,6 +125,8 @@ class Materializer:
             return self.spark.read.parquet(path)
         table = f"orisite_{self.tag}_{name}"
         self.tables.append(table)
+        if not dealt_by(df, self.buckets, bucket_by):
+            df = df.repartition(self.buckets, *bucket_by)
         (df.write.mode("overwrite").format("parquet").bucketBy(self.buckets, *bucket_by)
          .option("path", path).saveAsTable(table))
         return self.spark.table(table)
