@@ -119,6 +119,7 @@ def check_entries(records: DataFrame, topology: Topology, block_lines: int = DEF
     ``materialize`` (see ``session.Materializer``) writes the flagged atoms once when both the errors
     and the clean atoms are needed.
     """
+    topology.require_keys()
     atoms = blank_altloc(records).filter(F.col("malformed_at").isNull() | (F.col("malformed_at") > 0))
     flagged = known_atoms(scan_residues(atoms, block_lines, materialize, counted=records.select("entry")), topology)
     repeated = None

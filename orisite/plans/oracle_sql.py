@@ -502,7 +502,7 @@ def layout_queries() -> dict[str, str]:
     q["site_member_layout"] = f"""
         WITH ml AS (SELECT substr({res3} || {mg}, 1, CAST(3 + 5 * l_linenumber + l_suppkey % 5 AS INTEGER)) AS line
                     FROM lineitem),
-        n AS (SELECT line, (length(line) - 3) // 5 AS n FROM ml),
+        n AS (SELECT line, (length(line) - 3) // 5 AS n FROM ml WHERE (length(line) - 3) % 5 <> 4),
         e AS (SELECT line, unnest(range(0, n)) AS i FROM n WHERE n > 0)
         SELECT substr(line, 1, 3) AS resname, substr(line, 4 + 5 * i, 4) AS atomname,
                try_cast(substr(line, 8 + 5 * i, 1) AS INTEGER) AS siteid FROM e"""
@@ -516,7 +516,45 @@ def layout_queries() -> dict[str, str]:
                            ' T' || {d('l_partkey')} || ' ' AS line FROM lineitem)
         SELECT entry, """ + ", ".join(
         f"max(CASE WHEN line_no = {k} THEN substr(line, 1, 4) END) AS atom{k + 1}" for k in range(3)) + \
-        " FROM tl GROUP BY entry"
+        " FROM tl GROUP BY entry HAVING count(DISTINCT line_no) FILTER (line_no IN (0, 1, 2)) = 3"
+    full = {"directors": f"{res3} || CAST(1 + l_linenumber % 3 AS VARCHAR) || {groups}",
+            "members": f"substr({res3} || {mg}, 1, CAST(3 + 5 * l_linenumber + l_suppkey % 5 AS INTEGER))",
+            "corrections": f"{res3} || ' C' || {d('l_partkey')} || ' ' || ' C' || {d('l_suppkey')} || ' '",
+            "terminus": f"' T' || {d('l_partkey')} || ' '"}
+    bad = "CASE l_suppkey % 6 WHEN 1 THEN substr(line, 1, CAST(l_partkey % 20 + 2 AS INTEGER)) WHEN 2 THEN substr(line, 1, 3) || 'x' || substr(line, 5) " \
+          "WHEN 3 THEN '   ' WHEN 4 THEN substr(line, 1, 5) || '    ' || substr(line, 10) WHEN 5 THEN substr(line, 1, 3) || '    ' || substr(line, 8) " \
+          "ELSE line END"
+    some = lambda n, test: f"len(list_filter(range(0, greatest({n}, 1)), lambda i: {test})) > 0"
+    blank = lambda at: f"trim(substr(line, {at}, 4)) = ''"
+    n = "try_cast(substr(line, 4, 1) AS INTEGER)"
+    m = "((length(line) - 3) // 5)"
+    fault = {
+        "directors": f"CASE WHEN {n} IS NULL THEN 'unreadable site count' WHEN {n} = 0 THEN 'no sites' WHEN length(line) < 13 * {n} + 4 THEN 'line too short' "
+                     f"WHEN {some(n, 'try_cast(substr(line, 5 + 13 * i, 1) AS INTEGER) IS NULL')} THEN 'unreadable site type' "
+                     f"WHEN {some(n, ' OR '.join(blank(f'{6 + 4 * k} + 13 * i') for k in range(3)))} THEN 'blank atom name' END",
+        "members": f"CASE WHEN {m} < 1 THEN 'no members' WHEN (length(line) - 3) % 5 = 4 THEN 'cut member' "
+                   f"WHEN {some(m, 'try_cast(substr(line, 8 + 5 * i, 1) AS INTEGER) IS NULL')} THEN 'unreadable site id' "
+                   f"WHEN {some(m, blank('4 + 5 * i'))} THEN 'blank atom name' END",
+        "corrections": f"CASE WHEN length(line) < 11 THEN 'line too short' WHEN {blank(4)} OR {blank(8)} THEN 'blank atom name' END"}
+    lines = ", ".join(f"{k}_l AS (SELECT l_orderkey, l_linenumber, {bad} AS line FROM (SELECT *, {v} AS line FROM lineitem) x)" for k, v in full.items())
+    judged = ", ".join(f"{k}_j AS (SELECT *, {f} AS reason FROM {k}_l WHERE trim(line) <> '')" for k, f in fault.items())
+    term = """terminus_g AS (SELECT l_orderkey AS entry, max(CASE WHEN l_linenumber = 1 THEN line END) AS a0,
+        max(CASE WHEN l_linenumber = 2 THEN line END) AS a1, max(CASE WHEN l_linenumber = 3 THEN line END) AS a2 FROM terminus_l GROUP BY entry),
+        terminus_j AS (""" + " UNION ALL ".join(
+        f"SELECT entry, coalesce(a{k}, '') AS line, CASE WHEN a{k} IS NULL THEN 'missing line' WHEN length(a{k}) < 4 OR trim(substr(a{k}, 1, 4)) = '' "
+        f"THEN 'short atom name' END AS reason FROM terminus_g" for k in range(3)) + ")"
+    q["layout_rejects"] = f"WITH {lines}, {judged}, {term} " + " UNION ALL ".join(
+        f"SELECT '{k}' AS layout, line, reason FROM {k}_j WHERE reason IS NOT NULL" for k in full)
+    text = lambda *cols: " || '|' || ".join(f"CAST({c} AS VARCHAR)" for c in cols)
+    q["layout_rows"] = f"""WITH {lines}, {judged}, {term},
+        dg AS (SELECT line, CAST(unnest(range(0, {n})) AS INTEGER) AS i FROM directors_j WHERE reason IS NULL),
+        mg AS (SELECT line, unnest(range(0, {m})) AS i FROM members_j WHERE reason IS NULL)
+        SELECT 'directors' AS layout, {text("substr(line, 6 + 13 * i, 4)", "substr(line, 10 + 13 * i, 4)", "substr(line, 14 + 13 * i, 4)",
+                                            "substr(line, 1, 3)", "i", "CAST(substr(line, 5 + 13 * i, 1) AS INTEGER)")} AS "row" FROM dg
+        UNION ALL SELECT 'members', {text("substr(line, 4 + 5 * i, 4)", "substr(line, 1, 3)", "CAST(substr(line, 8 + 5 * i, 1) AS INTEGER)")} FROM mg
+        UNION ALL SELECT 'corrections', {text("substr(line, 4, 4)", "substr(line, 8, 4)", "substr(line, 1, 3)")} FROM corrections_j WHERE reason IS NULL
+        UNION ALL SELECT 'terminus', {text("substr(a0, 1, 4)", "substr(a1, 1, 4)", "substr(a2, 1, 4)", "entry")} FROM terminus_g
+        WHERE entry NOT IN (SELECT entry FROM terminus_j WHERE reason IS NOT NULL)"""
     tl = f"""tl AS (
         SELECT CAST(l_orderkey AS VARCHAR) AS entry, CAST(l_linenumber AS BIGINT) AS line_no,
                'ATOM  ' || lpad(CAST(l_linenumber AS VARCHAR), 5, ' ') || ' '
@@ -549,7 +587,18 @@ def layout_queries() -> dict[str, str]:
         UNION ALL SELECT resname, n, h, NULL, NULL, NULL, false FROM h
         UNION ALL SELECT resname, h, n, NULL, NULL, NULL, false FROM h"""
     q["bond_edges"] = "SELECT resname, selfserial AS src, dst FROM (" + " UNION ALL ".join(
-        f"SELECT resname, selfserial, serial{k} AS dst FROM ({q['scan_bonds']}) b{k}" for k in (1, 2, 3, 4)) + ") e WHERE dst IS NOT NULL"
+        f"SELECT resname, selfserial, serial{k} AS dst FROM ({q['scan_bonds']}) b{k} WHERE NOT malformed" for k in (1, 2, 3, 4)) + ") e WHERE dst IS NOT NULL"
+    q["bond_faults"] = f"""WITH e AS (SELECT DISTINCT * FROM ({q['bond_edges']}) x), a AS (SELECT DISTINCT resname, serial FROM ({q['template_atoms']}) y)
+        SELECT *, 'unknown source' AS fault FROM e WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.resname = e.resname AND a.serial = e.src)
+        UNION ALL SELECT *, 'unknown target' FROM e WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.resname = e.resname AND a.serial = e.dst)
+        UNION ALL SELECT *, 'one-way' FROM e WHERE NOT EXISTS (SELECT 1 FROM e b WHERE b.resname = e.resname AND b.src = e.dst AND b.dst = e.src)"""
+    keyed = {"atoms": (q["template_atoms"], "resname || '|' || atomname"),
+             "directors": (q["site_director_layout"], "resname || '|' || CAST(siteid AS VARCHAR)"),
+             "members": (q["site_member_layout"], "resname || '|' || atomname"), "corrections": (q["correction_layout"], "resname || '|' || atom1"),
+             "terminus": (f"SELECT * EXCLUDE (entry) FROM ({q['terminus_layout']}) t", "''")}
+    q["topology_conflicts"] = " UNION ALL ".join(
+        f"SELECT '{t}' AS \"table\", {key} AS key, count(*) AS rows, count(DISTINCT r) AS variants FROM ({sql}) r GROUP BY ALL HAVING count(*) > 1"
+        for t, (sql, key) in keyed.items())
     return q
 
 

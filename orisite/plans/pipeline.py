@@ -22,7 +22,7 @@ from orisite.operators.quality import Checked, check_entries
 from orisite.operators.report import rmsd_report
 from orisite.operators.sites import assign_sites, drop_degenerate_sites, orient_sites, site_positions
 from orisite.session import Materializer
-from orisite.sources.sinks import write_table
+from orisite.sources.sinks import publish
 from orisite.sources.structures import scan_records
 from orisite.sources.topology import Topology
 
@@ -39,7 +39,7 @@ class Stages:
 
     def __init__(self, atoms: DataFrame, topology: Topology, legacy_y: bool = False,
                  materialize: Materialize | None = None, atoms_are_cheap: bool = False):
-        self.topology, self.legacy_y = topology, legacy_y
+        self.topology, self.legacy_y = topology.require_keys(), legacy_y
         self.m = materialize or _lazy
         self._atoms = atoms
         self._memo: dict[str, DataFrame] = {}
@@ -116,23 +116,20 @@ def analyse_lines(spark: SparkSession, lines: DataFrame, topology: Topology, leg
 
 def run(spark: SparkSession, lines: DataFrame, topology: Topology, out: str, legacy_y: bool = False,
         block_lines: int = DEFAULT_BLOCK_LINES, buckets: int | None = None) -> dict[str, str]:
-    """Run everything and write ``pdb_file_error_table``, ``pdb``, ``cg``, ``moments``,
-    ``cov`` and ``rmsd`` under ``out`` (a shared folder).  Intermediate stages go to the
-    session's checkpoint folder in ``buckets`` buckets and are dropped at the end."""
-    root = out.rstrip("/")
+    """Run everything and publish ``pdb_file_error_table``, ``pdb``, ``cg``, ``moments``,
+    ``cov`` and ``rmsd`` under ``out`` (a shared folder) as one version; returns their paths, which
+    ``sinks.result_paths`` finds again.  Intermediate stages go to the session's checkpoint folder in
+    ``buckets`` buckets and are dropped at the end."""
     stages = Materializer(spark, buckets=buckets)
     try:
         errors, st = analyse_lines(spark, lines, topology, legacy_y, block_lines, stages)
-        outputs = {
+        return publish(spark, out, {
             "pdb_file_error_table": errors,
             "pdb": st.pdb.drop("is_end"),
             "cg": st.cg,
             "moments": st.moments,
             "cov": st.cov,
             "rmsd": st.rmsd,
-        }
-        for name, df in outputs.items():
-            write_table(df, f"{root}/{name}")
+        })
     finally:
         stages.drop()
-    return {n: f"{root}/{n}" for n in outputs}

@@ -122,3 +122,91 @@ def test_large_files_are_read_by_many_tasks_with_dense_line_numbers(spark, tmp_p
         for k, v in old.items():
             spark.conf.set(k, v)
     assert split_offsets(spark.createDataFrame([], "file_path string, _start long, _part int, _id long")).count() == 0
+
+
+def test_a_failed_refresh_leaves_the_tables_of_the_run_before(spark, tmp_path, monkeypatch):
+    from orisite.sources import sinks
+
+    out, names = str(tmp_path / "out"), [f"t{i}" for i in range(6)]
+    with pytest.raises(FileNotFoundError):
+        sinks.result_paths(spark, out)
+
+    def tables(run):
+        return {n: spark.createDataFrame([(run, n)], "run int, name string") for n in names}
+
+    def seen():
+        found = sinks.read_results(spark, out)
+        return {(r.run, n == r.name) for n in found for r in found[n].collect()}, list(found)
+
+    first = sinks.publish(spark, out, tables(1))
+    assert seen() == ({(1, True)}, names)
+    broken = tables(2) | {"t3": spark.range(1).select(F.raise_error(F.lit("fourth write")).cast("string").alias("x"))}
+    with pytest.raises(Exception, match="fourth write"):
+        sinks.publish(spark, out, broken)
+    assert seen() == ({(1, True)}, names) and sinks.result_paths(spark, out) == first
+    during, point = [], sinks._point
+
+    def watched(*a):  # all of the new version is written, and nobody sees it yet
+        during.append(seen())
+        point(*a)
+
+    monkeypatch.setattr(sinks, "_point", watched)
+    sinks.publish(spark, out, tables(3))
+    assert during == [({(1, True)}, names)] and seen() == ({(3, True)}, names)
+    assert spark.read.parquet(first["t0"]).count() == 1  # a reader of the version before may finish
+    sinks.publish(spark, out, tables(4))
+    assert seen() == ({(4, True)}, names) and not os.path.exists(first["t0"]) and len(os.listdir(f"{out}/versions")) == 2
+    assert sorted(os.listdir(out)) in (["CURRENT.json", "versions"], [".CURRENT.json.crc", "CURRENT.json", "versions"])
+
+
+ROWS = dict(atoms=[("AAA", N, 1), ("AAA", CA, 2)], directors=[("AAA", 0, 0, CA, C, N)], members=[("AAA", N, 0), ("AAA", CA, 0)],
+            terminus=[(C, O, OXT)], corrections=[("AAA", CB, CA)])
+REPEATS = dict(atoms=("AAA", CA, 9), directors=("AAA", 0, 1, CA, C, O), members=("AAA", CA, 1), terminus=(C, CA, N), corrections=("AAA", CB, N))
+
+
+@pytest.mark.parametrize("table", list(ROWS))
+@pytest.mark.parametrize("same", [True, False])
+def test_repeated_topology_keys_are_refused(spark, table, same):
+    from helpers import lines_df
+    from orisite.plans.pipeline import check_lines
+
+    sound = T.Topology.from_rows(spark, **ROWS)
+    assert sound.require_keys() is sound and sound.key_conflicts().count() == 0
+    row = ROWS[table][-1] if same else REPEATS[table]
+    topo = T.Topology.from_rows(spark, **ROWS | {table: [*ROWS[table], row]}, add_terminal_hydrogens=table != "atoms")
+    bad = topo.key_conflicts().collect()
+    assert [(r.table, r.rows, r.variants) for r in bad] == [(table, 2, 1 if same else 2)]
+    with pytest.raises(ValueError, match=f"{table} .* 2 times"):
+        check_lines(lines_df(spark, {"e": ["DBREF  1ABC"]}), topo)
+
+
+@pytest.mark.parametrize("name, line, reason", [
+    ("dirs", "ALAx0 CA  C   N  ", "unreadable site count"), ("dirs", "ALA00 CA  C   N  ", "no sites"), ("dirs", "ALA10 CA  C   N", "line too short"),
+    ("dirs", "ALA1x CA  C   N  ", "unreadable site type"), ("dirs", "ALA10 CA      N  ", "blank atom name"), ("dirs", "AL", "unreadable site count"),
+    ("members", "ALA", "no members"), ("members", "ALA N  0 CA ", "cut member"), ("members", "ALA N  x", "unreadable site id"),
+    ("members", "ALA    0", "blank atom name"), ("corr", "ALA CB  CG", "line too short"), ("corr", "ALA     CG ", "blank atom name"),
+    ("term", " C  \n O  \n", "missing line"), ("term", " C  \n O  \n OX\n", "short atom name"),
+    ("tmpl/AAA.pdb", "ATOM  xxxxx  CA  AAA A   0", "unreadable serial"), ("tmpl/AAA.pdb", "ATOM      9  CA", "line too short")])
+def test_unreadable_parameter_lines_stop_the_run(spark, tmp_path, name, line, reason):
+    d = str(tmp_path)
+    _topology_files(d)
+    path = f"{d}/{name}" if "/" in name else f"{d}/{name}.txt"
+    with open(path, "w" if name == "term" else "a") as f:
+        f.write(f"{line}\n   \n" if name != "term" else line)
+    args = (spark, f"{d}/tmpl", f"{d}/dirs.txt", f"{d}/members.txt", f"{d}/term.txt", f"{d}/corr.txt")
+    assert [r.reason for r in T.topology_rejects(*args).collect()] == [reason]
+    with pytest.raises(ValueError, match=reason):
+        T.read_topology(*args)
+
+
+def test_bond_faults(spark):
+    lines = spark.createDataFrame([("f", i, line) for i, line in enumerate([
+        *(atom(k, n, "AAA", "A", 0, 0, 0, 0) for k, n in ((1, N), (2, CA), (3, C))),
+        "CONECT    1    2", "CONECT    2    1    3", "CONECT    3    2    9", "CONECT    3    1xx", "CONECT    x    1"])],
+        "entry string, line_no long, line string")
+    atoms = T.parse_template_atoms_with_position(lines)
+    bonds = T.bonds_with_residues(lines, atoms)
+    edges = T.bond_edges(bonds)
+    assert (3, 1) not in {(r.src, r.dst) for r in edges.collect()} and bonds.where("malformed").count() == 2
+    faults = T.bond_faults(edges, T.with_terminal_hydrogens(atoms.select("resname", "atomname", "serial")))
+    assert {(r.src, r.dst, r.fault) for r in faults.collect()} == {(3, 9, "unknown target"), (3, 9, "one-way")}
