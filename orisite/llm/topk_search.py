@@ -14,9 +14,10 @@ meet groups of blocks, each pair in a task of bounded size, and each returns at
 Blocks are dealt to the groups in turn, so that every group starts with long vectors.
 
 Defined results: vectors that are null or hold null or non-finite components, or that are not of
-the most frequent dimension, take no part; a vector is not its own candidate (same id); ties go to
-the smaller id; fewer than k candidates give fewer rows; repeated ids are candidates each.  Integers
-must keep every inner product below 2^53.  Empty tables give an empty result.
+the most frequent dimension, take no part; rows are queries and candidates each, whatever their ids: a
+row is not its own candidate, one with the same id is; ties go to the smaller id, null ids last; fewer
+than k candidates give fewer rows.  Integers must keep every inner product below 2^53, ids must be below
+2^63 - 1 (which stands for null inside).  Empty tables give an empty result.
 """
 
 from __future__ import annotations
@@ -35,12 +36,13 @@ BLOCK, GROUP_BLOCKS, CHUNK = 2048, 8, 1024
 #: Share of the dimensions that the partial sums take.
 LEADING = 0.25
 SLACK = 1e-6
+NO_ID = (1 << 63) - 1
 
 
 def integer_vectors(vectors: DataFrame, scale: int, id_col: str, vector_col: str) -> DataFrame:
-    """(id, v: array<long>, norm) of the vectors that take part."""
-    v = F.transform(F.col(vector_col), lambda x: x.cast("double"))
-    rows = (vectors.where(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), v.alias("v"))
+    """(id, v: array<long>, norm) of the vectors that take part; a null id is ``NO_ID``."""
+    v = F.transform(F.col(f"`{vector_col}`"), lambda x: x.cast("double"))
+    rows = (vectors.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NO_ID)).alias("id"), v.alias("v")).where("v is not null")
             .where(F.coalesce(F.forall("v", lambda x: x.isNotNull()), F.lit(False)))
             .where(F.forall("v", lambda x: ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))))
             .select("id", F.transform("v", lambda x: F.floor(x * scale)).alias("v")))
@@ -70,17 +72,17 @@ def gram_matrix(rows: DataFrame, dim: int) -> np.ndarray:
 
 
 def packed(rows: DataFrame, number: Column, size: int, dim: int) -> DataFrame:
-    """(no, ids, v): vectors packed into blocks of ``size`` in the order of ``number``."""
+    """(no, ids, rows, v): vectors packed into blocks of ``size`` in the order of ``number``."""
 
     def pack_block(t: pa.Table) -> pa.Table:
         t = t.sort_by([("number", "ascending")])
         v = _matrix(t.column("v"), dim).astype(np.int64)
         small = v.astype(np.int16) if not len(v) or np.abs(v).max() < 1 << 15 else v
         return pa.table({"no": [t.column("no")[0].as_py()], "ids": [pack(t.column("id").to_numpy().astype(np.int64))],
-                         "v": [pack(small)]})
+                         "rows": [pack(t.column("row").to_numpy().astype(np.int64))], "v": [pack(small)]})
 
-    placed = rows.select("id", "v", number.alias("number")).withColumn("no", F.floor(F.col("number") / size))
-    return placed.groupBy("no").applyInArrow(pack_block, "no long, ids binary, v binary")
+    placed = rows.select("id", "row", "v", number.alias("number")).withColumn("no", F.floor(F.col("number") / size))
+    return placed.groupBy("no").applyInArrow(pack_block, "no long, ids binary, rows binary, v binary")
 
 
 def numbered(rows: DataFrame, *order: Column) -> DataFrame:
@@ -96,25 +98,27 @@ def numbered(rows: DataFrame, *order: Column) -> DataFrame:
             .withColumn("number", F.col("start") + F.col("__at").bitwiseAND((1 << 33) - 1)).drop("__part", "__at", "start"))
 
 
-def _unpack(ids: bytes, v: bytes, dim: int) -> tuple[np.ndarray, np.ndarray]:
+Vectors = tuple[np.ndarray, np.ndarray, np.ndarray]  # ids, row numbers, vectors
+
+
+def _unpack(ids: bytes, rows: bytes, v: bytes, dim: int) -> Vectors:
     i = np.frombuffer(ids, np.int64)
     kind = np.int16 if len(v) == len(i) * dim * 2 else np.int64
-    return i, np.frombuffer(v, kind).reshape(len(i), dim).astype(np.float64)
+    return i, np.frombuffer(rows, np.int64), np.frombuffer(v, kind).reshape(len(i), dim).astype(np.float64)
 
 
-def search(query: tuple[np.ndarray, np.ndarray], blocks: list[tuple[np.ndarray, np.ndarray]], k: int,
-           rotation: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each query the best k (score, id) among the blocks, best first; absent ones have score
-    -inf.  Blocks must descend by the length of their longest vector for pruning to bite; the
+def search(query: Vectors, blocks: list[Vectors], k: int, rotation: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each query the best k (score, id) among the blocks' other rows, best first; absent ones have
+    score -inf.  Blocks must descend by the length of their longest vector for pruning to bite; the
     result does not depend on it."""
-    qid, q = query
+    _, q_row, q = query
     lead = max(1, int(len(rotation) * LEADING))
     q_norm = np.linalg.norm(q, axis=1)
     q_lead = q @ rotation[:, :lead]
     q_rest = np.sqrt(np.maximum(q_norm ** 2 - (q_lead ** 2).sum(axis=1), 0))
     best = np.full((len(q), k), -np.inf)
     who = np.full((len(q), k), np.iinfo(np.int64).max)
-    for ids, x in blocks:
+    for ids, rows_, x in blocks:
         norm = np.linalg.norm(x, axis=1)
         limit = best[:, -1]
         open_ = np.flatnonzero(q_norm * (norm.max() * (1 + SLACK)) + SLACK >= limit)  # a tie may have a smaller id
@@ -131,7 +135,7 @@ def search(query: tuple[np.ndarray, np.ndarray], blocks: list[tuple[np.ndarray,
             continue
         rows = open_[near.any(axis=1)]
         score = np.rint(q[rows] @ x[at].T)
-        score[qid[rows][:, None] == ids[at][None, :]] = -np.inf
+        score[q_row[rows][:, None] == rows_[at][None, :]] = -np.inf
         if score.shape[1] > k:  # ties at the edge are all kept until ids decide
             edge = -np.partition(-score, k - 1, axis=1)[:, k - 1]
             keep = score >= np.maximum(edge, best[rows, -1])[:, None]
@@ -153,9 +157,9 @@ def search(query: tuple[np.ndarray, np.ndarray], blocks: list[tuple[np.ndarray,
 def top_k(vectors: DataFrame, queries: Column, k: int, scale: int = 64, id_col: str = "vec_id",
           vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, id, score): for each vector that ``queries`` (over id) marks, its k
-    best among all others."""
-    out = "query_id long, id long, score long"
-    rows = integer_vectors(vectors, scale, id_col, vector_col)
+    best among all others.  Queries with one id have ranks of their own each."""
+    out = "query_row long, query_id long, id long, score long"
+    rows = integer_vectors(vectors, scale, id_col, vector_col).withColumn("row", F.monotonically_increasing_id())
     dims = checkpointed(rows).withColumn("dim", F.size("v"))
     usual = dims.groupBy("dim").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dim").first()
     if usual is None or usual["dim"] == 0:
@@ -167,25 +171,28 @@ def top_k(vectors: DataFrame, queries: Column, k: int, scale: int = 64, id_col:
     groups = max(1, -(-usual["n"] // (BLOCK * GROUP_BLOCKS)))
     blocks = packed(numbered(rows, F.desc("norm"), F.asc("id")), F.col("number"), BLOCK, dim)
     blocks = checkpointed(blocks.withColumn("g", F.col("no") % groups))
-    asked = numbered(rows.where(queries), F.asc("id"))
+    asked = numbered(rows.where(F.col("id") != NO_ID).where(queries), F.asc("id"))
     chunks = checkpointed(packed(asked, F.col("number"), CHUNK, dim).withColumnRenamed("no", "chunk"))
     n_chunks = chunks.count()
     if not n_chunks:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, id long, score long")
-    left = chunks.select("chunk", "ids", "v", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("g"))
-    right = blocks.select("g", "no", "ids", "v", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_chunks - 1).cast("long"))).alias("chunk"))
+    left = chunks.select("chunk", "ids", "rows", "v", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("g"))
+    right = blocks.select("g", "no", "ids", "rows", "v", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_chunks - 1).cast("long"))).alias("chunk"))
 
     def meet(t: pa.Table, b: pa.Table) -> pa.Table:
-        empty = pa.table({c: pa.array([], pa.int64()) for c in ("query_id", "id", "score")})
+        empty = pa.table({c: pa.array([], pa.int64()) for c in ("query_row", "query_id", "id", "score")})
         if not t.num_rows or not b.num_rows:
             return empty
-        q = _unpack(t.column("ids")[0].as_py(), t.column("v")[0].as_py(), dim)
+        def unpacked(t: pa.Table) -> list[Vectors]:
+            return [_unpack(*(x.as_py() for x in r), dim) for r in zip(t.column("ids"), t.column("rows"), t.column("v"))]
+
+        q = unpacked(t)[0]
         b = b.sort_by("no")
-        score, who = search(q, [_unpack(i.as_py(), v.as_py(), dim) for i, v in zip(b.column("ids"), b.column("v"))], k, rotation)
+        score, who = search(q, unpacked(b), k, rotation)
         r, c = np.nonzero(np.isfinite(score))
-        return pa.table({"query_id": q[0][r], "id": who[r, c], "score": score[r, c].astype(np.int64)})
+        return pa.table({"query_row": q[1][r], "query_id": q[0][r], "id": who[r, c], "score": score[r, c].astype(np.int64)})
 
     found = left.groupBy("chunk", "g").cogroup(right.groupBy("chunk", "g")).applyInArrow(meet, out)
-    rank = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    rank = Window.partitionBy("query_row").orderBy(F.desc("score"), "id")
     return (found.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k)
-            .select("query_id", "rank", "id", "score"))
+            .select("query_id", "rank", F.when(F.col("id") != NO_ID, F.col("id")).alias("id"), "score"))

@@ -217,6 +217,59 @@ def test_html_keeps_every_visible_word(spark):
     assert html_text.render("<div>" * 5_000 + "deep" + "</div>" * 5_000) == "deep"
 
 
+@pytest.mark.parametrize("html, text", [
+    ('<td colspan="²">a', "a"), (f'<table><tr><td colspan="{"9" * 5000}">a<td>b', "a  b"), (f"a&#{'9' * 5000};&#x{'f' * 5000};b", "a\ufffd\ufffdb"),
+    (f"&#{'0' * 5000}65;", "A"), ("x<!-->y<p>z", "xy\n\nz"), ("x<!--->y<p>z", "xy\n\nz"), ("x<!-- a --!>y", "xy"), ("x<!---->y", "xy"),
+    ("<details><summary>s</summary>body</details>e", "s\ne"), ("<details open><summary>s</summary>body</details>", "s\nbody"),
+    ('<div style="visibility:hidden">a<b style="visibility:visible">b</b></div>', "b"), ('<div hidden>a<b style="visibility:visible">b</b></div>', ""),
+    ("<style>.i{visibility:hidden}.v{visibility:visible}</style><p class=i>a<b class=v>b</b>", "b"),
+    ("<table><tr><td rowspan=2>a<td>b<td>c<tr><td>d<td>e</table>", "a  b  c\n   d  e"),
+    ("<table><tr><td rowspan=0>a<td>b<tr><td>c<tr><td>d</table>", "a  b\n   c\n   d"),
+    ("<div>" * 300 + "<script>var secret=1;</script><p hidden>hid</p>ok", "ok"), ("<b>" * 5000 + "<p>deep", "deep"),
+    (f"<table><tr><td>{'w' * 500}<td>b<tr><td>c<td>d</table>", f"{'w' * 500}  b\nc  d"), ("<ol start=²><li>a</ol>", "1. a"),
+    ("<ul><li>" * 40 + "a<li>b", None)])
+def test_html_odd_pages(html, text):
+    got = html_text.render(html)
+    if text is None:
+        assert got.split()[-3:] == ["a", "-", "b"] and got.split().count("-") == 41  # no item is lost below the last level
+    else:
+        assert got == text
+
+
+def test_html_never_raises_and_takes_linear_time(spark):
+    import random
+    import time
+
+    rnd = random.Random(8)
+    pages = [r.html for r in spark.read.parquet(f"{SF}/pages.parquet").select("html").collect()]
+    parts = ["<table>", "<td colspan=9 rowspan=3>", "<tr>", "</p>", "<!--", "-->", "<!-->", "&#", "&#x", "999999999;", "<li>", "<ul>", "</ul>", '"', "'", "<",
+             ">", "=", "<style>", "a{display:none}", "</style>", "<script>", "<select><option>", "hidden", "²", "\x00", "<details>", "<pre>", "&amp", "<ol start="]
+    for _ in range(10_000):
+        p = list(rnd.choice(pages)[: rnd.choice([50, 400, 1500])])
+        for _ in range(rnd.randrange(1, 9)):
+            at = rnd.randrange(len(p) + 1)
+            p[at: at + rnd.choice([0, 0, 1, 7])] = rnd.choice(parts) * rnd.choice([1, 1, 3])
+        assert isinstance(html_text.render("".join(p)), str)
+    shapes = ["<div>", "<ul><li>", "<table><tr><td>", "<b>a</b>", "<a '", "<", "&#", "<td rowspan=9 colspan=999>b<tr>", "<blockquote>", "</p><b>", "{a "]
+    for shape in shapes:
+        n, took = 100_000 // len(shape), []
+        for k in (1, 4):
+            page = ("<style>" if shape[0] == "{" else "<table>" if shape[1:3] == "td" else "") + shape * (n * k)
+            start = time.process_time()
+            out = html_text.render(page)
+            took.append(time.process_time() - start)
+            assert len(out) < 30 * len(page)
+        assert took[1] < 20 * took[0] + 1, (shape, took)  # 4 times the page; 16 times would be quadratic
+
+
+def test_html_columns_and_empty_table(spark):
+    pages = spark.createDataFrame([(1, "<p>a", "x", "y")], "`page.id` long, html string, __row string, `a b` string")
+    assert [tuple(r) for r in html_text.extract_text(pages).collect()] == [(1, "x", "y", "a")]
+    assert html_text.extract_text(pages.limit(0)).count() == 0
+    with pytest.raises(ValueError, match="page_text"):
+        html_text.extract_text(pages.withColumn("page_text", F.lit(1)))
+
+
 # ------------------------------------------------------------------ 6
 
 def test_leaks(spark, docs, odd_docs):
@@ -390,13 +443,13 @@ def test_simhash_links_chains_of_near_fingerprints(spark):
 # ------------------------------------------------------------------ 9
 
 def brute_top(data, k):
-    fit = {i: np.floor(64 * np.array(v, float)).astype(int) for i, v in data}
+    fit = [(i, np.floor(64 * np.array(v, float)).astype(int)) for i, v in data]
     out = []
-    for q, x in fit.items():
-        if q % 20 == 0:
-            best = sorted(((-int(x @ y), i) for i, y in fit.items() if i != q))[:k]
-            out += [(q, n + 1, i, -s) for n, (s, i) in enumerate(best)]
-    return sorted(out)
+    for r, (q, x) in enumerate(fit):
+        if q is not None and q % 20 == 0:
+            best = sorted(((-int(x @ y), i is None, i) for c, (i, y) in enumerate(fit) if c != r), key=lambda b: (b[:2], b[2] or 0))[:k]
+            out += [(q, n + 1, i, -s) for n, (s, _, i) in enumerate(best)]
+    return sorted(out, key=repr)
 
 
 def test_top_k(spark, monkeypatch):
@@ -406,12 +459,16 @@ def test_top_k(spark, monkeypatch):
     rng = np.random.default_rng(5)
     data = [(i, (rng.normal(size=8) * rng.choice([0.1, 1, 5])).tolist()) for i in range(200)]
     data += [(200 + i, [0.5] * 8) for i in range(40)]  # ties
-    odd = [(300, None), (320, [1.0, None] + [0.0] * 6), (340, [float("nan")] * 8), (360, [float("inf")] * 8), (None, [1.0] * 8), (380, [1.0])]
+    data += [(None, [1.0] * 8), (None, [0.5] * 8), (0, data[0][1]), (0, data[7][1]), (20, data[9][1]), (7, data[7][1])]  # null and repeated ids
+    odd = [(300, None), (320, [1.0, None] + [0.0] * 6), (340, [float("nan")] * 8), (360, [float("inf")] * 8), (None, None), (380, [1.0])]
     v = spark.createDataFrame(data + odd, "vec_id long, embedding array<double>")
-    got = sorted(map(tuple, topk_search.top_k(v, F.col("id") % 20 == 0, 20).collect()))
+    got = sorted(map(tuple, topk_search.top_k(v, F.col("id") % 20 == 0, 20).collect()), key=repr)
     assert got == brute_top(data, 20)
-    few = v.where("vec_id in (0, 1, 2)")
-    assert sorted(map(tuple, topk_search.top_k(few, F.col("id") % 20 == 0, 20).collect())) == brute_top(data[:3], 20)
+    few = v.where("vec_id in (1, 20)")
+    some = [d for d in data if d[0] in (1, 20)]
+    assert sorted(map(tuple, topk_search.top_k(few, F.col("id") % 20 == 0, 20).collect()), key=repr) == brute_top(some, 20)
+    three = spark.createDataFrame([(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [0.5, 0.5])], "vec_id long, embedding array<double>")
+    assert sorted(map(tuple, topk_search.top_k(three, F.col("id") % 20 == 0, 20).collect())) == [(0, 1, 1, 2048)] * 2 + [(0, 2, 0, 0)] * 2
     assert topk_search.top_k(v.limit(0), F.lit(True), 20).count() == 0
     assert topk_search.top_k(v.where("vec_id = 1"), F.col("id") % 20 == 0, 20).count() == 0
 
