@@ -37,6 +37,21 @@ def dense_index(df: DataFrame, name: str) -> DataFrame:
             .withColumn(name, F.col("__start") + F.col("__at").bitwiseAND((1 << 33) - 1)).drop("__part", "__at", "__start"))
 
 
+def quoted(names: list[str]) -> list[Column]:
+    """Columns by their whole names, dots included."""
+    return [F.col(f"`{n}`") for n in names]
+
+
+def free_names(names: list[str], taken: list[str]) -> list[str]:
+    """``names``, with underscores added to those that are taken, in any case."""
+    used, out = {t.lower() for t in taken}, []
+    for n in names:
+        while n.lower() in used:
+            n += "_"
+        out.append(n)
+    return out
+
+
 def bounded_batches(df: DataFrame) -> DataFrame:
     """``df``, in a session whose Arrow batches hold at most 8 MB of rows (or one row): a batch of
     10,000 long texts, the default, would have to fit in a worker several times."""

@@ -3,8 +3,9 @@
 1. Sources get weights and targets (in words); a target above ``cap`` times its source's size is
    cut there and the excess shared out again.
 2. A source's documents are permuted by a hash and cut into blocks of about ``block_docs``.  Its
-   quota is a number of blocks: whole passes over all blocks and the first blocks of one more.
-   From the last of these only documents that still fit the target are taken.
+   quota is a number of blocks: whole passes over all blocks and some blocks of one more, taken in
+   order while they fit the target.  Of the first that does not fit, as many documents as do are
+   taken; the words that are left go on to the blocks after it, until none has a document that fits.
 3. The quotas are split among output shards by a binary tree: at each node the left half's share
    of every source is drawn from the multivariate hypergeometric distribution, source by source
    from conditional hypergeometrics.  Only counts go down the tree, so quotas stay exact.
@@ -17,19 +18,24 @@ through single tasks: the number of sources must fit there, the number of docume
 
 Defined results: a null or blank text has size 0 and is taken as often as its block; a null source
 is a source of its own, last in order; equal rows are each kept and counted; if all sizes are 0 all
-targets are 0 and nothing is taken.  An empty table gives an empty mix.  Further columns are kept.
+targets are 0 and nothing is taken.  An empty table gives an empty mix.  Further columns are kept,
+whatever their names; a result whose name one of them has gets underscores added.  There are 64 shards,
+and more for an input of more than 64 times ``SHARD_BLOCKS`` blocks.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from orisite.llm.common import WORD, checkpointed, let, within
+from orisite.llm.common import WORD, checkpointed, free_names, let, quoted, within
 
 WEIGHTS = (5, 2, 1)
 CAP = 3
-BLOCK_DOCS, SHARDS, SEED = 256, 64, 7
+BLOCK_DOCS, SHARDS, SHARD_BLOCKS, SEED = 256, 64, 1024, 7
+RESULTS = ["mix_size", "mix_source_size", "mix_target", "mix_draws"]
 #: Sources that are broadcast at most (a few MB).
 BROADCAST_SOURCES = 50_000
 
@@ -39,11 +45,11 @@ def uniform(*parts: Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(*parts), 11) / F.lit(float(1 << 53))
 
 
-def sized(docs: DataFrame, id_col: str, text_col: str, seed: int) -> DataFrame:
-    """``docs`` with ``__size`` (words) and ``__key``, the hash that permutes them."""
-    return docs.withColumns({
-        "__size": F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long"),
-        "__key": F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col))})
+def sized(id_col: str, text_col: str, seed: int) -> list[Column]:
+    """``source``, ``__size`` (words) and ``__key``, the hash that permutes the rows."""
+    text = F.col(f"`{text_col}`")
+    return [F.col("source"), F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("__size"),
+            F.xxhash64(F.lit(seed), F.col(f"`{id_col}`"), text).alias("__key")]
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...], cap: int) -> DataFrame:
@@ -127,7 +133,7 @@ def split_quotas(quotas: DataFrame, shards: int, seed: int) -> DataFrame:
     return level.select(F.col("lo").alias("shard"), F.posexplode("counts").alias("rank", "n"))
 
 
-def plan(rows: DataFrame, weights, cap: int, block_docs: int, shards: int, seed: int) -> tuple[DataFrame, DataFrame]:
+def plan(rows: DataFrame, weights, cap: int, block_docs: int, shards: int | None, seed: int) -> tuple[DataFrame, DataFrame]:
     """(sources, blocks) for rows (source, __size, __key).  Blocks: (rank, block, fitting, draws):
     draws lists (pass, shard); of the pass after the whole ones only the rows with a key in
     ``fitting`` count, or all if that is null."""
@@ -138,31 +144,60 @@ def plan(rows: DataFrame, weights, cap: int, block_docs: int, shards: int, seed:
                .withColumn("n_blocks", F.ceil(F.col("n_docs") / block_docs)))
     placed = in_blocks(rows, sources)
     order = Window.partitionBy("rank").orderBy("block")
-    blocks = (placed.groupBy("rank", "block", "passes", "rest").agg(F.sum("__size").alias("words"))
+    blocks = (placed.groupBy("rank", "block", "passes", "rest")
+              .agg(F.sum("__size").alias("words"), F.min("__size").alias("least"))
               .withColumn("no", F.row_number().over(order) - 1)
-              .withColumn("of", F.count("*").over(Window.partitionBy("rank")))
-              .withColumn("spare", F.col("rest") - (F.sum("words").over(order) - F.col("words"))))
-    blocks = checkpointed(blocks.withColumn("n", F.col("passes") + (F.col("spare") > 0).cast("int")))
-    cut = blocks.where("spare > 0 and spare < words").select("rank", "block", "spare")
-    # at most one block of each source; equal rows have equal keys and go together
-    fitting = (placed.join(cut, ["rank", "block"]).groupBy("rank", "block", "spare", "__key").agg(F.sum("__size").alias("w"))
-               .groupBy("rank", "block", "spare").agg(F.array_sort(F.collect_list(F.struct("__key", "w"))).alias("rows"))
-               .select("rank", "block", fits(F.col("rows"), F.col("spare")).alias("fitting")))
+              .withColumn("of", F.count("*").over(Window.partitionBy("rank"))))
+    blocks = checkpointed(blocks)
+    last = last_pass(placed, blocks)
+    blocks = blocks.join(last, ["rank", "block"], "left").withColumn("n", F.col("passes") + F.col("at").isNotNull().cast("int"))
+    if shards is None:
+        shards = max(SHARDS, -(-(blocks.agg(F.sum("n")).first()[0] or 0) // SHARD_BLOCKS))
     quotas = split_quotas(blocks.groupBy("rank").agg(F.sum("n").alias("quota")), shards, seed)
     to = F.sum("n").over(Window.partitionBy("rank").orderBy("shard"))
     slots = quotas.withColumn("to", to).where("n > 0").select(
         "rank", "shard", F.explode(F.sequence(F.col("to") - F.col("n"), F.col("to") - 1)).alias("slot"))
-    drawn = (blocks.where("n > 0").select("rank", "block", "no", "of", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("pass"))
-             .withColumn("slot", F.col("pass").cast("long") * F.col("of") + F.col("no")).join(slots, ["rank", "slot"])
+    # the slots of the last pass follow each other, though blocks are left out
+    slot = F.col("pass").cast("long") * F.col("of") + F.when(F.col("pass") < F.col("passes"), F.col("no")).otherwise(F.col("at"))
+    drawn = (blocks.where("n > 0").select("rank", "block", "passes", "no", "of", "at", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("pass"))
+             .withColumn("slot", slot).join(slots, ["rank", "slot"])
              .groupBy("rank", "block").agg(F.collect_list(F.struct("pass", "shard")).alias("draws")))
-    return sources, drawn.join(fitting, ["rank", "block"], "left")
+    return sources, drawn.join(last.select("rank", "block", "fitting"), ["rank", "block"], "left")
+
+
+def last_pass(placed: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(rank, block, at, fitting): the blocks of the pass after the whole ones, numbered in order, and of
+    those that are cut the keys of the rows that fit.
+
+    A round takes blocks in order while they fit and cuts the next one; sources that then have room
+    for a document of a later block go another round, from there on."""
+    room = blocks.groupBy("rank").agg(F.max("rest").alias("room")).where("room > 0").withColumn("after", F.lit(-1))
+    run = F.sum("words").over(Window.partitionBy("rank").orderBy("no"))
+    taken = []
+    while True:
+        free = blocks.join(room, "rank").where("no > after and least <= room")
+        free = checkpointed(free.withColumn("spare", F.col("room") - (run - F.col("words"))).where("spare > 0")
+                            .select("rank", "block", "no", "words", "spare"))
+        cut = free.where("spare < words").select("rank", "block", "no", "spare")
+        # at most one block of each source; equal rows have equal keys and go together
+        filled = checkpointed(placed.join(F.broadcast(cut) if cut.count() <= BROADCAST_SOURCES else cut, ["rank", "block"])
+                              .groupBy("rank", "block", "no", "spare", "__key").agg(F.sum("__size").alias("w"))
+                              .groupBy("rank", "block", "no", "spare").agg(F.array_sort(F.collect_list(F.struct("__key", "w"))).alias("rows"))
+                              .select("rank", "block", "no", fits(F.col("rows"), F.col("spare")).alias("f")))
+        whole = free.where("spare >= words").select("rank", "block", "no", F.lit(None).cast("array<bigint>").alias("fitting"))
+        taken.append(whole.unionByName(filled.select("rank", "block", "no", F.col("f.keys").alias("fitting"))))
+        room = filled.select("rank", F.col("f.room").alias("room"), F.col("no").alias("after"))
+        if blocks.join(room, "rank").where("no > after and least <= room").isEmpty():
+            at = F.row_number().over(Window.partitionBy("rank").orderBy("no")) - 1
+            return checkpointed(reduce(DataFrame.unionByName, taken).select("rank", "block", at.alias("at"), "fitting"))
 
 
 def fits(rows: Column, room: Column) -> Column:
-    """Keys of the rows (key, w) that are taken, in order, if they fit in what is left of ``room`` words."""
+    """(room, keys): the keys of the rows (key, w) that are taken, in order, if they fit in what is left
+    of ``room`` words, and what is left then."""
     start = F.struct(room.cast("double").alias("room"), F.array().cast("array<bigint>").alias("keys"))
     return F.aggregate(rows, start, lambda s, r: F.when(r["w"] <= s["room"], F.struct(
-        (s["room"] - r["w"]).alias("room"), F.concat(s["keys"], F.array(r["__key"])).alias("keys"))).otherwise(s))["keys"]
+        (s["room"] - r["w"]).alias("room"), F.concat(s["keys"], F.array(r["__key"])).alias("keys"))).otherwise(s))
 
 
 def in_blocks(rows: DataFrame, sources: DataFrame) -> DataFrame:
@@ -173,16 +208,15 @@ def in_blocks(rows: DataFrame, sources: DataFrame) -> DataFrame:
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, block_docs: int = BLOCK_DOCS,
-        shards: int = SHARDS, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The columns ``keep`` of ``docs`` (all, if None) with ``mix_size``, ``mix_source_size``,
+        shards: int | None = None, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """The columns ``keep`` of ``docs`` (all, if None) and, last, ``mix_size``, ``mix_source_size``,
     ``mix_target`` and ``mix_draws``, an array of (pass, shard, place): one entry each time that the
     mix takes the row.  Needs a column ``source``."""
     keep = docs.columns if keep is None else keep
-    slim = checkpointed(sized(docs, id_col, text_col, seed).select("source", "__size", "__key"))
-    sources, blocks = plan(slim, weights, cap, block_docs, shards, seed)
-    # names of our own, so that columns of the caller's cannot clash
-    rows = sized(docs, id_col, text_col, seed).select(F.struct(*keep).alias("__row"), "source", "__size", "__key")
-    return draw(rows, sources, blocks, seed).select("__row.*", "mix_size", "mix_source_size", "mix_target", "mix_draws")
+    own = sized(id_col, text_col, seed)
+    sources, blocks = plan(checkpointed(docs.select(*own)), weights, cap, block_docs, shards, seed)
+    done = draw(docs.select(F.struct(*quoted(keep)).alias("__row"), *own), sources, blocks, seed)
+    return done.select("__row.*", *(F.col(n).alias(free) for n, free in zip(RESULTS, free_names(RESULTS, keep))))
 
 
 def draw(rows: DataFrame, sources: DataFrame, blocks: DataFrame, seed: int) -> DataFrame:
@@ -196,8 +230,10 @@ def draw(rows: DataFrame, sources: DataFrame, blocks: DataFrame, seed: int) -> D
 
 
 def mixed_rows(mixed: DataFrame) -> DataFrame:
-    """One row for each draw, with ``mix_pass``, ``mix_shard`` and ``mix_place``, in shards and shuffled."""
-    rows = mixed.select("*", F.explode("mix_draws").alias("__d")).drop("mix_draws")
-    rows = rows.select("*", F.col("__d.pass").alias("mix_pass"), F.col("__d.shard").alias("mix_shard"),
-                       F.col("__d.place").alias("mix_place")).drop("__d")
-    return rows.repartition("mix_shard").sortWithinPartitions("mix_shard", "mix_place")
+    """One row for each draw of a mix, with ``mix_pass``, ``mix_shard`` and ``mix_place`` in place of
+    ``mix_draws``, in shards and shuffled."""
+    *kept, draws = mixed.columns
+    names = free_names(["mix_pass", "mix_shard", "mix_place"], kept)
+    rows = mixed.select(F.struct(*quoted(kept)).alias("__row"), F.explode(f"`{draws}`").alias("__d"))
+    rows = rows.repartition("__d.shard").sortWithinPartitions("__d.shard", "__d.place")
+    return rows.select("__row.*", *(F.col(f"__d.{k}").alias(n) for k, n in zip(("pass", "shard", "place"), names)))

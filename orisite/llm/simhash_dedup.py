@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from orisite.llm.common import bounded_batches, byte_texts, checkpointed, connected_components
+from orisite.llm.common import bounded_batches, byte_texts, checkpointed, connected_components, quoted
 
 SEED = 42
 #: Shingles whose bits are counted in one step.
@@ -122,5 +122,6 @@ def drop_near_duplicates(docs: DataFrame, shingle: int, max_bits: int,
     names = row_names(docs, id_col, text_col)
     fps = checkpointed(fingerprints(docs, shingle, names, text_col))
     _, least = least_of_components(fps, max_bits, F.struct(*names))
-    once = docs.withColumns(names).dropDuplicates(list(names))
-    return once.join(least.select("least.*"), list(names), "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))
+    rows = docs.select(F.struct(*quoted(docs.columns)).alias("__all"), *(c.alias(k) for k, c in names.items()))
+    once = rows.dropDuplicates(list(names))
+    return once.join(least.select("least.*"), list(names), "left_semi").select("__all.*")

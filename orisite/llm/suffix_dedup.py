@@ -40,13 +40,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from orisite.llm.common import PIECE_BYTES, Rolling, batch_count, bounded_batches, byte_texts, byte_values, mix64, pack
+from orisite.llm.common import PIECE_BYTES, Rolling, batch_count, bounded_batches, byte_texts, byte_values, free_names, mix64, pack, quoted
 
 GRAM = 16
 VALUES = byte_values(10)
 #: Bytes of text in a batch, about.
 BATCH_BYTES = 4 << 20
 FIRST, REPEAT, EDGE = 0, 1, 2
+RESULTS = ["n_bytes", "n_removed", "n_spans", "kept", "kept_text", "kept_sha256"]
 
 
 # ---------------------------------------------------------------------------- the parse
@@ -307,8 +308,9 @@ def remove_batch(t: pa.Table, answers: pa.Table, width: int, span: int, buckets:
 def remove_repeats(docs: DataFrame, width: int = 100, span: int = 64, batch_bytes: int = BATCH_BYTES,
                    with_text: bool = True, id_col: str = "doc_id", text_col: str = "text",
                    keep: list[str] | None = None) -> DataFrame:
-    """The columns ``keep`` of ``docs`` (all but the text, if None) and n_bytes, n_removed, n_spans,
-    kept, kept_text and kept_sha256: one row for each row of ``docs``.  ``kept`` holds the remaining
+    """The columns ``keep`` of ``docs`` (all but the text, if None) and, last, n_bytes, n_removed, n_spans,
+    kept, kept_text and kept_sha256 (with underscores added to a name that a kept column has): one row
+    for each row of ``docs``.  ``kept`` holds the remaining
     bytes and ``kept_text`` those of whole characters (both null without ``with_text``).
 
     Batches are ranges of ids of about ``batch_bytes``, taken from approximate quantiles; the
@@ -316,7 +318,7 @@ def remove_repeats(docs: DataFrame, width: int = 100, span: int = 64, batch_byte
     """
     n = batch_count(docs, text_col, batch_bytes)
     keep = [c for c in docs.columns if c != text_col] if keep is None else keep
-    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.struct(*keep).alias("__row"))
+    slim = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), F.struct(*quoted(keep)).alias("__row"))
     bounds = []
     if n > 1:
         cuts = [i / n for i in range(1, n)]
@@ -340,4 +342,4 @@ def remove_repeats(docs: DataFrame, width: int = 100, span: int = 64, batch_byte
               .add("kept", "binary").add("kept_text", "string").add("kept_sha256", "string"))
     removed = by_batch.cogroup(stems.unionByName(windows).groupBy("batch")).applyInArrow(
         lambda t, a: remove_batch(t, a, width, span, buckets, with_text), result)
-    return removed.select("__row.*", "n_bytes", "n_removed", "n_spans", "kept", "kept_text", "kept_sha256")
+    return removed.select("__row.*", *(F.col(n).alias(free) for n, free in zip(RESULTS, free_names(RESULTS, keep))))

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
-from orisite.llm.common import Rolling, bounded_batches, byte_texts, checkpointed, mix64, pieces, within
+from orisite.llm.common import Rolling, bounded_batches, byte_texts, checkpointed, free_names, mix64, pieces, quoted, within
 
 INSULTS = ("idiot", "idiots", "moron", "morons", "stupid", "dumb", "loser", "losers", "pathetic", "worthless",
            "disgusting", "trash", "scum", "clown", "fool", "jerk", "creep", "liar", "coward", "filth", "vermin",
@@ -283,11 +283,11 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, id_col: st
 
 
 def score(docs: DataFrame, model: ToxicityModel, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The columns ``keep`` of ``docs`` (all, if None) and ``toxicity``, the calibrated chance that the
-    row's text is toxic.  A fiftieth of the trees' own probability is mixed in, so that scores that
+    """The columns ``keep`` of ``docs`` (all, if None) and, last, ``toxicity`` (with underscores added where a
+    kept column has that name), the calibrated chance that the row's text is toxic.  A fiftieth of the trees' own probability is mixed in, so that scores that
     calibrate alike keep their order."""
     keep = docs.columns if keep is None else keep
-    slim = docs.select(F.struct(*keep).alias("__row"), *([] if text_col in keep else [F.col(text_col).alias("text")]))
+    slim = docs.select(F.struct(*quoted(keep)).alias("__row"), *([] if text_col in keep else [F.col(f"`{text_col}`").alias("text")]))
     if model.trees is None:
         done = slim.withColumn("toxicity", F.lit(model.constant))
     else:
@@ -297,4 +297,4 @@ def score(docs: DataFrame, model: ToxicityModel, text_col: str = "text", keep: l
             done = model.calibration.setFeaturesCol("p").setPredictionCol("iso").transform(done)
             done = done.withColumn("p", F.greatest(F.lit(0.0), F.least(F.lit(1.0), 0.98 * F.col("iso") + 0.02 * F.col("p"))))
         done = done.withColumn("toxicity", F.col("p"))
-    return done.select("__row.*", "toxicity")
+    return done.select("__row.*", F.col("toxicity").alias(free_names(["toxicity"], keep)[0]))

@@ -1,5 +1,7 @@
 """The corpus pipeline: its stages take effect, keep clean documents and run end to end."""
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from orisite.llm import decontaminate, simhash_dedup, suffix_dedup
 
@@ -35,3 +37,24 @@ def test_run_repeats_itself(spark):
         return sorted((r.doc_id, r.mix_shard, r.mix_place) for r in corpus_pipeline.run(spark, SF).collect())
 
     assert ids() == ids()
+
+
+CLASHES = ["toxicity", "Kept_Text", "n_bytes", "mix_size", "MIX_SHARD", "__size", "__key", "__id", "__text", "__row", "__no_id", "a.b", "row", "fp", "mix_draws"]
+
+
+def test_columns_of_any_name_pass_every_stage_unchanged(spark, tmp_path):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    docs = docs.select("*", *(F.concat(F.lit(f"{c}:"), F.col("doc_id").cast("string")).alias(c) for c in CLASHES))
+    for name, stage in corpus_pipeline.STAGES:
+        done = stage(spark, docs, SF)
+        assert done.columns[: len(docs.columns)] == docs.columns and (name == "mixing" or done.columns == docs.columns)
+        done.write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name)).select(*(F.col(f"`{c}`") for c in docs.columns))
+        rows = docs.collect()
+        assert rows and all(r[c] == f"{c}:{r.doc_id}" for r in rows for c in CLASHES), name
+
+
+def test_stages_on_empty_documents(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, SF).count() == 0, name

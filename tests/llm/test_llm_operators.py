@@ -349,13 +349,27 @@ def test_mixing(request, which):
     for r in got:
         assert r.mix_source_size == sizes[r.source] and abs(r.mix_target - targets[r.source]) < 1e-6
     for k, t in targets.items():
-        assert abs(taken[k] - t) <= largest[k]
+        least = min((r.mix_size for r in got if r.source == k and r.mix_size and len(r.mix_draws) * sizes[k] <= t), default=largest[k])
+        assert -1e-6 <= t - taken[k] <= least  # no document is left that would fit
     again = {(r.doc_id, r.text): r.mix_draws for r in mixing.mix(d.repartition(5), keep=["doc_id", "source", "text"]).collect()}
     assert again == {(r.doc_id, r.text): r.mix_draws for r in got}
     assert mixing.mixed_rows(m).count() == sum(len(r.mix_draws) for r in got)
     assert mixing.mix(d.limit(0)).count() == 0
 
 
+def test_mixing_fills_the_blocks_after_one_that_does_not_fit(spark):
+    """One document with a third of its source's words, in a block of many: what it leaves open goes to others."""
+    for seed in range(4):
+        rows = [(i, "w " * 30, "a") for i in range(3000)] + [(9000 + seed, "w " * 45_000, "a")] + [(10_000 + i, "w " * 20, "b") for i in range(5000)]
+        d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+        got = mixing.mix(d, keep=["doc_id", "source"], seed=seed, block_docs=64).collect()
+        for source, least in (("a", 30), ("b", 20)):
+            mine = [r for r in got if r.source == source]
+            taken = sum(r.mix_size * len(r.mix_draws) for r in mine)
+            assert 0 <= mine[0].mix_target - taken < least, (seed, source, mine[0].mix_target, taken)
+        assert all(len({(x["pass"]) for x in r.mix_draws}) == len(r.mix_draws) <= 3 for r in got)
+
+
 def test_splitting_tree_keeps_quotas_and_is_hypergeometric(spark):
     quotas = spark.createDataFrame([(0, 40), (1, 7), (2, 0), (3, 1)], "rank int, quota long")
     seen = []
