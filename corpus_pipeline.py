@@ -16,13 +16,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orisite.llm import decontaminate, mixing, simhash_dedup, suffix_dedup, toxicity
+from orisite.llm.common import quoted
 from orisite.llm.queries import held_out, table
 from orisite.session import ensure_checkpoint_dir
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = toxicity.fit(docs.where(~held_out(4)), table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model).where("toxicity < 0.3").select(*docs.columns)
+    scored = toxicity.score(docs, model)
+    return scored.where(F.col(f"`{scored.columns[-1]}`") < 0.3).select(*quoted(docs.columns))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,7 +33,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     done = suffix_dedup.remove_repeats(docs, width=100)
-    return done.withColumns({"text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("long")}).select(*docs.columns)
+    text = F.col(f"`{done.columns[-2]}`")  # kept_text
+    new = {"text": text, "n_chars": F.length(text).cast("long")}
+    return done.select(*(new[c].alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns))
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
