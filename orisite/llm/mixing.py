@@ -145,7 +145,8 @@ def plan(rows: DataFrame, weights, cap: int, block_docs: int, shards: int | None
     placed = in_blocks(rows, sources)
     order = Window.partitionBy("rank").orderBy("block")
     blocks = (placed.groupBy("rank", "block", "passes", "rest")
-              .agg(F.sum("__size").alias("words"), F.min("__size").alias("least"))
+              .agg(F.sum("__size").alias("words"),
+                   F.min(F.when(F.col("__size") > 0, F.col("__size"))).alias("least"))  # the least that takes words
               .withColumn("no", F.row_number().over(order) - 1)
               .withColumn("of", F.count("*").over(Window.partitionBy("rank"))))
     blocks = checkpointed(blocks)

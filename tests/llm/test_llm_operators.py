@@ -370,6 +370,14 @@ def test_mixing_fills_the_blocks_after_one_that_does_not_fit(spark):
         assert all(len({(x["pass"]) for x in r.mix_draws}) == len(r.mix_draws) <= 3 for r in got)
 
 
+def test_empty_documents_cost_mixing_no_round(spark, monkeypatch):
+    rounds, fits = [], mixing.fits
+    monkeypatch.setattr(mixing, "fits", lambda *a: rounds.append(1) or fits(*a))
+    rows = [(i, "w " * (0 if i % 3 else 40), "ab"[i % 2]) for i in range(3000)]
+    mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), block_docs=16).count()
+    assert len(rounds) < 4
+
+
 def test_splitting_tree_keeps_quotas_and_is_hypergeometric(spark):
     quotas = spark.createDataFrame([(0, 40), (1, 7), (2, 0), (3, 1)], "rank int, quota long")
     seen = []
