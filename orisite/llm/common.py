@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import sys
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -115,6 +116,11 @@ def byte_texts(column: pa.ChunkedArray | pa.Array) -> list[bytes]:
     return [b"" if x is None else x for x in column.cast(pa.large_binary()).to_pylist()]
 
 
+def all_characters() -> np.ndarray:
+    """Every code point as a string of one character."""
+    return np.arange(sys.maxunicode + 1, dtype=np.uint32).view("U1")
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit values (the finaliser of a splittable generator)."""
     x = x ^ (x >> np.uint64(30))

@@ -5,14 +5,15 @@ character n-grams: each of its places takes the longest known n-gram that ends t
 ``LONGEST`` characters down to one, and the word adds the mean over its places.  The language with
 the largest sum wins; the score is its share in the softmax of the sums.
 
-Words are runs of letters, without regard to case, framed by one boundary for their n-grams.  The
-model is fitted on a bounded sample: about ``per_lang`` texts of each language, drawn by a hash of
-the id, of which the ``MAX_ENTRIES`` most frequent words and n-grams of each length are kept, split
-evenly over the languages.  Words outside fall back like any unseen word.
+Words are runs of letters of any plane of Unicode, without regard to case, framed by one boundary
+for their n-grams.  The model is fitted on a bounded sample: of each language about ``per_lang`` of its
+distinct rows (id and text), drawn by a hash of both, or all if there are no more.  All words and
+n-grams of the sample are kept; a caller may keep only the ``max_entries`` most frequent of each
+length, split evenly over the languages, and others then fall back like any unseen word.
 
 Defined results: ``und`` with score 0 for a null or empty text, one without a letter, and if
 nothing was learned; ties go to the language that sorts first; texts with a null language are not
-learned from.  Rows are judged each, repeated or not.  Other columns pass through.
+learned from, equal rows are learned from once.  Rows are judged each, repeated or not.  Other columns pass through.
 """
 
 from __future__ import annotations
@@ -26,28 +27,26 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from orisite.llm.common import Rolling, bounded_batches, byte_texts, mix64, pieces, within
+from orisite.llm.common import Rolling, all_characters, bounded_batches, byte_texts, mix64, pieces, within
 
 PER_LANG = 1_000
 LONGEST = 4
-#: Words, and n-grams of each length, that a model holds at most.
-MAX_ENTRIES = 100_000
+#: Languages that are broadcast at most.
+BROADCAST_LANGS = 100_000
 #: Added to every count.
 SMOOTHING = 0.1
 UNKNOWN = "und"
 
 
 class Letters:
-    """For each character up to 0xFFFF: a value for hashing, equal for both cases and for all that
-    is no letter; whether it is a letter.  Made once in each task."""
+    """For each character: a value for hashing, equal for both cases and for all that is no letter;
+    whether it is a letter.  Made once in each task."""
 
     def __init__(self):
-        low, self.letter = np.zeros(1 << 16, np.uint64), np.zeros(1 << 16, bool)
-        for c in range(1 << 16):
-            s = chr(c)
-            if s.isalpha():
-                self.letter[c] = True
-                low[c] = ord(x) if len(x := s.lower()) == 1 else c
+        every = all_characters()
+        low, self.letter = np.zeros(len(every), np.uint64), np.strings.isalpha(every)
+        for c in np.flatnonzero(self.letter).tolist():
+            low[c] = ord(x) if len(x := chr(c).lower()) == 1 else c
         self.value = mix64(low + np.uint64(11)) | np.uint64(1)
         self.rolling = Rolling(1 << 19)
 
@@ -57,7 +56,7 @@ class Words:
 
     def __init__(self, nos: list[int], parts: list[bytes], of: Letters):
         texts = [p.decode("utf-8", "replace") for p in parts]
-        c = np.minimum(np.frombuffer((" " + " ".join(texts) + "  ").encode("utf-32-le", "replace"), np.uint32), 0xFFFF)
+        c = np.frombuffer((" " + " ".join(texts) + "  ").encode("utf-32-le", "replace"), np.uint32)
         edge = np.flatnonzero(np.diff(of.letter[c].view(np.int8)))
         self.start, self.end = edge[::2] + 1, edge[1::2] + 1
         self.rolling, self.h = of.rolling, of.rolling.prefix(of.value[c])
@@ -117,23 +116,27 @@ def count_sample(sample: DataFrame, longest: int) -> DataFrame:
             .groupBy("lang", "kind", "gram").agg(F.sum("n").alias("n")))
 
 
-def fit(docs: DataFrame, per_lang: int = PER_LANG, longest: int = LONGEST, max_entries: int = MAX_ENTRIES,
+def fit(docs: DataFrame, per_lang: int = PER_LANG, longest: int = LONGEST, max_entries: int | None = None,
         id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
     """Learn from the rows of ``docs`` whose language is not null."""
     known = docs.where(F.col(lang_col).isNotNull()).select(
         F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
-    sizes = known.groupBy("lang").agg(F.count("*").alias("n_docs"))
+    known = known.withColumn("row", F.xxhash64(F.lit(4), "id", "text"))
+    sizes = known.groupBy("lang", "row").agg(F.lit(1)).groupBy("lang").agg(F.count("*").alias("n_docs"))
     langs = sizes.count()
     if not langs:
         return LanguageModel([], [], [])
-    draw = F.shiftrightunsigned(F.xxhash64(F.lit(4), "id"), 11) / F.lit(float(1 << 53))
-    sample = known.join(within(sizes, langs, max_entries), "lang").where(draw * F.col("n_docs") < per_lang)
-    # the ranking is of pre-aggregated entries, by language and kind; its limit is pushed below the shuffle
-    best = Window.partitionBy("lang", "kind").orderBy(F.desc("n"), "gram")
+    draw = F.shiftrightunsigned("row", 11) / F.lit(float(1 << 53))
+    sample = (known.join(within(sizes, langs, BROADCAST_LANGS), "lang").where(draw * F.col("n_docs") < per_lang)
+              .dropDuplicates(["lang", "row"]))
     counts = count_sample(sample, longest)
     totals = Window.partitionBy("lang", "kind")
-    kept = (counts.withColumn("total", F.sum("n").over(totals)).withColumn("rank", F.row_number().over(best))
-            .where(F.col("rank") <= max(1, max_entries // langs)).drop("rank").toPandas())  # at most max_entries of a kind
+    entries = counts.withColumn("total", F.sum("n").over(totals))
+    if max_entries is not None:
+        # the ranking is of pre-aggregated entries, by language and kind; its limit is pushed below the shuffle
+        best = Window.partitionBy("lang", "kind").orderBy(F.desc("n"), "gram")
+        entries = entries.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= max(1, max_entries // langs)).drop("rank")
+    kept = entries.toPandas()  # of the bounded sample
     names = sorted(kept["lang"].unique())
     model = LanguageModel(names, [], [])
     for kind in range(longest + 1):

@@ -13,15 +13,17 @@ of an equal phrase.  A phrase with all bytes that its windows reach is a diction
    stems, once each, with the word if the batch has only one.  A stem that has one word in the
    whole corpus settles all its windows: the first use stays, later ones are repeats.
 2. Only phrases whose stem has several words, those at the edges of repeated passages, are
-   resolved window by window, again one row for each distinct window hash and batch.
+   resolved window by window.  Each batch builds the suffix array of the dictionary of their words;
+   with the parse, which gives the first place of each word, it puts the windows in corpus order.
+   The first of each goes to the owner of its hash, again one row for each distinct window and batch.
 3. Every batch marks and removes the bytes of its repeated windows.
 
-The corpus order of suffixes is only needed to a depth of ``width`` bytes and only where stems
-are shared, so the order is taken from (batch, position) in groups of equal stems and windows;
-no suffix array of the whole dictionary or parse is built.  What is shuffled is a few bytes for
-each phrase, of which there are two in every ``span`` bytes or so; a stem, word or window that a
-third of all rows share is one entry for each batch.  Strings are compared by 128 bits of hash
-(stem and word) and 64 bits of window hash.
+A window never leaves its phrase's word, so suffixes are sorted to a depth of ``width`` bytes and
+the parse to a depth of one phrase; stems that are not shared need no order at all.  Batches follow
+the corpus order, so theirs are merged by (batch, place) in groups of equal stems and windows.
+What is shuffled is a few bytes for each phrase, of which there are two in every ``span`` bytes or
+so; a stem, word or window that a third of all rows share is one entry for each batch.  Within a
+batch windows are compared by their bytes; between batches by 96 bits of hash, stems and words by 128.
 
 Defined results: a null text is empty; texts shorter than ``width`` stay whole; a null id sorts
 first; rows with one id are ordered by text, and of equal rows the first is kept.  An empty table
@@ -43,7 +45,7 @@ from pyspark.sql.types import StructType
 from orisite.llm.common import PIECE_BYTES, Rolling, batch_count, bounded_batches, byte_texts, byte_values, free_names, mix64, pack, quoted
 
 GRAM = 16
-VALUES = byte_values(10)
+VALUES, CHECK_VALUES = byte_values(10), byte_values(110)
 #: Bytes of text in a batch, about.
 BATCH_BYTES = 4 << 20
 FIRST, REPEAT, EDGE = 0, 1, 2
@@ -71,6 +73,39 @@ def minima(key: np.ndarray, span: int) -> np.ndarray:
     return np.where(in_left, base[:n] + (left & low), base[span - 1: span - 1 + n] + (right & low))
 
 
+def suffix_array(text: np.ndarray, place: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """(order, first): the ascending places sorted by the ``depth`` bytes from each, equal ones by place,
+    and which of the sorted differ from the one before.  Ranks by 8 bytes are doubled to the largest
+    power below the depth; two that overlap make up the rest, so bytes are compared, not hashes."""
+
+    def pair(rank: np.ndarray, by: int) -> np.ndarray:
+        key = rank.astype(np.uint64) << np.uint64(32)
+        key[: len(rank) - by] |= rank[by:]
+        return key
+
+    def ranked(key: np.ndarray) -> np.ndarray:
+        order = np.argsort(key)
+        sorted_ = key[order]
+        rank = np.empty(len(key), np.uint32)
+        rank[order] = np.cumsum(np.concatenate([[False], sorted_[1:] != sorted_[:-1]]), dtype=np.uint32)
+        return rank
+
+    if not len(place):
+        return np.empty(0, np.int64), np.empty(0, bool)
+    key = np.zeros(len(text), np.uint64)
+    for i in range(8):
+        key <<= np.uint64(8)
+        key[: len(text) - i] |= text[i:]
+    rank, known = ranked(key), 8
+    while 2 * known <= depth:
+        rank = ranked(pair(rank, known))
+        known *= 2
+    key = pair(rank, depth - known)[place]
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    return order, np.concatenate([[True], key[1:] != key[:-1]])
+
+
 class Parse:
     """The phrases of a batch, in corpus order.
 
@@ -105,8 +140,8 @@ class Parse:
         if len(self.text) > a:
             yield a, len(self.text)
 
-    def _hashes(self, a: int, b: int) -> np.ndarray:
-        return self.rolling.prefix(VALUES[self.text[a:b]])
+    def _hashes(self, a: int, b: int, values: np.ndarray = VALUES) -> np.ndarray:
+        return self.rolling.prefix(values[self.text[a:b]])
 
     def _piece(self, a: int, b: int):
         width, span = self.width, self.span
@@ -137,19 +172,28 @@ class Parse:
         full = mix64(full ^ ((m - lo).astype(np.uint64) << np.uint64(32)) ^ (hi - lo).astype(np.uint64))
         return lo + a, hi + a, core, full
 
-    def windows(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(start, hash) of every window of the chosen phrases, in corpus order."""
+    def windows(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Every window of the chosen phrases, in suffix order: (start, whether it is the first with its
+        bytes, hash, 32 bits of a second hash).  Windows of equal bytes are in corpus order."""
         lo, hi = self.lo[chosen], self.hi[chosen]
         n = hi - lo + 1
         start = np.repeat((lo - np.concatenate([[0], np.cumsum(n)[:-1]])).astype(np.int32), n)
         start += np.arange(len(start), dtype=np.int32)
-        out = np.empty(len(start), np.uint64)
+        out, check = np.empty(len(start), np.uint64), np.empty(len(start), np.uint32)
         for a, b in self._stretches():
             i, j = np.searchsorted(start, [a, b])
             if j > i:
-                h = self._hashes(a, min(len(self.text), b + self.width))
-                out[i:j] = self.rolling.of(h, start[i:j] - a, start[i:j] - a + self.width)
-        return start, out
+                end, at = min(len(self.text), b + self.width), start[i:j] - a
+                out[i:j] = self.rolling.of(self._hashes(a, end), at, at + self.width)
+                check[i:j] = self.rolling.of(self._hashes(a, end, CHECK_VALUES), at, at + self.width) >> np.uint64(32)
+        # the words as they lie in the text, where neighbours overlap; a window never leaves its word
+        covered = np.zeros(len(self.text) + 1, np.int32)
+        np.add.at(covered, lo, 1)
+        np.add.at(covered, hi + self.width, -1)
+        covered = np.cumsum(covered[:-1], dtype=np.int32) > 0
+        place = (np.cumsum(covered, dtype=np.int32) - 1)[start] if len(start) else start
+        order, first = suffix_array(self.text[covered], place, self.width)
+        return start[order], first, out[order], check[order]
 
     def stems(self):
         """What the batch asks about its stems: ``core`` distinct, ``word`` (0: several), and for
@@ -201,9 +245,9 @@ def _sorted_batch(t: pa.Table) -> tuple[pa.Table, list[bytes]]:
     return t.select(["batch", "__row"]).take(pa.array(order, pa.int64())), [texts[i] for i in order]
 
 
-def _rows(kind: int, batch: int, key: np.ndarray, word: np.ndarray | None, buckets: int) -> Iterator[dict]:
+def _rows(kind: int, batch: int, key: np.ndarray, word: np.ndarray, buckets: int) -> Iterator[dict]:
     for b, at in split(bucket_of(key, buckets)):
-        yield {"bucket": b * 2 + kind, "batch": batch, "core": pack(key[at]), "word": b"" if word is None else pack(word[at])}
+        yield {"bucket": b * 2 + kind, "batch": batch, "core": pack(key[at]), "word": pack(word[at])}
 
 
 ASKED = pa.schema([("bucket", pa.int64()), ("batch", pa.int64()), ("core", pa.binary()), ("word", pa.binary())])
@@ -224,7 +268,8 @@ def answer(t: pa.Table) -> pa.Table:
     kind = t.column("bucket")[0].as_py() % 2
     key, batch = np.concatenate(cores), np.repeat(batches, [len(c) for c in cores])
     if kind == 1:
-        flags = np.where(first_batch([key], batch), FIRST, REPEAT)
+        check = np.concatenate([np.frombuffer(x.as_py(), np.uint32) for x in t.column("word")])
+        flags = np.where(first_batch([check, key], batch), FIRST, REPEAT)
     else:
         word = np.concatenate([np.frombuffer(x.as_py(), np.uint64) for x in t.column("word")])
         order = np.lexsort((word, key))
@@ -258,9 +303,8 @@ def ask_windows(t: pa.Table, answers: pa.Table, width: int, span: int, buckets:
     if not t.num_rows:
         return ASKED.empty_table()
     parse = Parse(_sorted_batch(t)[1], width, span)
-    _, h = parse.windows(_phrase_flags(parse, answers, buckets) == EDGE)
-    key = np.unique(h)
-    return pa.Table.from_pylist(list(_rows(1, t.column("batch")[0].as_py(), key, None, buckets)), ASKED)
+    _, new, h, check = parse.windows(_phrase_flags(parse, answers, buckets) == EDGE)
+    return pa.Table.from_pylist(list(_rows(1, t.column("batch")[0].as_py(), h[new], check[new], buckets)), ASKED)
 
 
 def repeated(texts: list[bytes], answers: pa.Table, width: int, span: int, buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -271,12 +315,7 @@ def repeated(texts: list[bytes], answers: pa.Table, width: int, span: int, bucke
     whole = flags == REPEAT
     np.add.at(change, parse.lo[whole], 1)
     np.add.at(change, parse.hi[whole] + width, -1)
-    start, h = parse.windows(flags == EDGE)
-    order = np.argsort(h, kind="stable")
-    h, start = h[order], start[order]
-    del order
-    new = np.ones(len(h), bool)  # the first of the batch with this hash; it may still be a repeat
-    new[1:] = h[1:] != h[:-1]
+    start, new, h, _ = parse.windows(flags == EDGE)  # new: the first of the batch, may still be a repeat
     gone = ~new
     gone[new] = _read(answers, 1, h[new], buckets) == REPEAT
     gone = start[gone]

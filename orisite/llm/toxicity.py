@@ -5,7 +5,8 @@ second-person words, and the rates of capitals, punctuation and obfuscated spell
 short list of insults; three are learned: words and word beginnings that labelled toxic texts have
 and others do not, by strength (log-likelihood ratio).
 
-The labelled sample (at most about ``max_rows`` rows, drawn by a hash of the id) is divided in
+The labelled sample (about ``max_rows`` distinct rows, id and text, at most: ids are drawn by a hash,
+and rows once more if ids repeat) is divided in
 three: the lexicon is learned on one part, the trees on the second and the calibration on the
 third, so that each step sees how the one before does on texts that it has not seen.  What is
 learned has a fixed size; the sample's ids are the only thing that is broadcast.
@@ -18,6 +19,7 @@ the largest counts.  Without labelled rows of both classes every score is the sh
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -30,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
-from orisite.llm.common import Rolling, bounded_batches, byte_texts, checkpointed, free_names, mix64, pieces, quoted, within
+from orisite.llm.common import Rolling, all_characters, bounded_batches, byte_texts, checkpointed, free_names, mix64, pieces, quoted, within
 
 INSULTS = ("idiot", "idiots", "moron", "morons", "stupid", "dumb", "loser", "losers", "pathetic", "worthless",
            "disgusting", "trash", "scum", "clown", "fool", "jerk", "creep", "liar", "coward", "filth", "vermin",
@@ -55,15 +57,15 @@ FEATURES = ("words", "hits_fixed", "hits_1", "hits_2", "hits_3", "density_fixed"
 # ----------------------------------------------------------------------------- the features
 
 class Characters:
-    """For each character up to 0xFFFF a value for hashing (equal for both cases and for
-    stand-ins), whether it is a letter, whether it is a capital.  Made once in each task."""
+    """For each character a value for hashing (equal for both cases, for stand-ins and for the
+    styled letters above U+FFFF, as in mathematics), whether it is a letter, whether it is a capital.
+    Made once in each task."""
 
     def __init__(self):
-        low, self.letter, self.upper = np.arange(1 << 16, dtype=np.uint64), np.zeros(1 << 16, bool), np.zeros(1 << 16, bool)
-        for c in range(1 << 16):
-            s = chr(c)
-            self.letter[c] = s.isalpha()
-            self.upper[c] = s.isupper()
+        every = all_characters()
+        low, self.letter, self.upper = np.arange(len(every), dtype=np.uint64), np.strings.isalpha(every), np.strings.isupper(every)
+        for c in np.flatnonzero(self.letter | self.upper).tolist():
+            s = chr(c) if c <= 0xFFFF else unicodedata.normalize("NFKC", chr(c))
             if len(x := s.lower()) == 1:
                 low[c] = ord(x)
         for a, b in STAND_INS.items():
@@ -82,7 +84,6 @@ class Tokens:
         self.ends = np.cumsum([len(p.decode("utf-8", "replace")) + 1 for p in parts])
         text = b" " + b" ".join(parts) + b" "
         c = np.frombuffer(text.decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
-        c = np.minimum(c, 0xFFFF)
         self.chars, self.letter, self.upper = c, letter[c], upper[c]
         digit = (c >= 48) & (c <= 57)
         sign = (c == ord("@")) | (c == ord("$"))
@@ -163,9 +164,12 @@ def features(texts: list[bytes], lexicon: tuple[np.ndarray, np.ndarray], of: Cha
         add("hidden", t.start[hit[odd[hit]]])
         if is_second.any() and len(hit):
             s = np.flatnonzero(is_second)
+            doc = np.searchsorted(t.ends, t.start - 1, side="right")
             after = np.searchsorted(s, hit)
-            gap = np.minimum(np.abs(s[np.minimum(after, len(s) - 1)] - hit), np.abs(s[np.maximum(after - 1, 0)] - hit))
-            add("near", t.start[hit[gap <= NEAR]])
+            near = np.zeros(len(hit), bool)
+            for one in (s[np.minimum(after, len(s) - 1)], s[np.maximum(after - 1, 0)]):
+                near |= (np.abs(one - hit) <= NEAR) & (doc[one] == doc[hit])
+            add("near", t.start[hit[near]])
     v = {k: total[i] for k, i in names.items()}
     words, chars, letters = (np.maximum(v[k], 1) for k in ("words", "chars", "letters"))
     hits = [v[f"hit{k}"] for k in range(4)]
@@ -204,7 +208,7 @@ class ToxicityModel:
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, max_rows: int, id_col: str, text_col: str,
                     label_col: str) -> DataFrame:
-    """(part, label, text) of about ``max_rows`` labelled rows at most; part is 0, 1 or 2."""
+    """(part, label, text) of about ``max_rows`` distinct labelled rows at most; part is 0, 1 or 2."""
     one = (labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull())
            .groupBy(F.col(id_col).alias("__id")).agg(F.max(label_col).cast("double").alias("label")))
     n = one.count()
@@ -212,8 +216,13 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, max_rows: int, id_col: s
     drawn = one.where(draw < F.lit(max_rows / max(n, 1)))
     part = F.when(F.pmod(F.xxhash64(F.lit(5), "__id"), F.lit(5)) < 2, 0).when(F.pmod(F.xxhash64(F.lit(5), "__id"), F.lit(5)) < 4, 1).otherwise(2)
     drawn = within(drawn.withColumn("part", part), min(n, max_rows), 2 * max_rows)
-    return (docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text")).join(drawn, "__id")
-            .select("part", "label", "text"))
+    rows = (docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text")).join(drawn, "__id")
+            .withColumn("row", F.xxhash64(F.lit(7), "__id", "text")))
+    # an id may stand for any number of rows
+    size = rows.groupBy("row").agg(F.lit(1)).count()
+    if size > max_rows:
+        rows = rows.where(F.shiftrightunsigned("row", 11) / F.lit(float(1 << 53)) < F.lit(max_rows / size))
+    return checkpointed(rows.select("row", "part", "label", "text").dropDuplicates(["row"]).drop("row"))
 
 
 def learn_lexicon(sample: DataFrame) -> tuple[np.ndarray, np.ndarray]:

@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import unicodedata
 import zlib
 from collections import Counter
 
@@ -167,8 +168,119 @@ def test_toxicity_on_odd_input(spark, odd_docs):
     assert not x[0].any() and f["hits_fixed"] == np.log1p(2) and f["hidden_hits"] == np.log1p(1) and f["near_second"] == np.log1p(2)
 
 
+def plain_features(text, lexicon):
+    """The features of one text, word by word.  lexicon: {(length, beginning): tier}, length 0 for whole words."""
+    def fold(c):
+        low = (c if ord(c) <= 0xFFFF else unicodedata.normalize("NFKC", c)).lower()
+        return toxicity.STAND_INS.get(c, low if len(low) == 1 else c)
+
+    s, runs_ = f" {text} ", [[]]
+    for i, c in enumerate(s):
+        if c.isalpha() or c in "0123456789" or c in "@$" and s[i - 1].isalpha() and s[i + 1].isalpha():
+            runs_[-1].append(c)
+        else:
+            runs_.append([])
+    words_ = ["".join(w) for w in runs_ if any(c.isalpha() for c in w)]
+    folded = ["".join(map(fold, w)) for w in words_]
+    tiers = []
+    for w in folded:
+        begun = [(k, w[:k]) for k in toxicity.STEMS if k and len(w) > k] + ([(0, w)] if len(w) > 2 else [])
+        tiers.append(min((lexicon[b] for b in begun if b in lexicon), default=None))
+    fixed = ["".join(map(fold, w)) for w in toxicity.INSULTS]
+    second = [i for i, w in enumerate(folded) if w in ["".join(map(fold, x)) for x in toxicity.SECOND_PERSON]]
+    hits = [sum(w in fixed for w in folded)] + [tiers.count(k) for k in (1, 2, 3)]
+    hit = [i for i, w in enumerate(folded) if w in fixed or tiers[i]]
+    odd = [any(not c.isalpha() for c in w) for w in words_]
+    n, chars = max(1, len(words_)), max(1, sum(ord(c) > 32 for c in text))
+    letters = max(1, sum(c.isalpha() for c in text))
+    return [math.log1p(len(words_)), *map(math.log1p, hits), *(h / n for h in hits), math.log1p(sum(odd[i] for i in hit)),
+            math.log1p(sum(any(abs(i - j) <= toxicity.NEAR for j in second) for i in hit)), len(second) / n,
+            sum(c.isupper() for c in text) / letters,
+            sum(len(a := [c for c in w if c.isalpha()]) > 1 and all(c.isupper() for c in a) for w in words_) / n,
+            sum(33 <= ord(c) < 127 and not c.isalnum() for c in text) / chars, sum(c in "!?" for c in text) / chars, sum(odd) / n,
+            sum(a == b == c and ord(c) > 32 for a, b, c in zip(text, text[1:], text[2:])) / chars]
+
+
+def test_toxicity_features_equal_a_plain_statement(docs):
+    of = toxicity.Characters()
+    lexicon = {(0, "you"): 1, (3, "sto"): 1, (4, "plea"): 2, (5, "trash"): 3, (0, "the"): 2, (7, "garbage"): 1}
+    keys = []
+    for k, w in lexicon:
+        t = toxicity.Tokens([(w + ("x" if k else "")).encode()], of)
+        keys.append(t.stem(k)[0][0])
+    order = np.argsort(np.array(keys, np.uint64))
+    given = np.array(keys, np.uint64)[order], np.array(list(lexicon.values()))[order]
+    odd = ["", "   ", "idiot", "you", "YOU are tr@sh!!! $o 1d10t", "\U0001d422\U0001d41d\U0001d422\U0001d428\U0001d42d you",
+           "you a b c d e f idiot", "\U0001e900\U0001e922 \u24b6 \u00df\u0130 aaa", "stop stone PLEASE the garbages 5$ @home"]
+    texts_ = odd + [r.text or "" for r in docs.collect()]
+    got = toxicity.features([t.encode() for t in texts_], given, of)
+    np.testing.assert_allclose(got, [plain_features(t, lexicon) for t in texts_], rtol=1e-12)
+
+
+def test_toxicity_sample_is_bounded_by_rows(spark):
+    d = spark.range(3000).select((F.col("id") % 3).alias("doc_id"), F.concat(F.lit("text "), (F.col("id") % 2000).cast("string")).alias("text"))
+    l = spark.createDataFrame([(0, 1), (1, 0), (2, 0)], "doc_id long, toxic int")
+    all_ = toxicity.labelled_sample(d, l, 100_000, "doc_id", "text", "toxic").count()
+    assert all_ == d.distinct().count()
+    assert 0 < toxicity.labelled_sample(d, l, 300, "doc_id", "text", "toxic").count() < 400
+
+
 # ------------------------------------------------------------------ 4
 
+def plain_language(train, texts_):
+    """Word-first backoff, word by word: (language, score) of each text."""
+    def runs_(text):
+        low = "".join((c.lower() if len(c.lower()) == 1 else c) if c.isalpha() else " " for c in text or "")
+        return low.split()
+
+    def grams(w, k):
+        framed = f" {w} "
+        return [framed[e - k:e] for e in range(2, len(framed) + 1) if e >= k]
+
+    langs = sorted({lang for lang, _ in train})
+    counts = [{lang: Counter() for lang in langs} for _ in range(5)]
+    for lang, text in train:
+        for w in runs_(text):
+            counts[0][lang][w] += 1
+            for k in range(1, 5):
+                counts[k][lang].update(grams(w, k))
+    keys = [set().union(*c.values()) for c in counts]
+
+    def logs(k, x):
+        return [math.log((counts[k][lang][x] + 0.1) / ((sum(counts[k][lang].values()) or 1) + 0.1 * (len(keys[k]) + 1))) for lang in langs]
+
+    for text in texts_:
+        total = np.zeros(len(langs))
+        for w in runs_(text):
+            if w in keys[0]:
+                total += logs(0, w)
+                continue
+            framed, value = f" {w} ", np.zeros(len(langs))
+            for e in range(2, len(framed) + 1):
+                known = [k for k in range(min(4, e), 0, -1) if framed[e - k:e] in keys[k]]
+                if known:
+                    value += logs(known[0], framed[e - known[0]:e])
+            total += value / (len(w) + 1)
+        best = int(total.argmax())
+        yield (langs[best], 1 / np.exp(total - total[best]).sum()) if runs_(text) else ("und", 0.0)
+
+
+def test_language_equals_a_plain_statement(docs, spark):
+    train = [(r.lang, r.text) for r in docs.where("lang is not null").dropDuplicates(["doc_id", "text"]).collect() if r.doc_id % 2]
+    texts_ = [r.text for r in docs.collect()] + ["", None, "zqx", "\U0001e900\U0001e922", "5 ! \u0130stanbul Stra\u00dfe", "\U00020000 x"]
+    m = language_id.fit(docs.where("doc_id % 2 = 1"), per_lang=10**6)
+    got = language_id.predict(spark.createDataFrame(list(enumerate(texts_)), "i int, text string"), m).orderBy("i").collect()
+    for r, (lang, score) in zip(got, plain_language(train, texts_)):
+        assert r.lang_score == pytest.approx(score, abs=1e-4) and (r.lang_pred == lang or abs(score - 0.5) < 1e-3)
+
+
+def test_language_of_scripts_above_ffff_and_of_one_id(spark):
+    data = [(5, "\U0001e900\U0001e922 \U0001e925\U0001e926", "ff")] * 40 + [(6, "plain words here", "en")] * 40
+    d = spark.createDataFrame(data, "doc_id long, text string, lang string")
+    got = language_id.predict(d, language_id.fit(d, per_lang=1))
+    assert got.where("lang = lang_pred").count() == 80
+
+
 def test_language_of_held_out_rows(docs, spark):
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     told = language_id.predict(d, language_id.fit(d.where(~queries.held_out(4))))
@@ -519,6 +631,20 @@ def check_repeats(df, width, span, batch_bytes):
     assert all(r.kept_sha256 == hashlib.sha256(bytes(r.kept)).hexdigest() for r in got)
 
 
+def test_suffix_array_of_words_equals_sorting():
+    rng = np.random.default_rng(5)
+    for depth, alphabet in ((100, b"ab"), (40, b"abc"), (8, b"x"), (16, b"ab"), (64, b"ab")):
+        text = np.frombuffer(bytes(rng.choice(list(alphabet), 3000)), np.uint8)
+        text = np.concatenate([text, text[100:900], text[:500]])
+        place = np.flatnonzero(rng.random(len(text) - depth + 1) < 0.5)
+        order, first = suffix_dedup.suffix_array(text, place, depth)
+        raw = text.tobytes()
+        expected = sorted(place.tolist(), key=lambda p: (raw[p:p + depth], p))
+        assert place[order].tolist() == expected
+        assert first.tolist() == [i == 0 or raw[p:p + depth] != raw[expected[i - 1]:expected[i - 1] + depth] for i, p in enumerate(expected)]
+    assert [len(x) for x in suffix_dedup.suffix_array(text, place[:0], 8)] == [0, 0]
+
+
 def test_repeats(docs, odd_docs):
     check_repeats(docs, 100, 64, 60_000)
     check_repeats(odd_docs, 100, 64, 20_000)
