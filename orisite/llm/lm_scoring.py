@@ -11,7 +11,8 @@ The model grows with the corpus, so no task holds it whole: a batch of texts ask
 of its distinct n-grams, each once, dealt out by hash; the owners add them up over all batches and
 answer; the batch builds the part of the automaton that its texts can reach and traverses them, in
 step, all texts at their t-th token at once.  A frequent word or n-gram is one entry for each batch.
-N-grams are told apart by 64 bits of hash.
+Rows are dealt to batches by id and text; where equal rows would fill a batch, they are scored as one
+text with its number of rows and told apart again in the result.  N-grams are told apart by 64 bits of hash.
 
 Defined results: A-Z is lower-cased; tokens are the words ``[^\\x20\\x09-\\x0D]+`` and one end; a null
 text is empty and has the end alone; rows count and are scored each, repeated or not; without
@@ -35,6 +36,8 @@ VALUES = byte_values(2, lower=True)
 START, END = np.uint64(1), np.uint64(2)
 #: Bytes of text in a batch, about.
 BATCH_BYTES = 16 << 20
+#: What a row takes in a batch besides its text, about.
+ROW_BYTES = 64
 ORDER, MASS = 2, 1000.0
 ASKED = pa.schema([("bucket", pa.int64()), ("batch", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
 ANSWER = pa.schema([("batch", pa.int64()), ("bucket", pa.int64()), ("counts", pa.binary())])
@@ -87,10 +90,14 @@ class Grams:
         of[place] = np.cumsum(new, dtype=np.int32) - 1
         self.number.append(of)
 
-    def counts(self, marked: np.ndarray) -> list[np.ndarray]:
-        """How often each n-gram occurs in the marked texts."""
-        within = marked[self.text]
-        return [np.bincount(of[within & (of >= 0)], minlength=len(k)) for of, k in zip(self.number, self.keys)]
+    def counts(self, times: np.ndarray) -> list[np.ndarray]:
+        """How often each n-gram occurs, with each text counted so many times."""
+        out, once = [], times.max(initial=0) <= 1
+        within = times[self.text]
+        for of, k in zip(self.number, self.keys):
+            here = (within > 0) & (of >= 0)
+            out.append(np.bincount(of[here], None if once else within[here], minlength=len(k)).astype(np.int64))
+        return out
 
 
 class BackoffAutomaton:
@@ -172,8 +179,31 @@ def answer(t: pa.Table) -> pa.Table:
                                  for b, c in zip(t.column("batch").to_pylist(), parts)], ANSWER)
 
 
+def fold_copies(slim: DataFrame, batch_bytes: int) -> DataFrame:
+    """``slim`` with the column ``times``.  Equal rows (id, text and mark) of a kind that holds more than
+    a batch become one row with their number, in a sum of partial sums; all other rows count once.  There
+    are at most as many such kinds as batches."""
+    key = F.xxhash64("doc_id", "text")
+    size = F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + ROW_BYTES)
+    kinds = slim.groupBy(key.alias("key")).agg(size.alias("size"), F.count("*").alias("rows"))
+    heavy = [r[0] for r in kinds.where((F.col("size") > batch_bytes) & (F.col("rows") > 1)).select("key").collect()]
+    if not heavy:
+        return slim.withColumn("times", F.lit(1).cast("long"))
+    is_heavy = key.isin(heavy)
+    folded = slim.where(is_heavy).groupBy("doc_id", "text", "train").agg(F.count("*").alias("times"))
+    return slim.where(~is_heavy).withColumn("times", F.lit(1).cast("long")).unionByName(folded)
+
+
+def unfold_copies(scored: DataFrame) -> DataFrame:
+    """As many rows as ``times`` says, in two steps, so that no array is long."""
+    one, step = F.lit(1).cast("long"), 1 << 16
+    many = scored.withColumn("part", F.explode(F.sequence(one, F.ceil(F.col("times") / step))))
+    rest = F.least(F.lit(step), F.col("times") - (F.col("part") - 1) * step)
+    return many.withColumn("part", F.explode(F.sequence(one, rest))).drop("part", "times")
+
+
 def training_size(docs: DataFrame, buckets: int) -> tuple[int, int]:
-    """(tokens, distinct tokens) of all texts; the distinct are found where their hash is dealt."""
+    """(tokens, distinct tokens) of all texts (text, times); the distinct are found where their hash is dealt."""
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -182,7 +212,7 @@ def training_size(docs: DataFrame, buckets: int) -> tuple[int, int]:
                 g = Grams(texts, 1)
                 key = g.keys[0][g.keys[0] != START]
                 rows = [{"bucket": b, "n": 0, "keys": pack(key[at])} for b, at in split(bucket_of(mix64(key), buckets))]
-                rows[0]["n"] = int(g.n.sum())
+                rows[0]["n"] = int((g.n * b.column("times").to_numpy()).sum())
                 yield pa.RecordBatch.from_pylist(rows, schema)
 
     def size(t: pa.Table) -> pa.Table:
@@ -190,7 +220,7 @@ def training_size(docs: DataFrame, buckets: int) -> tuple[int, int]:
         return pa.table({"n": [sum(t.column("n").to_pylist())], "v": [len(keys)]})
 
     schema = pa.schema([("bucket", pa.int64()), ("n", pa.int64()), ("keys", pa.binary())])
-    asked = docs.select("text").mapInArrow(ask, "bucket long, n long, keys binary")
+    asked = docs.select("text", "times").mapInArrow(ask, "bucket long, n long, keys binary")
     n, v = asked.groupBy("bucket").applyInArrow(size, "n long, v long").agg(F.sum("n"), F.sum("v")).first()
     return n or 0, v or 0
 
@@ -201,7 +231,8 @@ def score_texts(docs: DataFrame, train: Column, order: int = ORDER, mass: float
     marks the rows that the model learns from."""
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"),
                        F.coalesce(train, F.lit(False)).alias("train"))
-    batches = batch_count(bounded_batches(slim), "text", batch_bytes)
+    slim = fold_copies(bounded_batches(slim), batch_bytes)
+    batches = batch_count(slim, "text", batch_bytes)
     n, v = training_size(slim.where("train"), batches)
     by_batch = slim.withColumn("batch", F.pmod(F.xxhash64("doc_id", "text"), F.lit(batches))).groupBy("batch")
 
@@ -210,11 +241,11 @@ def score_texts(docs: DataFrame, train: Column, order: int = ORDER, mass: float
 
     def ask(t: pa.Table) -> pa.Table:
         g = read(t)
-        counts = g.counts(np.asarray(t.column("train").to_pylist(), bool))
+        counts = g.counts(np.where(t.column("train"), t.column("times"), 0))
         return pa.Table.from_pylist(list(_ask(t.column("batch")[0].as_py(), g.keys, counts, batches)), ASKED)
 
     def score(t: pa.Table, answers: pa.Table) -> pa.Table:
-        out = {"doc_id": t.column("doc_id"), "train": t.column("train")}
+        out = {"doc_id": t.column("doc_id"), "train": t.column("train"), "times": t.column("times")}
         if t.num_rows:
             g = read(t)
             got = dict(zip(answers.column("bucket").to_pylist(), answers.column("counts").to_pylist()))
@@ -240,5 +271,6 @@ def score_texts(docs: DataFrame, train: Column, order: int = ORDER, mass: float
     id_type = slim.schema["doc_id"].dataType.simpleString()
     asked = by_batch.applyInArrow(ask, "bucket long, batch long, keys binary, counts binary")
     answers = asked.groupBy("bucket").applyInArrow(answer, "batch long, bucket long, counts binary")
-    return by_batch.cogroup(answers.groupBy("batch")).applyInArrow(
-        score, f"doc_id {id_type}, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    scored = by_batch.cogroup(answers.groupBy("batch")).applyInArrow(
+        score, f"doc_id {id_type}, train boolean, times long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return unfold_copies(scored)

@@ -104,6 +104,21 @@ def test_lm_scores(request, which):
     assert np.allclose([g[5:] for g in got], [e[5:] for e in expected], rtol=1e-9)
 
 
+def test_lm_scores_of_many_equal_rows(spark):
+    """A third of the rows are equal, as many have neither id nor text: each kind is folded to one row."""
+    data = [(1, "a b a c")] * 700 + [(None, None)] * 700 + [(i, f"a w{i % 9} b") for i in range(700)]
+    d = spark.createDataFrame(data, "doc_id long, text string")
+    train = ~queries.held_out(7)
+    slim = d.withColumn("train", train)
+    assert lm_scoring.fold_copies(slim, 1 << 20).where("times > 1").count() == 0
+    folded = lm_scoring.fold_copies(slim, 20_000)
+    assert sorted(r.times for r in folded.where("times > 1").collect()) == [700, 700] and folded.count() == 702
+    got = sorted(map(tuple, lm_scoring.score_texts(d, train, batch_bytes=20_000, mass=30.0).collect()), key=repr)
+    expected = sorted(brute_lm([(i, words(t), i is not None and zlib.crc32(str(i).encode()) % 7 != 2) for i, t in data], 30.0), key=repr)
+    assert [g[:5] for g in got] == [e[:5] for e in expected]
+    assert np.allclose([g[5:] for g in got], [e[5:] for e in expected], rtol=1e-9)
+
+
 def test_lm_of_order_three_backs_off_and_sums_to_one(spark):
     train = ["a b a", "b a c", "c", "a b c a b"]
     c = Counter()
