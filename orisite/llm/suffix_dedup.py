@@ -26,8 +26,9 @@ so; a stem, word or window that a third of all rows share is one entry for each
 batch windows are compared by their bytes; between batches by 96 bits of hash, stems and words by 128.
 
 Defined results: a null text is empty; texts shorter than ``width`` stay whole; a null id sorts
-first; rows with one id are ordered by text, and of equal rows the first is kept.  An empty table
-gives an empty result.  Other columns pass through, whatever their names.
+first; rows with one id are ordered by text, and of equal rows the first is kept.  An id whose rows
+hold more than a batch gets batches of its own, to which its rows are dealt before they are ordered.
+An empty table gives an empty result.  Other columns pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -38,16 +39,20 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from orisite.llm.common import PIECE_BYTES, Rolling, batch_count, bounded_batches, byte_texts, byte_values, free_names, mix64, pack, quoted
+from orisite.llm.common import PIECE_BYTES, Rolling, bounded_batches, byte_texts, byte_values, checkpointed, free_names, mix64, pack, quoted
 
 GRAM = 16
 VALUES, CHECK_VALUES = byte_values(10), byte_values(110)
 #: Bytes of text in a batch, about.
 BATCH_BYTES = 4 << 20
+#: What a row takes in a batch besides its text, about.
+ROW_BYTES = 64
+#: Where null ids are in the order.
+LEAST_ID = -(1 << 63)
 FIRST, REPEAT, EDGE = 0, 1, 2
 RESULTS = ["n_bytes", "n_removed", "n_spans", "kept", "kept_text", "kept_sha256"]
 
@@ -344,6 +349,30 @@ def remove_batch(t: pa.Table, answers: pa.Table, width: int, span: int, buckets:
     return pa.table({"__row": t.column("__row"), **{k: pa.array(v, types[k]) for k, v in out.items()}})
 
 
+def cut_ids(slim: DataFrame, batch_bytes: int) -> tuple[list[int], dict[int, int]]:
+    """(bounds, pieces): the last id of each batch of about ``batch_bytes``, and into how many batches the
+    rows of an id go that hold more than one.  Ids are summed, sorted in ranges and their bytes added up;
+    at most three values for each batch reach the driver."""
+    size = F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + ROW_BYTES)
+    ids = slim.groupBy(F.coalesce("doc_id", F.lit(LEAST_ID)).alias("id")).agg(size.alias("size"), F.count("*").alias("rows"))
+    ids = checkpointed(ids.repartitionByRange("id").withColumn("part", F.spark_partition_id()))
+    parts = ids.groupBy("part").agg(F.sum("size").alias("n"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = parts.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    upto = Window.partitionBy("part").orderBy("id").rowsBetween(Window.unboundedPreceding, 0)
+    end = F.sum("size").over(upto) + F.col("offset")
+    placed = ids.join(F.broadcast(offsets), "part").withColumn("end", end)
+    crosses = F.floor(F.col("end") / batch_bytes) > F.floor((F.col("end") - F.col("size")) / batch_bytes)
+    hot = (F.col("size") > batch_bytes) & (F.col("rows") > 1)
+    bounds, pieces = set(), {}
+    for i, n, is_hot in placed.where(crosses | hot).select("id", "size", hot).collect():
+        bounds.add(i)
+        if is_hot:
+            pieces[i] = -(-n // batch_bytes)
+            bounds |= {i - 1} if i > LEAST_ID else set()
+    return sorted(bounds), pieces
+
+
 def remove_repeats(docs: DataFrame, width: int = 100, span: int = 64, batch_bytes: int = BATCH_BYTES,
                    with_text: bool = True, id_col: str = "doc_id", text_col: str = "text",
                    keep: list[str] | None = None) -> DataFrame:
@@ -352,32 +381,44 @@ def remove_repeats(docs: DataFrame, width: int = 100, span: int = 64, batch_byte
     for each row of ``docs``.  ``kept`` holds the remaining
     bytes and ``kept_text`` those of whole characters (both null without ``with_text``).
 
-    Batches are ranges of ids of about ``batch_bytes``, taken from approximate quantiles; the
-    bounds (8 bytes a batch) are all that passes the driver.
+    Batches are ranges of ids of about ``batch_bytes``, cut by a running sum of bytes; the bounds (8
+    bytes a batch) are all that passes the driver.  Rows of an id that fills several batches are written
+    with the numbers by which they are dealt, so that all reads agree.
     """
-    n = batch_count(docs, text_col, batch_bytes)
     keep = [c for c in docs.columns if c != text_col] if keep is None else keep
     slim = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), F.struct(*quoted(keep)).alias("__row"))
-    bounds = []
-    if n > 1:
-        cuts = [i / n for i in range(1, n)]
-        bounds = sorted(set(slim.agg(F.percentile_approx("doc_id", cuts, max(10_000, 10 * n))).first()[0] or []))
+    row_type = slim.schema["__row"]
+    bounds, pieces = cut_ids(slim, batch_bytes)
+    key, no = F.coalesce("doc_id", F.lit(LEAST_ID)), F.lit(0).cast("long")
+    if pieces:
+        is_hot = key.isin(list(pieces))
+        hot = checkpointed(slim.where(is_hot).withColumn("no", F.monotonically_increasing_id()))
+        slim = slim.where(~is_hot).withColumn("no", no).unionByName(hot)
+    else:
+        slim = slim.withColumn("no", no)
+    most = max(pieces.values(), default=1)
+    hot_ids = np.asarray(sorted(pieces), np.int64)
+    hot_pieces = np.asarray([pieces[i] for i in sorted(pieces)], np.uint64)
 
     @F.pandas_udf("long")
-    def batch_of(ids: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(np.asarray(bounds, np.int64), ids.to_numpy(np.int64)))
-
-    # null ids sort first, so they belong to the first batch
-    batch = batch_of(F.coalesce("doc_id", F.lit(-(1 << 63)))) if bounds else F.lit(0).cast("long")
-    batched = slim.withColumn("batch", batch)
+    def batch_of(ids: pd.Series, nos: pd.Series) -> pd.Series:
+        i = ids.to_numpy(np.int64)
+        batch = np.searchsorted(np.asarray(bounds, np.int64), i) * most
+        if len(hot_ids):
+            at = np.minimum(np.searchsorted(hot_ids, i), len(hot_ids) - 1)
+            piece = mix64(nos.to_numpy(np.int64).astype(np.uint64)) % hot_pieces[at]
+            batch += np.where(hot_ids[at] == i, piece.astype(np.int64), 0)
+        return pd.Series(batch)
+
+    batched = slim.withColumn("batch", batch_of(key, F.col("no")) if bounds else no).drop("no")
     by_batch = bounded_batches(batched).groupBy("batch")
-    buckets = -(-n // 2)
+    buckets = -(-(len(bounds) + 1 + sum(pieces.values())) // 2)
     asked = by_batch.applyInArrow(lambda t: ask_stems(t, width, span, buckets), ASKED_SQL)
     stems = asked.groupBy("bucket").applyInArrow(answer, ANSWER_SQL)
     edges = by_batch.cogroup(stems.groupBy("batch")).applyInArrow(
         lambda t, a: ask_windows(t, a, width, span, buckets), ASKED_SQL)
     windows = edges.groupBy("bucket").applyInArrow(answer, ANSWER_SQL)
-    result = (StructType([slim.schema["__row"]]).add("n_bytes", "long").add("n_removed", "long").add("n_spans", "long")
+    result = (StructType([row_type]).add("n_bytes", "long").add("n_removed", "long").add("n_spans", "long")
               .add("kept", "binary").add("kept_text", "string").add("kept_sha256", "string"))
     removed = by_batch.cogroup(stems.unionByName(windows).groupBy("batch")).applyInArrow(
         lambda t, a: remove_batch(t, a, width, span, buckets, with_text), result)

@@ -673,3 +673,16 @@ def test_repeats_in_periodic_and_mosaic_texts(spark):
     d = spark.createDataFrame(rows_, "doc_id long, text string")
     check_repeats(d, 100, 64, 2_000)
     check_repeats(d, 40, 20, 3_000)
+
+
+def test_repeats_of_an_id_on_a_third_of_the_rows(spark):
+    rng = np.random.default_rng(11)
+    a, b, c, d = ("".join(rng.choice(list("abcdef "), 230)) for _ in range(4))
+    data = [(None, t) for t in (a, b, c) for _ in range(40)] + [(7, d)] * 120 + [(i, a[i:i + 120] + d[:100 + i]) for i in range(60) if i != 7]
+    table = spark.createDataFrame(data, "doc_id long, text string").repartition(5)
+    bounds, pieces = suffix_dedup.cut_ids(table, 2_000)
+    assert set(pieces) == {suffix_dedup.LEAST_ID, 7} and min(pieces.values()) > 10 and {6, 7} < set(bounds)
+    check_repeats(table, 100, 64, 2_000)
+    giant = spark.createDataFrame([(1, a), (2, a * 60), (3, a)], "doc_id long, text string")
+    assert suffix_dedup.cut_ids(giant, 2_000) == ([2], {})  # one long text is no reason to deal rows
+    check_repeats(giant, 100, 64, 2_000)
