@@ -74,3 +74,35 @@ def test_only_decimal_numbers_are_numbers(spark):
     got = {r.line_no: (r.x, r.malformed_at) for r in scan_records(lines).collect()}
     assert [got[i] for i in range(5)] == [(None, 5)] * 5
     assert [got[i][0] for i in range(5, 8)] == [100.0, 0.5, -3.0]
+
+
+LINE_ITEMS = [(o, 31 * o + n, 7 * n + o, n, "ANR"[n % 3], "OF"[o % 2]) for o in range(1, 9) for n in range(1, o % 4 + 2)]
+
+
+def _line_items(spark, folder, rows=LINE_ITEMS):
+    spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_returnflag string, "
+                                "l_linestatus string").write.parquet(f"{folder}/lineitem.parquet")
+    return str(folder)
+
+
+def test_derived_queries_need_no_bucket_setting_on_a_cluster(spark, tmp_path, monkeypatch):
+    from orisite import session
+
+    sf = _line_items(spark, tmp_path)
+    monkeypatch.setattr(session, "is_local", lambda s: False)
+    with pytest.raises(ValueError, match="pass buckets"):
+        Materializer(spark)
+    before = len(Materializer._open)
+    assert derived.QUERIES["correction_layout"](spark, sf).count() == len(LINE_ITEMS)
+    assert len(Materializer._open) == before  # it writes no stage
+    c = derived.Ctx(spark, sf)
+    assert c.atoms().select("entry", "chainid", "rescounter").distinct().count() == len(LINE_ITEMS)
+    assert c.mat is c.mat and c.mat.buckets == spark.sparkContext.defaultParallelism
+    c.mat.drop()
+    monkeypatch.setattr(derived, "BUCKET_BYTES", derived.ITEM_BYTES // 3)  # the count grows with the table
+    assert derived.bucket_count(spark, sf) == -(-len(LINE_ITEMS) * derived.ITEM_BYTES // derived.BUCKET_BYTES)
+    spark.conf.set(session.BUCKETS_CONF, 5)
+    try:
+        assert derived.bucket_count(spark, sf) == 5
+    finally:
+        spark.conf.unset(session.BUCKETS_CONF)
