@@ -106,3 +106,18 @@ def test_derived_queries_need_no_bucket_setting_on_a_cluster(spark, tmp_path, mo
         assert derived.bucket_count(spark, sf) == 5
     finally:
         spark.conf.unset(session.BUCKETS_CONF)
+
+
+def test_terminus_layout_has_a_row_for_every_entry(spark, tmp_path):
+    import duckdb
+
+    from orisite.plans.oracle_sql import ORACLE
+
+    sf = _line_items(spark, tmp_path, [r for r in LINE_ITEMS if (r[0], r[3]) != (7, 2)] + [(20, None, 4, 1, "A", "O"), (21, 5, 4, 6, "A", "O")])
+    got = {r.entry: (r.atom1, r.atom2, r.atom3) for r in derived.QUERIES["terminus_layout"](spark, sf).collect()}
+    assert set(got) == {*map(str, range(1, 9)), "20", "21"}
+    assert got["3"] == (" T4 ", " T5 ", " T6 ") and got["7"] == (" T8 ", None, " T0 ")
+    assert got["4"] == (" T5 ", None, None) and got["20"] == got["21"] == (None, None, None)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM read_parquet('{sf}/lineitem.parquet/*.parquet')")
+    assert {e: tuple(a) for e, *a in con.execute(ORACLE["terminus_layout"]).fetchall()} == got
