@@ -121,3 +121,30 @@ def test_terminus_layout_has_a_row_for_every_entry(spark, tmp_path):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW lineitem AS SELECT * FROM read_parquet('{sf}/lineitem.parquet/*.parquet')")
     assert {e: tuple(a) for e, *a in con.execute(ORACLE["terminus_layout"]).fetchall()} == got
+
+
+CLUSTER_QUERIES = """assign_sites bond_edges bond_faults chain_ends clean_atoms corrected_predictor corrected_rmsd correction_layout
+    direct_atoms direct_rmsd duplicate_atoms entry_errors fit_corrections fit_corrections_legacy_y fit_ranks frame_moments
+    from_site_frame layout_rejects layout_rows number_residues orient_sites pipeline_errors""".split()
+MORE_ITEMS = [(o, 97 * o + 13 * n, 41 * n + 29 * o, n, "ANR"[(o + n) % 3], "OF"[o % 2]) for o in range(1, 61) for n in range(1, o % 7 + 2)]
+MORE_ITEMS += [(o, pk + 1, sk, n, flag, status) for o, pk, sk, n, flag, status in MORE_ITEMS if o % 5 == 0 and n == 1]  # repeated atoms
+
+
+@pytest.mark.parametrize("name", CLUSTER_QUERIES)
+def test_each_derived_query_gives_its_rows_on_a_cluster_without_settings(spark, tmp_path, monkeypatch, name):
+    import duckdb
+
+    from orisite import session
+    from orisite.plans.oracle_sql import ORACLE
+    from tools.oracle_check import _canon
+
+    sf = _line_items(spark, tmp_path, MORE_ITEMS)
+    monkeypatch.setattr(session, "is_local", lambda s: False)
+    before = len(Materializer._open)
+    got = derived.QUERIES[name](spark, sf).toPandas()
+    for m in Materializer._open[before:]:
+        m.drop()
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM read_parquet('{sf}/lineitem.parquet/*.parquet')")
+    want = con.execute(ORACLE[name]).df()
+    assert len(got) and sorted(got.columns) == sorted(want.columns) and _canon(got).equals(_canon(want))
